@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from aspectra.llm.chat_format import formatted_digest
 from aspectra.llm.mixing import mix_sources
+from aspectra.llm.packing import pack_documents, packed_digest
 from aspectra.llm.sharding import shard_records
+from aspectra.llm.token_files import read_token_files, write_token_files
 from aspectra.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +31,11 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return read_token_files(*write_token_files(docs))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     sharded = shard_records(table(spark, sf_dir, "documents"))
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -43,9 +50,15 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_digest(pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op2_chat_format": op2_chat_format,
         "op3_mixing": op3_mixing,
+        "op6_token_files": op6_token_files,
         "op7_sharding": op7_sharding,
+        "op8_packing": op8_packing,
     }

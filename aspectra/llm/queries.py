@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from aspectra.llm.chat_format import formatted_digest
 from aspectra.llm.mixing import mix_sources
 from aspectra.llm.packing import pack_documents, packed_digest
-from aspectra.llm.sharding import shard_records
+from aspectra.llm.sharding import assign_shards, shuffle_records
 from aspectra.llm.token_files import read_token_files, write_token_files
 from aspectra.session import table
 
@@ -37,16 +37,11 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sharded = shard_records(table(spark, sf_dir, "documents"))
+    written = shuffle_records(table(spark, sf_dir, "documents"))
     text = F.coalesce(F.col("text"), F.lit(""))
-    return sharded.select(
-        "doc_id",
-        (F.octet_length(text) + 8).cast("long").alias("size"),
-        F.crc32(text).alias("text_crc32"),
-        F.lit("rows").alias("law"),
-        "shard",
-        "slot",
-        F.lit(None).cast("int").alias("grown_shard"),
+    digest = written.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), "_bucket", "_pos")
+    return assign_shards(digest).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
 
 

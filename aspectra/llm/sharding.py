@@ -64,9 +64,11 @@ def shuffle_records(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return stored(marked.groupBy("_bucket").applyInArrow(_bucket_shuffler(seed), T.StructType(fields)), "shards")
 
 
-def shard_records(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", seed: int = 7, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """All columns of docs, read back from the written buckets, and shard (int) and slot (long)."""
-    written = shuffle_records(docs.drop("shard", "slot"), id_col, text_col, seed, bucket_bytes)
+def assign_shards(written: DataFrame, shards: int = 24) -> DataFrame:
+    """shard (int) and slot (long) for rows of shuffle_records, whichever columns were kept of them.
+
+    Offsets have a row per bucket; narrow columns before this join where rows are wide.
+    """
     counts = written.groupBy("_bucket").agg(F.count("*").alias("_rows"))
     starts = exclusive_prefix(counts, "_bucket", "_rows", "_start")
     total = counts.agg(F.sum("_rows")).first()[0] or 0
@@ -75,3 +77,8 @@ def shard_records(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", tex
     first = F.expr(f"(shard * {total}L) div {shards}")
     out = placed.withColumn("shard", shard.cast("int")).withColumn("slot", (F.col("_at") - first).cast("long"))
     return out.drop("_bucket", "_pos", "_start", "_at")
+
+
+def shard_records(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", seed: int = 7, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """All columns of docs, read back from the written buckets, and shard (int) and slot (long)."""
+    return assign_shards(shuffle_records(docs.drop("shard", "slot"), id_col, text_col, seed, bucket_bytes), shards)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aspectra.llm.chat_format import formatted_digest
+from aspectra.llm.licenses import scan_licenses
 from aspectra.llm.mixing import mix_sources
 from aspectra.llm.packing import pack_documents, packed_digest
 from aspectra.llm.sharding import assign_shards, shuffle_records
@@ -49,6 +50,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_digest(pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op2_chat_format": op2_chat_format,
@@ -56,4 +61,5 @@ def queries() -> dict[str, Query]:
         "op6_token_files": op6_token_files,
         "op7_sharding": op7_sharding,
         "op8_packing": op8_packing,
+        "op9_licenses": op9_licenses,
     }

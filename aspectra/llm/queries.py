@@ -11,6 +11,7 @@ from aspectra.llm.chat_format import formatted_digest
 from aspectra.llm.licenses import scan_licenses
 from aspectra.llm.mixing import mix_sources
 from aspectra.llm.packing import pack_documents, packed_digest
+from aspectra.llm.quality import judge_quality, train_quality
 from aspectra.llm.sharding import assign_shards, shuffle_records
 from aspectra.llm.token_files import read_token_files, write_token_files
 from aspectra.session import table
@@ -32,6 +33,11 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return judge_quality(docs, train_quality(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return read_token_files(*write_token_files(docs))
@@ -58,6 +64,7 @@ def queries() -> dict[str, Query]:
     return {
         "op2_chat_format": op2_chat_format,
         "op3_mixing": op3_mixing,
+        "op5_quality_rules": op5_quality_rules,
         "op6_token_files": op6_token_files,
         "op7_sharding": op7_sharding,
         "op8_packing": op8_packing,

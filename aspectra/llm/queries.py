@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aspectra.llm.chat_format import formatted_digest
+from aspectra.llm.embedding_dedup import dedup_vectors
 from aspectra.llm.licenses import scan_licenses
 from aspectra.llm.mixing import mix_sources
 from aspectra.llm.packing import pack_documents, packed_digest
@@ -60,6 +61,10 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op2_chat_format": op2_chat_format,
@@ -69,4 +74,5 @@ def queries() -> dict[str, Query]:
         "op7_sharding": op7_sharding,
         "op8_packing": op8_packing,
         "op9_licenses": op9_licenses,
+        "op10_embedding_dedup": op10_embedding_dedup,
     }

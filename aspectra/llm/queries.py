@@ -11,6 +11,7 @@ from aspectra.llm.chat_format import formatted_digest
 from aspectra.llm.embedding_dedup import dedup_vectors
 from aspectra.llm.licenses import scan_licenses
 from aspectra.llm.mixing import mix_sources
+from aspectra.llm.near_dedup import near_duplicate_classes
 from aspectra.llm.packing import pack_documents, packed_digest
 from aspectra.llm.quality import judge_quality, train_quality
 from aspectra.llm.sharding import assign_shards, shuffle_records
@@ -20,6 +21,10 @@ from aspectra.session import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     tricky = "</s>[INST] ok [/INST]"
@@ -67,6 +72,7 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_near_dedup": op1_near_dedup,
         "op2_chat_format": op2_chat_format,
         "op3_mixing": op3_mixing,
         "op5_quality_rules": op5_quality_rules,

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from aspectra.llm.chat_format import formatted_digest
 from aspectra.llm.embedding_dedup import dedup_vectors
 from aspectra.llm.licenses import scan_licenses
+from aspectra.llm.lm_score import score_documents
 from aspectra.llm.mixing import mix_sources
 from aspectra.llm.near_dedup import near_duplicate_classes
 from aspectra.llm.packing import pack_documents, packed_digest
@@ -39,6 +40,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return judge_quality(docs, train_quality(docs, table(spark, sf_dir, "labels")))
@@ -75,6 +80,7 @@ def queries() -> dict[str, Query]:
         "op1_near_dedup": op1_near_dedup,
         "op2_chat_format": op2_chat_format,
         "op3_mixing": op3_mixing,
+        "op4_lm_score": op4_lm_score,
         "op5_quality_rules": op5_quality_rules,
         "op6_token_files": op6_token_files,
         "op7_sharding": op7_sharding,

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aspectra.llm.common import exclusive_prefix, partitions_for, stored
-from aspectra.llm.tokenizing import PieceEncoder, in_slices
+from aspectra.llm.tokenizing import encoder_for, in_slices
 from aspectra.session import ship_code
 
 LENGTH = 2048
@@ -151,7 +151,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
-        encoder = PieceEncoder(vocabulary, word_level=True)
+        encoder = encoder_for(vocabulary, word_level=True)
         marks = np.unique([x[-1] for x in (encoder._ids(m) for m in SENTENCE_MARKS) if len(x) == 1])
         packer, tail, rows = Packer(marks, length), struct.pack("<I", end_id), []
 

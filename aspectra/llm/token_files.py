@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aspectra.llm.common import exclusive_prefix, partitions_for, stored
-from aspectra.llm.tokenizing import PieceEncoder, in_slices
+from aspectra.llm.tokenizing import encoder_for, in_slices
 from aspectra.session import ship_code
 
 MAGIC = b"TKZ1"
@@ -46,7 +46,7 @@ def train_dictionary(docs: DataFrame, text_col: str, id_col: str, vocabulary: st
     """Train on the sample in one executor task; only the dictionary comes to the driver."""
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, samples = PieceEncoder(vocabulary, word_level=False), []
+        encoder, samples = encoder_for(vocabulary, word_level=False), []
         for batch in batches:
             ids = encoder.encode([t or "" for t in batch["text"].to_pylist()])
             samples += [serialize(x + struct.pack("<I", end_id), width) for x in ids]
@@ -105,7 +105,7 @@ def write_token_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     digest = hashlib.sha256(dictionary).digest()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, press = PieceEncoder(vocabulary, word_level=False), compressor(dictionary)
+        encoder, press = encoder_for(vocabulary, word_level=False), compressor(dictionary)
         tail = struct.pack("<I", end_id)
         for batch in batches:
             texts = [t or "" for t in batch["text"].to_pylist()]

@@ -18,7 +18,7 @@ from collections.abc import Iterable
 
 import numpy as np
 
-CACHE_MOST, CACHE_KEPT = 400_000, 250_000
+CACHE_MOST, CACHE_KEPT, LONGEST_CACHED = 1_000_000, 700_000, 256
 _RUN = re.compile(r"\s\s")
 _BEFORE_WORD = re.compile(r" (?=\S)")
 
@@ -49,6 +49,7 @@ class PieceEncoder:
         self.word_level = word_level
         self.glue, self.mark = (" ~ ", "~") if word_level else ("\n", "\n")
         (self.glue_id,) = self._ids(self.mark)
+        self.ends = {c: np.array(self._ids(c), "<u4").tobytes() for c in ",."}
         self.cache: dict[str, bytes] = {"": b""} if word_level else {"\0": b""}
 
     def _ids(self, text: str) -> list[int]:
@@ -69,7 +70,22 @@ class PieceEncoder:
             return piece
         return piece[1:] if piece[:1] == "\0" else " " + piece
 
+    def _base(self, piece: str) -> tuple[str, bytes]:
+        """A piece with the same ids at its start, and the ids that follow them."""
+        end = b""
+        if len(piece) > 2 and piece[-1] in self.ends and piece[-2].isalpha() and piece[-2] < "\u0250":
+            piece, end = piece[:-1], self.ends[piece[-1]]
+        return (piece.lower() if self.word_level and piece.isascii() else piece), end
+
     def _learn(self, missing: list[str]) -> None:
+        bases = list(map(self._base, missing))
+        if fresh := list({base for base, _ in bases}.difference(self.cache)):
+            self._encode_new(fresh)
+        for piece, (base, end) in zip(missing, bases, strict=True):
+            if piece != base:
+                self.cache[piece] = self.cache[base] + end
+
+    def _encode_new(self, missing: list[str]) -> None:
         alone, joined = [], []
         for piece in missing:
             plain = self.mark not in piece and piece[-1:].strip() and (self.word_level or piece[0] != "\0" or piece[1:2].strip())
@@ -92,11 +108,27 @@ class PieceEncoder:
         if missing := list(set().union(*cut).difference(self.cache)):
             self._learn(missing)
         out = [b"".join(map(self.cache.__getitem__, one)) for one in cut]
+        for piece in missing:
+            if len(piece) > LONGEST_CACHED:
+                self.cache.pop(piece, None)
+                self.cache.pop(self._base(piece)[0], None)
         if len(self.cache) > CACHE_MOST:
             self.cache = dict(itertools.islice(self.cache.items(), CACHE_KEPT))
         return out
 
 
+_encoders: dict[tuple[str, bool], PieceEncoder] = {}
+
+
+def encoder_for(vocabulary: str, word_level: bool) -> PieceEncoder:
+    """The worker's encoder, whose cache lasts from task to task."""
+    key = vocabulary, word_level
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = PieceEncoder(vocabulary, word_level)
+    return _encoders[key]
+
+
 def in_slices(texts: list[str], most_chars: int = 1 << 20) -> Iterable[tuple[int, int]]:
     """Ranges of neighbours with about so many characters together."""
     start = size = 0

@@ -683,7 +683,7 @@ def incremental_tag_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a stream into an idempotent table, run twice from the start."""
     from aspectra.streaming.incremental import append_batches
 
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="aspectra-stream-")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="aspectra-stream-")
     base = f"{folder.rstrip('/')}/tags-{spark.sql('select uuid()').first()[0]}"
     source = f"{sf_dir}/events.parquet"
     events = spark.read.parquet(source)

@@ -306,6 +306,7 @@ def embedding_dedup_keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 )
 def embedding_insert_new(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first hundred chunks are stored already; all others arrive as one batch."""
     rows = _keyed(spark, sf_dir)
     return dedup.insert_new(rows.where("chunk_id < 100"), rows.where("chunk_id >= 100"), _KEYS, "chunk_id").select("chunk_id", *_KEYS)
 
@@ -407,12 +408,14 @@ def comment_chunks_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def comment_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks encoded by the offline encoder; how far each is from its conversation's first."""
+    """Chunks encoded by the offline encoder; how far each is from its comment's first."""
     ship_code(spark)
-    chunks = chunking.window_chunks(table(spark, sf_dir, "conversations").where("turn = 0"), "conv_id", "text", 40, 5)
-    vectors = providers.embed(chunks, ["conv_id", "chunk_index"], "chunk_text", providers.hashing_encoder(64), 64)
-    firsts = vectors.where("chunk_index = 0").select("conv_id", F.col("embedding").alias("first"))
-    return vectors.join(firsts, "conv_id").select("conv_id", "chunk_index", F.round(cosine_distance(F.col("embedding"), F.col("first")), 6).alias("distance"))
+    keyed = table(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("comment"), "text")
+    chunks = chunking.window_chunks(keyed, "comment", "text", 40, 5).select("comment.*", "chunk_index", "chunk_text")
+    vectors = providers.embed(chunks, ["conv_id", "turn", "chunk_index"], "chunk_text", providers.hashing_encoder(64), 64)
+    firsts = vectors.where("chunk_index = 0").select("conv_id", "turn", F.col("embedding").alias("first"))
+    distance = F.round(cosine_distance(F.col("embedding"), F.col("first")), 6)
+    return vectors.join(firsts, ["conv_id", "turn"]).select("conv_id", "turn", "chunk_index", distance.alias("distance"))
 
 
 # Integrity and deletes
@@ -484,6 +487,7 @@ def products_with_videos(spark: SparkSession, sf_dir: str) -> DataFrame:
     """.replace("\\\\", "\\")
 )
 def videos_insert_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first twenty pages are stored already; all others arrive as one batch."""
     pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", r"\?.*$", "").alias("url"))
     return media.insert_if_absent(pages.where("page_id < 20").select("url").distinct(), pages.where("page_id >= 20"), "url", "page_id").select("url", "page_id")
 

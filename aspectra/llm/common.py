@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: A summary of fixed-width columns is broadcast up to so many rows (a few megabytes).
+SMALL_ROWS = 200_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -51,6 +53,11 @@ def exclusive_prefix(totals: DataFrame, order: str, value: str, out: str) -> Dat
     return totals.withColumn(out, F.coalesce(F.sum(value).over(window), F.lit(0)).cast("long"))
 
 
+def join_summary(df: DataFrame, summary: DataFrame, on: str, rows: int) -> DataFrame:
+    """Join numbers by key from a summary of a known number of rows; beyond SMALL_ROWS the planner shuffles both."""
+    return df.join(F.broadcast(summary) if rows <= SMALL_ROWS else summary, on)
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """(node, component) for every node on an edge (a, b); component is the smallest node.
 

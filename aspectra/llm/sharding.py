@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from aspectra.llm.common import exclusive_prefix, stored
+from aspectra.llm.common import exclusive_prefix, join_summary, stored
 from aspectra.session import ship_code
 
 BUCKET_BYTES = 4 << 20
@@ -67,12 +67,13 @@ def shuffle_records(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def assign_shards(written: DataFrame, shards: int = 24) -> DataFrame:
     """shard (int) and slot (long) for rows of shuffle_records, whichever columns were kept of them.
 
-    Offsets have a row per bucket; narrow columns before this join where rows are wide.
+    Offsets have a row per bucket; beyond SMALL_ROWS buckets rows are shuffled to meet them,
+    so narrow wide columns before.
     """
     counts = written.groupBy("_bucket").agg(F.count("*").alias("_rows"))
     starts = exclusive_prefix(counts, "_bucket", "_rows", "_start")
-    total = counts.agg(F.sum("_rows")).first()[0] or 0
-    placed = written.join(starts.select("_bucket", "_start"), "_bucket").withColumn("_at", F.col("_start") + F.col("_pos"))
+    buckets, total = counts.agg(F.count("*"), F.coalesce(F.sum("_rows"), F.lit(0))).first()
+    placed = join_summary(written, starts.select("_bucket", "_start"), "_bucket", buckets).withColumn("_at", F.col("_start") + F.col("_pos"))
     shard = F.expr(f"((_at + 1) * {shards} - 1) div {max(total, 1)}")
     first = F.expr(f"(shard * {total}L) div {shards}")
     out = placed.withColumn("shard", shard.cast("int")).withColumn("slot", (F.col("_at") - first).cast("long"))

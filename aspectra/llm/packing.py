@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aspectra.llm.common import exclusive_prefix, partitions_for, stored
+from aspectra.llm.common import exclusive_prefix, join_summary, partitions_for, stored
 from aspectra.llm.tokenizing import encoder_for, in_slices
 from aspectra.session import ship_code
 
@@ -187,7 +187,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     pieces = stored(ordered.mapInArrow(pack, schema), "packed", compression="zstd")
     counts = pieces.groupBy("part").agg((F.max("sequence") + 1).alias("n"))
     starts = exclusive_prefix(counts, "part", "n", "before").select("part", "before")
-    return pieces.join(starts, "part").select("doc_id", "start", "doc_tokens", (F.col("before") + F.col("sequence")).alias("sequence_id"), "offset", "ids")
+    return join_summary(pieces, starts, "part", partitions_for(spark)).select("doc_id", "start", "doc_tokens", (F.col("before") + F.col("sequence")).alias("sequence_id"), "offset", "ids")
 
 
 def packed_digest(pieces: DataFrame) -> DataFrame:

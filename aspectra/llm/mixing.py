@@ -16,9 +16,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from aspectra.llm.common import WORD
+from aspectra.llm.common import SMALL_ROWS, WORD, stored
 
 KEY_DIGITS = 3
+#: The cuts, a row per source, are broadcast only while their names stay below this size in all.
+SMALL_NAMES = 4 << 20
 
 
 def word_count(text: str) -> Column:
@@ -88,7 +90,10 @@ def mix_sources(
         *[F.first(c).alias(c) for c in ("source_size", "target", "_epochs", "_rest")],
     )
     cut = last.select(F.col("_source").alias("_of"), "source_size", "target", "_epochs", F.col("_last._range").alias("_cut"), (F.col("_rest") - F.col("_last._before")).alias("_left"))
-    ready = keyed.join(cut, same, "inner")
+    cut = stored(cut, "cuts")
+    held_in = cut.agg(F.count("*").alias("n"), F.sum(F.octet_length("_of")).alias("names")).first()
+    small = held_in["n"] <= SMALL_ROWS and (held_in["names"] or 0) <= SMALL_NAMES
+    ready = keyed.join(F.broadcast(cut) if small else cut, same, "inner").drop("_of")
     names = [*[f"`{c}`" for c in own], "size", "source_size", "target"]
     whole = F.col("_epochs") * F.col("size")
     sure = ready.where("_range <> _cut").select(

@@ -12,10 +12,11 @@ costs little more than one point per shingle.
 
 Bands of registers make candidates. Of texts that share a band each meets the
 band's first; links are verified by exact multiset overlap, and components are
-formed. Bands whose texts still lie in several components are gone through once
-more, block against block, so that every pair across components that agrees on
-a band and whose signatures do not rule out the limit is verified too: no link
-between different components is lost, and no pairs are made within one.
+formed. Bands whose texts still lie in several components are gone through
+twice more, block against block: first only the likeliest pairs that would join
+components, a forest of them; then every pair across components that agrees on
+a band and whose signatures do not rule out the limit. So no link between
+different components is lost, and no pairs are made within one.
 
 Cases: shingles are five words, words are runs of characters other than ASCII
 white space; a text of one to four words is one shingle; null texts and texts
@@ -38,9 +39,11 @@ from aspectra.llm.hashing import join_texts, mix, word_hashes, word_spans
 from aspectra.llm.tokenizing import in_slices
 from aspectra.session import ship_code
 
-SHINGLE, REGISTERS, ROWS, AT_LEAST, BLOCK = 5, 128, 4, 0.8, 256
-#: Agreement of signatures below which a similarity of 0.8 is ruled out: 5 standard deviations of 128 registers.
-RULED_OUT = 0.62
+SHINGLE, REGISTERS, ROWS, BANDS, AT_LEAST, BLOCK = 5, 256, 6, 42, 0.8, 1024
+#: Agreement of signatures below which a similarity of 0.8 is ruled out: 4 standard deviations of 256 registers.
+RULED_OUT = 0.70
+#: Agreement that makes a link likely.
+LIKELY = 0.80
 TICKS = float(1 << 32)
 FAR = np.iinfo(np.int64).max
 
@@ -121,9 +124,9 @@ def signatures(text: np.ndarray, hashes: np.ndarray, counts: np.ndarray, texts:
     return least.reshape(texts, registers)
 
 
-def band_keys(signature: np.ndarray, rows: int = ROWS) -> np.ndarray:
+def band_keys(signature: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
     """A 64-bit key per text and band."""
-    grouped = signature.astype(np.uint64).reshape(len(signature), -1, rows)
+    grouped = signature[:, : bands * rows].astype(np.uint64).reshape(len(signature), bands, rows)
     key = np.zeros(grouped.shape[:2], np.uint64) + np.arange(grouped.shape[1], dtype=np.uint64)
     for r in range(rows):
         key = mix(key * np.uint64(0x100000001B3) + grouped[:, :, r])
@@ -164,8 +167,12 @@ def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.select(["a", "b"]).filter(pa.array((one == two).mean(axis=1) >= RULED_OUT))
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by block task: likely pairs of different components, one of either side."""
+def _across(batches: Iterator[pa.RecordBatch], level: float, forest: bool) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by block task: pairs of different components, one of either side, that agree to the level.
+
+    A pair goes out from the first band that it shares only. As a forest, pairs
+    come in falling order of agreement and only if they join what is still apart.
+    """
     held: list[pa.RecordBatch] = []
 
     def meet() -> Iterator[pa.RecordBatch]:
@@ -174,14 +181,40 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not left.any() or not right.any():
             return
         node, part, many = (rows[c].to_numpy() for c in ("node", "component", "shingles"))
+        band = rows["band"][0].as_py()
         marks = np.frombuffer(b"".join(rows["marks"].to_pylist()), np.uint8).reshape(len(node), -1)
+        listed = rows["bands"].combine_chunks()
+        bands = listed.flatten().to_numpy().reshape(len(node), -1)
         x, y = np.flatnonzero(left), np.flatnonzero(right)
+        one, two, agreed = [], [], []
         for i in x.tolist():
             ratio = np.minimum(many[i], many[y]) >= AT_LEAST * np.maximum(many[i], many[y])
             j = y[(part[y] != part[i]) & ratio]
-            j = j[(marks[j] == marks[i]).mean(axis=1) >= RULED_OUT] if len(j) else j
-            if len(j):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], names=["a", "b"])
+            agree = (marks[j] == marks[i]).mean(axis=1)
+            j, agree = j[agree >= level], agree[agree >= level]
+            here = bands[i, (bands[j] == bands[i]).argmax(axis=1)] == band
+            one.append(np.full(int(here.sum()), i))
+            two.append(j[here])
+            agreed.append(agree[here])
+        one, two, agreed = np.concatenate(one), np.concatenate(two), np.concatenate(agreed)
+        if forest:
+            parent: dict[int, int] = {}
+
+            def root(c: int) -> int:
+                while (up := parent.get(c, c)) != c:
+                    parent[c] = parent.get(up, up)
+                    c = up
+                return c
+
+            keep = []
+            for k in np.argsort(-agreed, kind="stable").tolist():
+                p, q = root(int(part[one[k]])), root(int(part[two[k]]))
+                if p != q:
+                    parent[p] = q
+                    keep.append(k)
+            one, two = one[keep], two[keep]
+        if len(one):
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[one], node[two])), pa.array(np.maximum(node[one], node[two]))], names=["a", "b"])
 
     current = None
     for batch in batches:
@@ -260,19 +293,25 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     links = stored(verified(tried), "links")
     parts = connected_components(links)
 
-    placed = members.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("n").alias("size")).where("low <> high")
-    blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
-    rest = placed.select("band", "node", "component").join(mixed.select("band", blocks.alias("blocks")), "band")
-    rest = rest.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    i, j = F.least("block", "other"), F.greatest("block", "other")
-    tasks = rest.select("band", i.alias("i"), j.alias("j"), "node", "component", (F.col("block") == i).alias("left"), (F.col("block") == j).alias("right"))
-    tasks = tasks.join(marked, "node").repartition(n, "band", "i", "j").sortWithinPartitions("band", "i", "j")
-    across = tasks.mapInArrow(_across, "a long, b long").distinct()
-    again = stored(across.join(tried, ["a", "b"], "left_anti"), "pairs")
-    late = stored(verified(again), "links")
-    parts = connected_components(links.unionByName(late))
+    def across(parts: DataFrame, level: float, forest: bool) -> DataFrame:
+        """Pairs from bands that still hold several components, without those tried before."""
+        placed = members.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        mixed = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("n").alias("size")).where("low <> high")
+        blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
+        rest = placed.select("band", "node", "component").join(mixed.select("band", blocks.alias("blocks")), "band")
+        rest = rest.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        i, j = F.least("block", "other"), F.greatest("block", "other")
+        tasks = rest.select("band", i.alias("i"), j.alias("j"), "node", "component", (F.col("block") == i).alias("left"), (F.col("block") == j).alias("right"))
+        full = tasks.join(nodes.select("node", "shingles", "marks", "bands"), "node")
+        ordered = full.repartition(n, "band", "i", "j").sortWithinPartitions("band", "i", "j")
+        return ordered.mapInArrow(lambda b: _across(b, level, forest), "a long, b long").distinct()
+
+    for level, forest in ((LIKELY, True), (RULED_OUT, False)):
+        fresh = stored(across(parts, level, forest).join(tried, ["a", "b"], "left_anti"), "pairs")
+        tried = tried.unionByName(fresh)
+        links = links.unionByName(stored(verified(fresh), "links"))
+        parts = connected_components(links)
 
     classed = nodes.select("key", "node", "smallest", "copies").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     summary = classed.groupBy("component").agg(F.min("smallest").alias("class_id"), F.sum("copies").alias("class_size"))

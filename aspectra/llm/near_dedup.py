@@ -189,7 +189,8 @@ def _across(batches: Iterator[pa.RecordBatch], level: float, forest: bool) -> It
         one, two, agreed = [], [], []
         for i in x.tolist():
             ratio = np.minimum(many[i], many[y]) >= AT_LEAST * np.maximum(many[i], many[y])
-            j = y[(part[y] != part[i]) & ratio]
+            twice = right[i] & left[y] & (node[y] < node[i])  # within one block either order would come
+            j = y[(part[y] != part[i]) & ratio & ~twice]
             agree = (marks[j] == marks[i]).mean(axis=1)
             j, agree = j[agree >= level], agree[agree >= level]
             here = bands[i, (bands[j] == bands[i]).argmax(axis=1)] == band

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from aspectra.llm.common import connected_components, partitions_for, stored
 from aspectra.llm.hashing import join_texts, mix, word_hashes, word_spans
-from aspectra.llm.tokenizing import in_slices
+from aspectra.llm.tokenizing import forget_encoders, in_slices
 from aspectra.session import ship_code
 
 SHINGLE, REGISTERS, ROWS, BANDS, AT_LEAST, BLOCK = 5, 256, 6, 42, 0.8, 1024
@@ -144,6 +144,7 @@ def overlap(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget_encoders()
     for batch in batches:
         texts = [t or "" for t in batch["text"].to_pylist()]
         for a, b in in_slices(texts):

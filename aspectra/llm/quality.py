@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aspectra.llm.hashing import join_texts, mix, word_hashes, word_spans
-from aspectra.llm.tokenizing import in_slices
+from aspectra.llm.tokenizing import forget_encoders, in_slices
 from aspectra.session import ship_code
 
 BITS = 16
@@ -200,6 +200,7 @@ def judge_quality(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_co
     ship_code(docs.sparkSession)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_encoders()
         fitted = QualityModel.from_bytes(model) if model else None
         for batch in batches:
             texts = [t or "" for t in batch["text"].to_pylist()]
@@ -220,6 +221,7 @@ def keep_quality(docs: DataFrame, model: bytes, text_col: str = "text") -> DataF
     ship_code(docs.sparkSession)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_encoders()
         fitted = QualityModel.from_bytes(model) if model else None
         for batch in batches:
             texts = [t or "" for t in batch[text_col].to_pylist()]

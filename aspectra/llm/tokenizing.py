@@ -129,6 +129,11 @@ def encoder_for(vocabulary: str, word_level: bool) -> PieceEncoder:
     return _encoders[key]
 
 
+def forget_encoders() -> None:
+    """Give the cache's memory back, for steps that encode nothing in a worker that did."""
+    _encoders.clear()
+
+
 def in_slices(texts: list[str], most_chars: int = 1 << 20) -> Iterable[tuple[int, int]]:
     """Ranges of neighbours with about so many characters together."""
     start = size = 0

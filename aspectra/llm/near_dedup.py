@@ -281,7 +281,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Texts of the nodes in question are fetched once; then pairs meet them."""
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        wanted = pairs.select(F.col("a").alias("node")).distinct().unionByName(pairs.select(F.col("b").alias("node")).distinct()).distinct()
         wanted = wanted.join(nodes.select("node", "key", "smallest"), "node")
         same = (texts["key"] == wanted["key"]) & texts["doc_id"].eqNullSafe(wanted["smallest"])
         found = texts.join(wanted.hint("shuffle_hash"), same).select("node", "text").dropDuplicates(["node"])

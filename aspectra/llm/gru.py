@@ -30,6 +30,18 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _minus_target(x: np.ndarray, target: np.ndarray) -> float:
+    """Turns each row of logits into probabilities less one at the target; returns the targets' log-likelihood."""
+    rows = np.arange(len(target))
+    x -= x.max(axis=1, keepdims=True)
+    picked = x[rows, target]
+    np.exp(x, out=x)
+    total = x.sum(axis=1)
+    x /= total[:, None]
+    x[rows, target] -= 1
+    return float((picked - np.log(total)).sum())
+
+
 class GruModel:
     """Parameters: inputs (tokens and a start mark by 3H), recurrent (H by 3H), classes, words."""
 
@@ -65,8 +77,11 @@ class GruModel:
 
     def step(self, h: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, ...]:
         """Next state, and what backpropagation needs: update and reset gates, candidate, recurrent part."""
-        d = self.hidden
-        x, m = self.inputs[tokens], h @ self.recurrent
+        return self.step_from(h, self.inputs[tokens])
+
+    def step_from(self, h: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The same from the tokens' inputs."""
+        d, m = self.hidden, h @ self.recurrent
         gates = _sigmoid(x[:, : 2 * d] + m[:, : 2 * d])
         z, r, inner = gates[:, :d], gates[:, d:], m[:, 2 * d :]
         n = np.tanh(x[:, 2 * d :] + r * inner)
@@ -136,86 +151,132 @@ class GruModel:
 
 
 class Trainer:
-    """Truncated backpropagation over windows with Adam; windows come with the tokens before them."""
+    """Truncated backpropagation over windows with Adam; the state before a window is handed in, or made of the tokens before it."""
 
     def __init__(self, model: GruModel, rate: float = 0.01):
         self.model, self.rate, self.updates = model, rate, 0
         self.mean = [np.zeros_like(p) for p in model.parameters()]
         self.square = [np.zeros_like(p) for p in model.parameters()]
+        self.grads = [np.zeros_like(p) for p in model.parameters()]
+        self.held = 0
+
+    def start(self, lanes: int) -> tuple[np.ndarray, np.ndarray]:
+        """State and last token before a document begins."""
+        return np.zeros((lanes, self.model.hidden), np.float32), np.full(lanes, len(self.model.inputs) - 1)
 
     def update(self, warm: np.ndarray, window: np.ndarray) -> float:
         """warm, window: tokens by lane, padded with -1 (warm at its start, window at its end)."""
-        m, d = self.model, self.model.hidden
-        lanes = len(window)
-        h = np.zeros((lanes, d), np.float32)
-        mark = len(m.inputs) - 1
-        before = np.full(lanes, mark)
+        h, before = self.start(len(window))
         for t in range(warm.shape[1]):
             token = warm[:, t]
             on = token >= 0
             if on.any():
-                new = m.step(h, before)[0]
+                new = self.model.step(h, before)[0]
                 h = np.where(on[:, None], new, h)
                 before = np.where(on, token, before)
-        trail = []
-        for t in range(window.shape[1]):
-            token = window[:, t]
-            new, *inside = m.step(h, before)
-            trail.append((h, before, inside, new, token))
-            h, before = new, np.where(token >= 0, token, before)
-        grads = [np.zeros_like(p) for p in m.parameters()]
-        d_inputs, d_recurrent, d_class, d_class_bias, d_word, d_word_bias = grads
-        on = np.flatnonzero((window >= 0).T.ravel())
-        states = np.concatenate([x[3] for x in trail])[on]
-        targets = window.T.ravel()[on]
-        n = max(len(on), 1)
-        logp = _log_softmax(states @ m.class_out + m.class_bias)
-        kinds = m.token_class[targets]
-        loss = -logp[np.arange(len(on)), kinds].sum()
-        d_logits = np.exp(logp)
-        d_logits[np.arange(len(on)), kinds] -= 1
-        d_logits /= n
-        d_class += states.T @ d_logits
+        return self.carry(h, before, window)[0]
+
+    def carry(self, h: np.ndarray, before: np.ndarray, window: np.ndarray, least: int = 1) -> tuple[float, np.ndarray, np.ndarray]:
+        """Loss by token, and state and last token after the window, of use where it has no padding.
+
+        Gradients wait until they come from `least` tokens, so that a few lanes do not make updates of their own.
+        """
+        m, d = self.model, self.model.hidden
+        lanes, steps = window.shape
+        fed = np.concatenate([before[:, None], window[:, :-1]], axis=1).T.copy()
+        fed[fed < 0] = len(m.inputs) - 1
+        x = m.inputs[fed]
+        states = np.empty((steps + 1, lanes, d), x.dtype)
+        z, r, c, inner = (np.empty((steps, lanes, d), x.dtype) for _ in range(4))
+        states[0] = h
+        for t in range(steps):
+            states[t + 1], z[t], r[t], c[t], inner[t] = m.step_from(states[t], x[t])
+        flat = window.T.ravel()
+        on = np.flatnonzero(flat >= 0)
+        targets = flat[on]
+        after = states[1:].reshape(-1, d)[on]
+        d_inputs, d_recurrent, d_class, d_class_bias, d_word, d_word_bias = self.grads
+        d_logits = after @ m.class_out
+        d_logits += m.class_bias
+        loss = _minus_target(d_logits, m.token_class[targets])
+        d_class += after.T @ d_logits
         d_class_bias += d_logits.sum(0)
         d_states = d_logits @ m.class_out.T
-        for rows, a, b in m._by_class(targets):
-            inner = _log_softmax(states[rows] @ m.word_out[a:b].T + m.word_bias[a:b])
-            at = targets[rows] - a
-            loss -= inner[np.arange(len(rows)), at].sum()
-            d_inner = np.exp(inner)
-            d_inner[np.arange(len(rows)), at] -= 1
-            d_inner /= n
-            d_word[a:b] += d_inner.T @ states[rows]
-            d_word_bias[a:b] += d_inner.sum(0)
-            d_states[rows] += d_inner @ m.word_out[a:b]
-        spread = np.zeros((lanes * window.shape[1], d), np.float32)
+        order = np.argsort(m.token_class[targets], kind="stable")
+        order = order[: np.searchsorted(targets[order] >= m.words, True)]  # groups come after all classes of words
+        own, word = after[order], targets[order]
+        d_own = np.zeros_like(own)
+        edges = np.searchsorted(m.word_class[word], np.arange(len(m.first))).tolist() if m.words else []
+        for k, (s, e) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+            a, b = int(m.first[k]), int(m.first[k + 1])
+            if s < e and b - a > 1:
+                d_inner = own[s:e] @ m.word_out[a:b].T
+                d_inner += m.word_bias[a:b]
+                loss += _minus_target(d_inner, word[s:e] - a)
+                d_word[a:b] += d_inner.T @ own[s:e]
+                d_word_bias[a:b] += d_inner.sum(0)
+                np.matmul(d_inner, m.word_out[a:b], out=d_own[s:e])
+        d_states[order] += d_own
+        spread = np.zeros((steps * lanes, d), d_states.dtype)
         spread[on] = d_states
-        spread = spread.reshape(window.shape[1], lanes, d)
-        d_h = np.zeros((lanes, d), np.float32)
-        for t in range(window.shape[1] - 1, -1, -1):
-            h0, token, (z, r, c, inner), _, _ = trail[t]
-            d_new = d_h + spread[t]
-            d_c = d_new * (1 - z) * (1 - c * c)
-            d_m = np.concatenate([d_new * (h0 - c) * z * (1 - z), d_c * inner * r * (1 - r), d_c * r], axis=1)
-            d_recurrent += h0.T @ d_m
-            d_x = d_m.copy()
-            d_x[:, 2 * d :] = d_c
-            np.add.at(d_inputs, token, d_x)
-            d_h = d_new * z + d_m @ m.recurrent.T
-        self._adam(grads)
-        return float(loss / n)
+        spread = spread.reshape(steps, lanes, d)
+        rest = 1 - z
+        by_c, by_z, by_r = rest * (1 - c * c), (states[:-1] - c) * z * rest, inner * r * (1 - r)
+        d_x = np.empty((steps, lanes, 3 * d), d_states.dtype)
+        d_m = np.empty((lanes, 3 * d), d_states.dtype)
+        d_h = np.zeros((lanes, d), d_states.dtype)
+        back = np.ascontiguousarray(m.recurrent.T)
+        for t in range(steps - 1, -1, -1):
+            d_h += spread[t]
+            row = d_x[t]
+            d_c = row[:, 2 * d :]
+            np.multiply(d_h, by_c[t], out=d_c)
+            np.multiply(d_h, by_z[t], out=row[:, :d])
+            np.multiply(d_c, by_r[t], out=row[:, d : 2 * d])
+            d_m[:, : 2 * d] = row[:, : 2 * d]
+            np.multiply(d_c, r[t], out=d_m[:, 2 * d :])
+            d_h *= z[t]
+            d_h += d_m @ back
+        d_x = d_x.reshape(-1, 3 * d)
+        order = np.argsort(fed, axis=None, kind="stable")
+        token = fed.ravel()[order]
+        first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        d_inputs[token[first]] += np.add.reduceat(d_x[order], first, axis=0)
+        d_x[:, 2 * d :] *= r.reshape(-1, d)
+        d_recurrent += states[:-1].reshape(-1, d).T @ d_x
+        self.held += len(on)
+        if self.held >= least:
+            self.settle()
+        return -loss / max(len(on), 1), states[-1], window[:, -1]
+
+    def settle(self) -> None:
+        """An update by the mean of the gradients that wait."""
+        if self.held:
+            for g in self.grads:
+                g /= self.held
+            self._adam(self.grads)
+            for g in self.grads:
+                g[...] = 0
+            self.held = 0
 
     def _adam(self, grads: list[np.ndarray]) -> None:
         self.updates += 1
-        norm = np.sqrt(sum(float((g * g).sum()) for g in grads))
+        norm = np.sqrt(sum(float(np.vdot(g, g)) for g in grads))
         scale = min(1.0, 1.0 / (norm + 1e-12))
         a, b = 0.9, 0.98
         rate = self.rate * np.sqrt(1 - b**self.updates) / (1 - a**self.updates)
         for p, g, m, v in zip(self.model.parameters(), grads, self.mean, self.square, strict=True):
             g *= scale
-            m += (1 - a) * (g - m)
-            v += (1 - b) * (g * g - v)
-            p -= (rate * m / (np.sqrt(v) + 1e-8)).astype(np.float32)
+            m *= a
+            m += (1 - a) * g
+            g *= g
+            v *= b
+            v += (1 - b) * g
+            np.sqrt(v, out=g)
+            g += 1e-8
+            np.divide(m, g, out=g)
+            g *= rate
+            p -= g
 
 
 def to_bytes(flat: np.ndarray) -> bytes:

@@ -9,8 +9,9 @@ and within a group a word's share comes from its count:
 
 so that each group's shares and the one of unknown words add up to one. Every
 task trains a replica on its documents by truncated backpropagation, on every
-`TRAIN_EVERY`-th window of each training document; replicas are averaged, by
-trained tokens, in two levels. The work of training so grows with the corpus.
+window of every training document; the state goes on from window to window to
+a document's end. Replicas are averaged, by trained tokens, in two levels. The
+work of training so grows with the corpus.
 Counts of the `KNOWN` most frequent tokens, a table of fixed size, go to every
 task; the remaining tokens meet their counts in a join, which is exact too.
 
@@ -40,7 +41,7 @@ from aspectra.session import ship_code
 
 WORDS, CLASSES, GROUPS = 2048, 32, 32
 KNOWN, LONGEST_KNOWN = 200_000, 64
-TRAIN_EVERY, TRAIN_LANES = 8, 64
+TRAIN_LANES = 64
 END = b""
 FLUSH_WORDS = 400_000
 
@@ -126,42 +127,60 @@ def _numbered(words: list[bytes], places: dict[bytes, int], token: np.ndarray, h
     return place, out
 
 
-def train(training: DataFrame, shared, every: int = TRAIN_EVERY) -> np.ndarray | None:
+class Reader:
+    """Reads documents side by side, a lane each, and trains on every window of them."""
+
+    def __init__(self, trainer: Trainer, seed: int, lanes: int = TRAIN_LANES):
+        self.trainer, self.lanes, self.rng = trainer, lanes, np.random.default_rng(seed)
+        self.waiting: list[np.ndarray] = []
+        self.reading: list[np.ndarray] = []
+        self.h, self.before = trainer.start(0)
+        self.windows = self.trained = 0
+
+    def add(self, tokens: np.ndarray) -> None:
+        self.waiting.append(tokens)
+        self.windows += -(-len(tokens) // WINDOW)
+        if self.windows >= 128 * self.lanes:
+            self.rng.shuffle(self.waiting)
+            while self.windows >= 64 * self.lanes:
+                self._read()
+
+    def finish(self) -> None:
+        self.waiting.sort(key=len)  # the longest are read first, so that few lanes are left over
+        while self.waiting or self.reading:
+            self._read()
+        self.trainer.settle()
+
+    def _read(self) -> None:
+        """One window of each lane; lanes at their document's end take the next that waits."""
+        new = [self.waiting.pop() for _ in range(min(self.lanes - len(self.reading), len(self.waiting)))]
+        self.windows -= sum(-(-len(t) // WINDOW) for t in new)
+        self.reading += new
+        h, before = self.trainer.start(len(new))
+        window = np.full((len(self.reading), WINDOW), -1)
+        for row, tokens in zip(window, self.reading, strict=True):
+            row[: len(tokens)] = tokens[:WINDOW]
+        _, h, before = self.trainer.carry(np.concatenate([self.h, h]), np.concatenate([self.before, before]), window, self.lanes * WINDOW // 2)
+        self.trained += int((window >= 0).sum())
+        on = [i for i, tokens in enumerate(self.reading) if len(tokens) > WINDOW]
+        self.reading = [self.reading[i][WINDOW:] for i in on]
+        self.h, self.before = h[on], before[on]
+
+
+def train(training: DataFrame, shared) -> np.ndarray | None:
     """Average of the replicas that tasks train, weighted by trained tokens."""
 
     def replica(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = shared.value
         places, token, _ = lexicon.lookup()
         trainer = Trainer(lexicon.model())
-        rng = np.random.default_rng(TaskContext.get().partitionId())
-        waiting: list[tuple[np.ndarray, np.ndarray]] = []
-        trained = 0
-
-        def learn(some: list[tuple[np.ndarray, np.ndarray]]) -> int:
-            warm, window = np.full((len(some), WINDOW), -1), np.full((len(some), WINDOW), -1)
-            for i, (a, b) in enumerate(some):
-                warm[i, WINDOW - len(a) :] = a
-                window[i, : len(b)] = b
-            trainer.update(warm, window)
-            return int((window >= 0).sum())
-
+        reader = Reader(trainer, TaskContext.get().partitionId())
         for batch in batches:
-            for doc_id, text in zip(batch["id"].to_pylist(), batch["text"], strict=True):
-                words = tokens_of(text.as_py())
-                turn = zlib.crc32(str(doc_id).encode()) // 5 % every
-                for s in range(turn * WINDOW, len(words), every * WINDOW):
-                    low = max(0, s - WINDOW)
-                    tokens = _numbered(words[low : s + WINDOW], places, token, lexicon.head)[1]
-                    waiting.append((tokens[: s - low], tokens[s - low :]))
-            if len(waiting) >= 64 * TRAIN_LANES:
-                rng.shuffle(waiting)
-                while len(waiting) >= TRAIN_LANES:
-                    trained += learn([waiting.pop() for _ in range(TRAIN_LANES)])
-        rng.shuffle(waiting)
-        while waiting:
-            trained += learn([waiting.pop() for _ in range(min(TRAIN_LANES, len(waiting)))])
-        if trained:
-            yield pa.RecordBatch.from_pydict({"weight": pa.array([float(trained)]), "model": pa.array([to_bytes(trainer.model.pack())], pa.binary())})
+            for text in batch["text"]:
+                reader.add(_numbered(tokens_of(text.as_py()), places, token, lexicon.head)[1])
+        reader.finish()
+        if reader.trained:
+            yield pa.RecordBatch.from_pydict({"weight": pa.array([float(reader.trained)]), "model": pa.array([to_bytes(trainer.model.pack())], pa.binary())})
 
     def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight, total = 0.0, None

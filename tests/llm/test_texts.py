@@ -289,6 +289,41 @@ def test_language_model_rows(spark):
     assert score_documents(df.limit(0)).count() == 0
 
 
+def test_training_reads_every_window_of_every_document(monkeypatch):
+    """Also documents shorter than a window, and with the state of the windows before."""
+    from aspectra.llm import lm_score
+
+    seen, rng = [], np.random.default_rng(3)
+    model = GruModel(np.arange(900.0, 0, -1), np.ones(2), 4, hidden=4)
+    trainer = Trainer(model, rate=0.0)
+    carry = trainer.carry
+
+    def watched(h, before, window, least):
+        out = carry(h, before, window, least)
+        seen.extend(zip(h, before, window, strict=True))
+        return out
+
+    monkeypatch.setattr(trainer, "carry", watched)
+    reader = lm_score.Reader(trainer, 0, lanes=3)
+    documents = [np.concatenate([[i], rng.integers(100, 902, n - 1)]) for i, n in enumerate((1, 2, 31, 32, 33, 64, 65, 700, *[40] * 80))]
+    for d in documents:
+        reader.add(d)
+    reader.finish()
+    want = []
+    for d in documents:
+        h, before = trainer.start(1)
+        for s in range(0, len(d), 32):
+            want.append((before[0], d[s : s + 32].tolist(), h[0]))
+            for t in d[s : s + 32]:
+                h, before = model.step(h, before)[0], np.array([t])
+    key = lambda x: (x[1], x[0])
+    got = sorted(((b, w[w >= 0].tolist(), h) for h, b, w in seen), key=key)
+    want.sort(key=key)
+    assert [x[:2] for x in got] == [x[:2] for x in want]
+    assert np.allclose([x[2] for x in got], [x[2] for x in want], atol=1e-5)
+    assert reader.trained == sum(map(len, documents)) and trainer.held == 0 and trainer.updates > 0
+
+
 def test_language_model_beats_the_base(spark, small):
     found = [r for r in Q.op4_lm_score(spark, small.replace("0.001", "0.01")).collect() if r["held_out"]]
     assert sum(r["score"] for r in found) > sum(r["base_score"] for r in found)

@@ -254,6 +254,11 @@ def _verified(batches: Iterator[pa.RecordBatch], at_least: float) -> Iterator[pa
 
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", at_least: float = AT_LEAST) -> DataFrame:
     """doc_id, class_id (smallest id of its class), class_size (documents), kept, for every row."""
+    return _classes(docs, id_col, text_col, at_least).select("doc_id", "class_id", "class_size", "kept")
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, at_least: float) -> DataFrame:
+    """The same with each row's text key, and whether it has the one (id, text) that stays of its class."""
     spark = docs.sparkSession
     ship_code(spark)
     n = partitions_for(spark)
@@ -316,22 +321,29 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
         parts = connected_components(links)
 
     classed = nodes.select("key", "node", "smallest", "copies").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    summary = classed.groupBy("component").agg(F.min("smallest").alias("class_id"), F.sum("copies").alias("class_size"))
-    of_key = classed.join(summary, "component").select("key", "class_id", "class_size")
-    rows = digest.select("doc_id", F.when(F.col("shingles") > 0, F.col("key")).alias("key")).join(of_key, "key", "left")
+    least = F.min(F.struct(F.col("smallest").isNull().alias("none"), "smallest", "key")).alias("least")
+    summary = classed.groupBy("component").agg(F.min("smallest").alias("class_id"), F.sum("copies").alias("class_size"), least)
+    of_key = classed.join(summary, "component").select("key", "class_id", "class_size", (F.col("key") == F.col("least.key")).alias("chosen"))
+    rows = digest.select("doc_id", "key").join(of_key, "key", "left")
     class_id = F.when(F.col("class_size").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))
-    return rows.select("doc_id", class_id.alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), class_id.eqNullSafe(F.col("doc_id")).alias("kept"))
+    kept = class_id.eqNullSafe(F.col("doc_id"))
+    return rows.select(
+        "doc_id", class_id.alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), kept.alias("kept"), "key", (kept & F.coalesce("chosen", F.lit(True))).alias("stays")
+    )
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each class, all its columns unchanged: the one of smallest id, once.
 
-    Repeated rows of a kept id are reduced to one only where there are any.
+    Rows are found again by id and text, either of which may be null. Under one
+    id, or none, unlike texts stay; of near copies one text stays. Repeats of an
+    id with the same text come once; without any, that step would change nothing
+    and is left out.
     """
-    classes = near_duplicate_classes(docs, id_col, text_col).where("kept")
-    kept = stored(classes.groupBy(F.col("doc_id").alias("_kept_id")).agg(F.count("*").alias("_n")), "kept")
-    same = F.col(f"`{id_col}`").eqNullSafe(F.col("_kept_id"))
+    rows = _classes(docs, id_col, text_col, AT_LEAST).where("stays")
+    kept = stored(rows.groupBy(F.col("doc_id").alias("_kept_id"), F.col("key").alias("_kept_key")).agg(F.count("*").alias("_n")), "kept")
+    same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_kept_id")) & F.unhex(F.md5(F.col(f"`{text_col}`"))).eqNullSafe(F.col("_kept_key"))
     out = docs.join(kept.hint("shuffle_hash"), same, "left_semi")
     if kept.where("_n > 1").limit(1).count():
-        out = out.dropDuplicates([id_col])
+        out = out.dropDuplicates([id_col, text_col])
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])

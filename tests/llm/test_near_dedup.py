@@ -76,6 +76,20 @@ def test_odd_rows(spark):
     assert N.near_duplicate_classes(df.limit(0)).count() == 0
 
 
+def test_unlike_texts_under_one_id_or_none_stay(spark):
+    rng = random.Random(6)
+    one, two, three, four, five = ([f"{c}{i}" for i in range(60)] for c in "abcde")
+    near = lambda w: mutate(rng, w, 1)
+    rows = [(None, " ".join(one)), (None, " ".join(two)), (None, near(two)), (None, None), (None, " ")]
+    rows += [(5, " ".join(three)), (5, near(three)), (5, " ".join(four)), (9, near(four)), (None, near(four)), (5, None), (7, " ".join(five))]
+    for data in (rows, [*rows, rows[0], rows[5], rows[11], rows[3]]):
+        df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(data)], "doc_id long, text string, row long")
+        left = [(r["doc_id"], r["text"]) for r in N.drop_near_duplicates(df).collect()]
+        assert set(left) <= set(rows) and len(set(left)) == len(left) == 8
+        groups = [(rows[0],), rows[1:3], (rows[3],), (rows[4],), rows[5:7], (rows[7],), (rows[10],), (rows[11],)]
+        assert all(sum(x in g for x in left) == 1 for g in groups)
+
+
 def test_leftover_rounds_join_what_a_first_member_parts(spark, monkeypatch):
     """A bucket whose first text is near none of the others must still link those."""
     rng = random.Random(8)

@@ -1,7 +1,9 @@
 import collections
+import math
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from aspectra.llm import near_dedup as N
 from aspectra.llm.common import connected_components
@@ -76,6 +78,16 @@ def test_odd_rows(spark):
     assert N.near_duplicate_classes(df.limit(0)).count() == 0
 
 
+def test_few_links_are_ruled_out_by_signatures():
+    n, p = N.REGISTERS, N.AT_LEAST
+    lost = sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(math.ceil(N.RULED_OUT * n)))
+    assert lost < 1e-6
+    ones = np.ones(n, np.uint8)
+    other = np.where(np.arange(n) < round(0.68 * n), 1, 2).astype(np.uint8)
+    batch = pa.RecordBatch.from_pydict({"a": [1], "b": [2], "marks_a": [ones.tobytes()], "marks_b": [other.tobytes()]})
+    assert [b.num_rows for b in N._likely([batch])] == [1]
+
+
 def test_unlike_texts_under_one_id_or_none_stay(spark):
     rng = random.Random(6)
     one, two, three, four, five = ([f"{c}{i}" for i in range(60)] for c in "abcde")

@@ -12,13 +12,15 @@ costs little more than one point per shingle.
 
 Bands of registers make candidates. Of texts that share a band each meets the
 band's first; links are verified by exact multiset overlap, and components are
-formed. Bands whose texts still lie in several components are gone through
-twice more, block against block: first only the likeliest pairs that would join
-components, a forest of them; then every pair across components that agrees on
-a band and whose signatures do not rule out the limit. No pairs are made within
-one component. A link between different components is lost by chance only: at a
-similarity of just 0.8 the bands miss it with 2.9e-6 and the signatures rule it
-out with 5.0e-7, together 3.4e-6 at most; at 0.82 2.5e-7 and 3.9e-9.
+formed. In bands whose texts still lie in several components, the texts outside
+the band's largest component then meet all others of the band, block against
+block: signatures rule out most of these pairs, and the texts of what is left
+are brought to the block, verified there, and given out as a forest of verified
+links. So no rows are made for pairs, neither inside a component nor across; a
+task gives at most one row for each text it holds. A link between different
+components is lost by chance only: at a similarity of just 0.8 the bands miss it
+with 2.9e-6 and the signatures rule it out with 5.0e-7, together 3.4e-6 at most;
+at 0.82 2.5e-7 and 3.9e-9.
 
 Cases: shingles are five words, words are runs of characters other than ASCII
 white space; a text of one to four words is one shingle; null texts and texts
@@ -41,11 +43,11 @@ from aspectra.llm.hashing import join_texts, mix, word_hashes, word_spans
 from aspectra.llm.tokenizing import forget_encoders, in_slices
 from aspectra.session import ship_code
 
-SHINGLE, REGISTERS, ROWS, BANDS, AT_LEAST, BLOCK = 5, 256, 6, 42, 0.8, 1024
+SHINGLE, REGISTERS, ROWS, BANDS, AT_LEAST = 5, 256, 6, 42, 0.8
+#: A block of texts that meets another one holds so many texts, and shingles, on average at most.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
 #: Agreement of signatures below which a similarity of 0.8 is ruled out: 5.2 standard deviations of 256 registers.
 RULED_OUT = 0.67
-#: Agreement that makes a link likely.
-LIKELY = 0.80
 TICKS = float(1 << 32)
 FAR = np.iinfo(np.int64).max
 
@@ -170,56 +172,9 @@ def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.select(["a", "b"]).filter(pa.array((one == two).mean(axis=1) >= RULED_OUT))
 
 
-def _across(batches: Iterator[pa.RecordBatch], level: float, forest: bool) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by block task: pairs of different components, one of either side, that agree to the level.
-
-    A pair goes out from the first band that it shares only. As a forest, pairs
-    come in falling order of agreement and only if they join what is still apart.
-    """
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by (band, i, j), cut into the tables of each."""
     held: list[pa.RecordBatch] = []
-
-    def meet() -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(held)
-        left, right = rows["left"].to_numpy(), rows["right"].to_numpy()
-        if not left.any() or not right.any():
-            return
-        node, part, many = (rows[c].to_numpy() for c in ("node", "component", "shingles"))
-        band = rows["band"][0].as_py()
-        marks = np.frombuffer(b"".join(rows["marks"].to_pylist()), np.uint8).reshape(len(node), -1)
-        listed = rows["bands"].combine_chunks()
-        bands = listed.flatten().to_numpy().reshape(len(node), -1)
-        x, y = np.flatnonzero(left), np.flatnonzero(right)
-        one, two, agreed = [], [], []
-        for i in x.tolist():
-            ratio = np.minimum(many[i], many[y]) >= AT_LEAST * np.maximum(many[i], many[y])
-            twice = right[i] & left[y] & (node[y] < node[i])  # within one block either order would come
-            j = y[(part[y] != part[i]) & ratio & ~twice]
-            agree = (marks[j] == marks[i]).mean(axis=1)
-            j, agree = j[agree >= level], agree[agree >= level]
-            here = bands[i, (bands[j] == bands[i]).argmax(axis=1)] == band
-            one.append(np.full(int(here.sum()), i))
-            two.append(j[here])
-            agreed.append(agree[here])
-        one, two, agreed = np.concatenate(one), np.concatenate(two), np.concatenate(agreed)
-        if forest:
-            parent: dict[int, int] = {}
-
-            def root(c: int) -> int:
-                while (up := parent.get(c, c)) != c:
-                    parent[c] = parent.get(up, up)
-                    c = up
-                return c
-
-            keep = []
-            for k in np.argsort(-agreed, kind="stable").tolist():
-                p, q = root(int(part[one[k]])), root(int(part[two[k]]))
-                if p != q:
-                    parent[p] = q
-                    keep.append(k)
-            one, two = one[keep], two[keep]
-        if len(one):
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[one], node[two])), pa.array(np.maximum(node[one], node[two]))], names=["a", "b"])
-
     current = None
     for batch in batches:
         keys = np.stack([batch[c].to_numpy() for c in ("band", "i", "j")], 1)
@@ -228,12 +183,91 @@ def _across(batches: Iterator[pa.RecordBatch], level: float, forest: bool) -> It
             if s == e:
                 continue
             if current is not None and (keys[s] != current).any():
-                yield from meet()
+                yield pa.Table.from_batches(held)
                 held = []
             current = keys[s]
             held.append(batch.slice(s, e - s))
     if held:
-        yield from meet()
+        yield pa.Table.from_batches(held)
+
+
+def _candidates(rows: pa.Table, at_least: float) -> Iterator[tuple[int, np.ndarray]]:
+    """Rows on the left with the rows on the right that may link with them: of another component, of like size, in the
+    first band that both share, and not ruled out by signatures. Two texts that stand on both sides meet once."""
+    left, stray = rows["left"].to_numpy(), rows["stray"].to_numpy()
+    x, y = np.flatnonzero(left), np.flatnonzero(~left)
+    if not len(x) or not len(y):
+        return
+    node, part, many = (rows[c].to_numpy() for c in ("node", "component", "shingles"))
+    band = rows["band"][0].as_py()
+    marks = np.frombuffer(b"".join(rows["marks"].to_pylist()), np.uint8).reshape(len(node), -1)
+    bands = rows["bands"].combine_chunks().flatten().to_numpy().reshape(len(node), -1)
+    for i in x.tolist():
+        ratio = np.minimum(many[i], many[y]) >= at_least * np.maximum(many[i], many[y])
+        j = y[(part[y] != part[i]) & ratio & ~(stray[y] & (node[y] < node[i]))]
+        j = j[(marks[j] == marks[i]).mean(axis=1) >= RULED_OUT]
+        j = j[bands[i, (bands[j] == bands[i]).argmax(axis=1)] == band]
+        if len(j):
+            yield i, j
+
+
+def _open(batches: Iterator[pa.RecordBatch], at_least: float) -> Iterator[pa.RecordBatch]:
+    """The rows of block tasks that have a candidate."""
+    for rows in _blocks(batches):
+        wanted = np.zeros(rows.num_rows, bool)
+        for i, j in _candidates(rows, at_least):
+            wanted[i] = True
+            wanted[j] = True
+        if wanted.any():
+            yield from rows.select(["band", "i", "j", "node", "component", "left", "stray"]).filter(pa.array(wanted)).to_batches()
+
+
+def elements(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Numbers for (shingle, how often it came before in its text): multiset overlap is overlap of these sets."""
+    text, _, counts = multisets(hashes, bounds)
+    before = np.arange(len(hashes)) - np.repeat(np.cumsum(counts) - counts, counts)
+    return np.unique(mix(hashes + before.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_inverse=True)[1]
+
+
+def _forest(batches: Iterator[pa.RecordBatch], at_least: float) -> Iterator[pa.RecordBatch]:
+    """Block tasks with texts: verified links that join what is still apart within the task."""
+    for rows in _blocks(batches):
+        node, part = rows["node"].to_numpy(), rows["component"].to_numpy()
+        place = {n: k for k, n in enumerate(dict.fromkeys(node.tolist()))}
+        texts: list[bytes] = [b""] * len(place)
+        for n, t in zip(node.tolist(), rows["text"].to_pylist(), strict=True):
+            texts[place[n]] = t.encode()
+        hashes, bounds = shingle_hashes(texts)
+        code, has = elements(hashes, bounds), np.zeros(len(hashes) + 1, bool)
+        size, of = np.diff(bounds), np.array([place[n] for n in node.tolist()])
+        parent: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while (up := parent.get(c, c)) != c:
+                parent[c] = parent.get(up, up)
+                c = up
+            return c
+
+        links = []
+        for i, j in _candidates(rows, at_least):
+            own = root(int(part[i]))
+            j = j[[root(c) != own for c in part[j].tolist()]]
+            if not len(j):
+                continue
+            one, two = of[i], of[j]
+            mine = code[bounds[one] : bounds[one + 1]]
+            has[mine] = True
+            theirs = np.concatenate([code[bounds[t] : bounds[t + 1]] for t in two.tolist()])
+            shared = np.add.reduceat(has[theirs], np.cumsum(size[two]) - size[two], dtype=np.int64)
+            has[mine] = False
+            for k in np.flatnonzero(shared >= at_least * (size[one] + size[two] - shared)).tolist():
+                p, q = root(int(part[i])), root(int(part[j[k]]))
+                if p != q:
+                    parent[p] = q
+                    links.append((int(min(node[i], node[j[k]])), int(max(node[i], node[j[k]]))))
+        if links:
+            a, b = zip(*links, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 def _verified(batches: Iterator[pa.RecordBatch], at_least: float) -> Iterator[pa.RecordBatch]:
@@ -274,55 +308,63 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, at_least: float) -> Da
         .select(F.monotonically_increasing_id().alias("node"), "key", "smallest", "copies", "s.*")
     )
     nodes = stored(nodes, "nodes")
-    banded = nodes.select("node", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1")
+    banded = nodes.select("node", "shingles", F.explode("bands").alias("band"))
+    shared = banded.groupBy("band").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1").select("band", "first")
     members = stored(banded.join(shared, "band"), "bands")
-    marked = nodes.select("node", "shingles", "marks")
     texts = source.select("doc_id", "key", "text")
 
     def likely(pairs: DataFrame) -> DataFrame:
-        side = lambda x: marked.select(F.col("node").alias(x), F.col("shingles").alias(f"n_{x}"), F.col("marks").alias(f"marks_{x}"))
+        side = lambda x: nodes.select(F.col("node").alias(x), F.col("shingles").alias(f"n_{x}"), F.col("marks").alias(f"marks_{x}"))
         sized = pairs.join(side("a"), "a").join(side("b"), "b")
         sized = sized.where(F.least("n_a", "n_b") >= F.lit(at_least) * F.greatest("n_a", "n_b"))
         return sized.select("a", "b", "marks_a", "marks_b").mapInArrow(_likely, "a long, b long")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Texts of the nodes in question are fetched once; then pairs meet them."""
-        wanted = pairs.select(F.col("a").alias("node")).distinct().unionByName(pairs.select(F.col("b").alias("node")).distinct()).distinct()
-        wanted = wanted.join(nodes.select("node", "key", "smallest"), "node")
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        """(node, text) of the nodes in question, each fetched once and written."""
+        wanted = wanted.distinct().join(nodes.select("node", "key", "smallest"), "node")
         same = (texts["key"] == wanted["key"]) & texts["doc_id"].eqNullSafe(wanted["smallest"])
-        found = texts.join(wanted.hint("shuffle_hash"), same).select("node", "text").dropDuplicates(["node"])
-        found = stored(found, "texts")
+        return stored(texts.join(wanted.hint("shuffle_hash"), same).select("node", "text").dropDuplicates(["node"]), "texts")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        found = texts_of(pairs.select(F.col("a").alias("node")).distinct().unionByName(pairs.select(F.col("b").alias("node")).distinct()))
         both = pairs.join(found.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
         both = both.join(found.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
         return both.select("a", "b", "text_a", "text_b").mapInArrow(lambda b: _verified(b, at_least), "a long, b long")
 
+    def across(parts: DataFrame) -> DataFrame:
+        """Verified links between components, from bands that hold several: a forest of each block task."""
+        placed = members.select("band", "node", "shingles").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        held = placed.groupBy("band", "component").agg(F.count("*").alias("n"), F.sum("shingles").alias("s"))
+        mixed = held.groupBy("band").agg(F.max(F.struct("n", "s", "component")).alias("main"), F.sum("n").alias("n"), F.sum("s").alias("s")).where("main.n < n")
+        blocks = lambda n, s: F.ceil(F.greatest(n / F.lit(BLOCK), s / F.lit(BLOCK_SHINGLES))).cast("int")
+        strays = blocks(F.col("n") - F.col("main.n"), F.col("s") - F.col("main.s"))
+        sized = mixed.select("band", F.col("main.component").alias("main"), strays.alias("lefts"), blocks(F.col("n"), F.col("s")).alias("rights"))
+        rest = placed.select("band", "node", "component").join(sized, "band").withColumn("stray", F.col("component") != F.col("main"))
+        block = lambda of: F.pmod(F.xxhash64("node"), F.col(of)).cast("int")
+        other = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+        names = ["band", "i", "j", "node", "component", "left", "stray"]
+        ones = rest.where("stray").select("*", block("lefts").alias("i"), other("rights").alias("j"), F.lit(True).alias("left")).select(names)
+        twos = rest.select("*", block("rights").alias("j"), other("lefts").alias("i"), F.lit(False).alias("left")).select(names)
+        facts = nodes.select("node", "shingles", "marks", "bands")
+
+        def dealt(rows: DataFrame) -> DataFrame:
+            return rows.repartition(n, "band", "i", "j").sortWithinPartitions("band", "i", "j")
+
+        open_ = dealt(ones.unionByName(twos).join(facts, "node")).mapInArrow(lambda b: _open(b, at_least), "band long, i int, j int, node long, component long, left boolean, stray boolean")
+        open_ = stored(open_, "open")
+        full = open_.join(facts, "node").join(texts_of(open_.select("node")), "node")
+        return dealt(full).mapInArrow(lambda b: _forest(b, at_least), "a long, b long")
+
     first = members.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-    tried = stored(likely(first), "pairs")
-    links = stored(verified(tried), "links")
-    parts = connected_components(links)
-
-    def across(parts: DataFrame, level: float, forest: bool) -> DataFrame:
-        """Pairs from bands that still hold several components, without those tried before."""
-        placed = members.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("n").alias("size")).where("low <> high")
-        blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
-        rest = placed.select("band", "node", "component").join(mixed.select("band", blocks.alias("blocks")), "band")
-        rest = rest.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        i, j = F.least("block", "other"), F.greatest("block", "other")
-        tasks = rest.select("band", i.alias("i"), j.alias("j"), "node", "component", (F.col("block") == i).alias("left"), (F.col("block") == j).alias("right"))
-        full = tasks.join(nodes.select("node", "shingles", "marks", "bands"), "node")
-        ordered = full.repartition(n, "band", "i", "j").sortWithinPartitions("band", "i", "j")
-        return ordered.mapInArrow(lambda b: _across(b, level, forest), "a long, b long").distinct()
-
-    for level, forest in ((LIKELY, True), (RULED_OUT, False)):
-        fresh = stored(across(parts, level, forest).join(tried, ["a", "b"], "left_anti"), "pairs")
-        tried = tried.unionByName(fresh)
-        links = links.unionByName(stored(verified(fresh), "links"))
-        parts = connected_components(links)
+    parts = connected_components(stored(verified(stored(likely(first), "pairs")), "links"))
+    more = stored(across(parts), "links")
+    of = lambda x: parts.select(F.col("node").alias(x), F.col("component").alias(f"part_{x}"))
+    joined = more.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    joined = connected_components(joined.select(F.coalesce("part_a", "a").alias("a"), F.coalesce("part_b", "b").alias("b")))
+    joined = joined.select(F.col("node").alias("component"), F.col("component").alias("joined"))
 
     classed = nodes.select("key", "node", "smallest", "copies").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    classed = classed.join(joined, "component", "left").withColumn("component", F.coalesce("joined", "component"))
     least = F.min(F.struct(F.col("smallest").isNull().alias("none"), "smallest", "key")).alias("least")
     summary = classed.groupBy("component").agg(F.min("smallest").alias("class_id"), F.sum("copies").alias("class_size"), least)
     of_key = classed.join(summary, "component").select("key", "class_id", "class_size", (F.col("key") == F.col("least.key")).alias("chosen"))

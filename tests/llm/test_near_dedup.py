@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 
 from aspectra.llm import near_dedup as N
-from aspectra.llm.common import connected_components
+from aspectra.llm.common import connected_components, stored
 from tests.llm.brute import components, jaccard, near_classes, shingles
 
 
@@ -102,6 +102,67 @@ def test_unlike_texts_under_one_id_or_none_stay(spark):
         assert all(sum(x in g for x in left) == 1 for g in groups)
 
 
+def near_copies(n, seed=3, words=120):
+    """Copies of one text with about a tenth of it changed: pairs lie on both sides of the limit."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(5000)}" for _ in range(words)]
+    return {k: mutate(rng, base, rng.randrange(1, 4)) for k in range(n)}
+
+
+def test_recall_of_links_and_classes_in_a_dense_group(spark, monkeypatch):
+    """Every class that brute force links is found whole, whichever blocks its texts fall in."""
+    docs = near_copies(120) | {1000 + k: t for k, t in near_copies(60, 4).items()}
+    found = {k: shingles(t) for k, t in docs.items()}
+    links = [(a, b) for a in docs for b in docs if a < b and jaccard(found[a], found[b]) >= 0.8]
+    hashes, bounds = N.shingle_hashes([t.encode() for t in docs.values()])
+    keys = N.band_keys(N.signatures(*N.multisets(hashes, bounds), len(docs)))
+    place = {k: i for i, k in enumerate(docs)}
+    assert sum((keys[place[a]] == keys[place[b]]).any() for a, b in links) == len(links) > 1000
+    monkeypatch.setattr(N, "BLOCK", 7)
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    assert {r["doc_id"]: r["class_id"] for r in N.near_duplicate_classes(df).collect()} == near_classes(docs)
+
+
+def test_rows_grow_with_the_group_not_its_square(spark, monkeypatch):
+    written = {}
+
+    def counted(df, label, **options):
+        out = stored(df, label, **options)
+        written[label] = max(written.get(label, 0), out.count())
+        return out
+
+    monkeypatch.setattr(N, "stored", counted)
+    rows = []
+    for n in (150, 300, 600):
+        written.clear()
+        N.near_duplicate_classes(spark.createDataFrame(list(near_copies(n).items()), "doc_id long, text string")).count()
+        rows.append(written["pairs"] + written["links"] + written["open"])
+    assert rows[1] <= 2.6 * rows[0] and rows[2] <= 2.6 * rows[1]
+    assert written["pairs"] <= 42 * 600 and written["links"] <= 10 * 600
+
+
+def test_forest_of_a_block_joins_each_component_once():
+    texts = list(near_copies(30).values())
+    hashes, bounds = N.shingle_hashes([t.encode() for t in texts])
+    sig = N.signatures(*N.multisets(hashes, bounds), len(texts))
+    keys = N.band_keys(sig)
+    marks = [m.tobytes() for m in (N.mix(sig.astype(np.uint64)) & np.uint64(0xFF)).astype(np.uint8)]
+    band = collections.Counter(keys.ravel().tolist()).most_common(1)[0][0]
+    among = [i for i in range(len(texts)) if band in keys[i]]
+    first = {b: min(i for i in among if b in keys[i]) for b in {band}}[band]
+    rows = [(i, left) for i in among for left in (True, False) if not left or i != first]
+    columns = {
+        "band": [band] * len(rows), "i": [0] * len(rows), "j": [0] * len(rows), "node": [i for i, _ in rows], "component": [i for i, _ in rows],
+        "left": [x for _, x in rows], "stray": [i != first for i, _ in rows], "shingles": [int(bounds[i + 1] - bounds[i]) for i, _ in rows],
+        "marks": [marks[i] for i, _ in rows], "bands": [keys[i].tolist() for i, _ in rows], "text": [texts[i] for i, _ in rows],
+    }
+    links = [p for b in N._forest([pa.RecordBatch.from_pydict(columns)], 0.8) for p in zip(b["a"].to_pylist(), b["b"].to_pylist())]
+    grams = {i: shingles(texts[i]) for i in among}
+    assert all(jaccard(grams[a], grams[b]) >= 0.8 for a, b in links)
+    want = components(among, [(a, b) for a in among for b in among if a < b and jaccard(grams[a], grams[b]) >= 0.8 and next(k for k in keys[a] if k in keys[b]) == band])
+    assert components(among, links) == want and len(links) == len(among) - len(set(want.values()))
+
+
 def test_leftover_rounds_join_what_a_first_member_parts(spark, monkeypatch):
     """A bucket whose first text is near none of the others must still link those."""
     rng = random.Random(8)

@@ -13,7 +13,7 @@ import io
 import numpy as np
 
 HIDDEN, WINDOW = 16, 32
-LANES, FLUSH = 2048, 1 << 16
+LANES, FLUSH = 2048, 1 << 14
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -24,24 +24,31 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(axis=1, keepdims=True)
-    x -= np.log(np.exp(x).sum(axis=1, keepdims=True))
-    return x
+def _log_share(x: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Log of the softmax of each column of logits at its target; the logits are used up."""
+    x -= x.max(axis=0)
+    picked = x[target, np.arange(len(target))]
+    np.exp(x, out=x)
+    return picked - np.log(np.ones(len(x), x.dtype) @ x)
 
 
 def _minus_target(x: np.ndarray, target: np.ndarray) -> float:
-    """Turns each row of logits into probabilities less one at the target; returns the targets' log-likelihood."""
-    rows = np.arange(len(target))
-    x -= x.max(axis=1, keepdims=True)
-    picked = x[rows, target]
+    """Turns each column of logits into probabilities less one at the target; returns the targets' log-likelihood."""
+    columns = np.arange(len(target))
+    x -= x.max(axis=0)
+    picked = x[target, columns]
     np.exp(x, out=x)
-    total = x.sum(axis=1)
-    x /= total[:, None]
-    x[rows, target] -= 1
+    total = np.ones(len(x), x.dtype) @ x
+    x /= total
+    x[target, columns] -= 1
     return float((picked - np.log(total)).sum())
 
 
+def _order(numbers: np.ndarray, below: int) -> np.ndarray:
+    """Places in rising order of the numbers, equal ones as they stand; small numbers are sorted by their digits."""
+    return np.argsort(numbers.astype(np.uint16) if below <= 1 << 16 else numbers, kind="stable")
+
+
 class GruModel:
     """Parameters: inputs (tokens and a start mark by 3H), recurrent (H by 3H), classes, words."""
 
@@ -89,12 +96,14 @@ class GruModel:
 
     def log_likelihood(self, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Natural log of p(class) and, for words, p(word | class) after each state."""
-        logits = _log_softmax(states @ self.class_out + self.class_bias)
-        out = logits[np.arange(len(targets)), self.token_class[targets]].astype(np.float64)
+        logits = self.class_out.T @ states.T
+        logits += self.class_bias[:, None]
+        out = _log_share(logits, self.token_class[targets]).astype(np.float64)
         for rows, a, b in self._by_class(targets):
             if b - a > 1:
-                inner = _log_softmax(states[rows] @ self.word_out[a:b].T + self.word_bias[a:b])
-                out[rows] += inner[np.arange(len(rows)), targets[rows] - a]
+                inner = self.word_out[a:b] @ states[rows].T
+                inner += self.word_bias[a:b, None]
+                out[rows] += _log_share(inner, targets[rows] - a)
         return out
 
     def _by_class(self, targets: np.ndarray):
@@ -102,7 +111,7 @@ class GruModel:
         if not len(words):
             return
         kind = self.word_class[targets[words]]
-        order = np.argsort(kind, kind="stable")
+        order = _order(kind, len(self.class_bias))
         words, kind = words[order], kind[order]
         edges = [0, *(np.flatnonzero(np.diff(kind)) + 1).tolist(), len(kind)]
         for s, e in zip(edges[:-1], edges[1:], strict=True):
@@ -196,13 +205,13 @@ class Trainer:
         targets = flat[on]
         after = states[1:].reshape(-1, d)[on]
         d_inputs, d_recurrent, d_class, d_class_bias, d_word, d_word_bias = self.grads
-        d_logits = after @ m.class_out
-        d_logits += m.class_bias
+        d_logits = m.class_out.T @ after.T
+        d_logits += m.class_bias[:, None]
         loss = _minus_target(d_logits, m.token_class[targets])
-        d_class += after.T @ d_logits
-        d_class_bias += d_logits.sum(0)
-        d_states = d_logits @ m.class_out.T
-        order = np.argsort(m.token_class[targets], kind="stable")
+        d_class += after.T @ d_logits.T
+        d_class_bias += d_logits.sum(axis=1)
+        d_states = d_logits.T @ m.class_out.T
+        order = _order(m.token_class[targets], len(m.class_bias))
         order = order[: np.searchsorted(targets[order] >= m.words, True)]  # groups come after all classes of words
         own, word = after[order], targets[order]
         d_own = np.zeros_like(own)
@@ -210,12 +219,12 @@ class Trainer:
         for k, (s, e) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
             a, b = int(m.first[k]), int(m.first[k + 1])
             if s < e and b - a > 1:
-                d_inner = own[s:e] @ m.word_out[a:b].T
-                d_inner += m.word_bias[a:b]
+                d_inner = m.word_out[a:b] @ own[s:e].T
+                d_inner += m.word_bias[a:b, None]
                 loss += _minus_target(d_inner, word[s:e] - a)
-                d_word[a:b] += d_inner.T @ own[s:e]
-                d_word_bias[a:b] += d_inner.sum(0)
-                np.matmul(d_inner, m.word_out[a:b], out=d_own[s:e])
+                d_word[a:b] += d_inner @ own[s:e]
+                d_word_bias[a:b] += d_inner.sum(axis=1)
+                np.matmul(d_inner.T, m.word_out[a:b], out=d_own[s:e])
         d_states[order] += d_own
         spread = np.zeros((steps * lanes, d), d_states.dtype)
         spread[on] = d_states
@@ -238,7 +247,7 @@ class Trainer:
             d_h *= z[t]
             d_h += d_m @ back
         d_x = d_x.reshape(-1, 3 * d)
-        order = np.argsort(fed, axis=None, kind="stable")
+        order = _order(fed.ravel(), len(m.inputs))
         token = fed.ravel()[order]
         first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         d_inputs[token[first]] += np.add.reduceat(d_x[order], first, axis=0)

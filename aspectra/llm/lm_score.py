@@ -12,8 +12,11 @@ task trains a replica on its documents by truncated backpropagation, on every
 window of every training document; the state goes on from window to window to
 a document's end. Replicas are averaged, by trained tokens, in two levels. The
 work of training so grows with the corpus.
-Counts of the `KNOWN` most frequent tokens, a table of fixed size, go to every
-task; the remaining tokens meet their counts in a join, which is exact too.
+Lanes are few at first, so that small corpora get many updates, and more later.
+Counts of the most frequent tokens, `KNOWN` at most, go to every task; they are
+those from a count on that a histogram of counts gives, so that no more than
+them comes to the driver. The remaining tokens meet their counts in a join,
+which is exact too.
 
 Cases: a null text is empty and consists of the end token; a null doc_id is not
 held out; repeated rows are scored each; an empty table gives no rows; a corpus
@@ -25,9 +28,11 @@ from __future__ import annotations
 
 import math
 import zlib
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
+from functools import cached_property
+from itertools import accumulate, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +46,8 @@ from aspectra.session import ship_code
 
 WORDS, CLASSES, GROUPS = 2048, 32, 32
 KNOWN, LONGEST_KNOWN = 200_000, 64
-TRAIN_LANES = 64
+#: Documents read side by side in training: so many before, and after, EARLY_TOKENS trained tokens of a replica.
+EARLY_LANES, TRAIN_LANES, EARLY_TOKENS = 64, 256, 1 << 19
 END = b""
 FLUSH_WORDS = 400_000
 
@@ -91,21 +97,36 @@ class Lexicon:
     def model(self) -> GruModel:
         return GruModel(self.counts[: self.head], self.group_counts, CLASSES)
 
+    @cached_property
     def lookup(self) -> tuple[dict[bytes, int], np.ndarray, np.ndarray]:
-        """Place by word; model token and log10(c + 0.5) by place."""
+        """Place by word; model token and log10(c + 0.5) by place. Made once in each worker."""
         token = np.arange(len(self.words))
         token[self.head :] = [self.head + group_of(w) for w in self.words[self.head :]]
         return {w: i for i, w in enumerate(self.words)}, token, np.log10(self.counts + 0.5)
 
 
+def _grade(c):
+    """A grade that rises with the count: counts to 255 have their own, then sixteen to a doubling."""
+    return F.when(c < 256, c).otherwise(F.floor(F.log2(c) * 16) + 128).cast("int")
+
+
+def most_frequent(counts: DataFrame, most: int) -> list[tuple[str, int]]:
+    """Words of all grades from the least on with which there are no more than `most`, the most frequent first."""
+    short = counts.where(F.octet_length("word") <= LONGEST_KNOWN).select("word", "c", _grade(F.col("c")).alias("grade"))
+    grades = short.groupBy("grade").agg(F.count("*").alias("n")).orderBy(F.desc("grade")).collect()
+    passed = list(accumulate(r["n"] for r in grades))
+    fit = bisect_right(passed, most)
+    if not fit:
+        return []
+    known = [(r[0], r[1]) for r in short.where(F.col("grade") >= grades[fit - 1]["grade"]).select("word", "c").collect()]
+    return sorted(known, key=lambda r: (-r[1], r[0].encode()))
+
+
 def learn_counts(training: DataFrame) -> tuple[DataFrame, Lexicon]:
     """(word, grp, c) over all training texts, written; and the bounded lexicon."""
     counts = training.mapInArrow(_count, "word string, grp int, c long").groupBy("word", "grp").agg(F.sum("c").alias("c"))
     counts = stored(counts, "counts")
-    short = F.octet_length("word") <= LONGEST_KNOWN
-    top = counts.where(short).orderBy(F.desc("c"), "word").limit(KNOWN).select("word", "c")
-    known = [(r[0], r[1]) for r in top.collect()]
-    known.sort(key=lambda r: (-r[1], r[0].encode()))
+    known = most_frequent(counts, KNOWN)
     groups = counts.groupBy("grp").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()
     group_counts, group_types = np.zeros(GROUPS), np.zeros(GROUPS)
     for g, n, v in groups:
@@ -130,8 +151,8 @@ def _numbered(words: list[bytes], places: dict[bytes, int], token: np.ndarray, h
 class Reader:
     """Reads documents side by side, a lane each, and trains on every window of them."""
 
-    def __init__(self, trainer: Trainer, seed: int, lanes: int = TRAIN_LANES):
-        self.trainer, self.lanes, self.rng = trainer, lanes, np.random.default_rng(seed)
+    def __init__(self, trainer: Trainer, seed: int):
+        self.trainer, self.lanes, self.rng = trainer, EARLY_LANES, np.random.default_rng(seed)
         self.waiting: list[np.ndarray] = []
         self.reading: list[np.ndarray] = []
         self.h, self.before = trainer.start(0)
@@ -162,6 +183,8 @@ class Reader:
             row[: len(tokens)] = tokens[:WINDOW]
         _, h, before = self.trainer.carry(np.concatenate([self.h, h]), np.concatenate([self.before, before]), window, self.lanes * WINDOW // 2)
         self.trained += int((window >= 0).sum())
+        if self.trained >= EARLY_TOKENS:
+            self.lanes = TRAIN_LANES
         on = [i for i, tokens in enumerate(self.reading) if len(tokens) > WINDOW]
         self.reading = [self.reading[i][WINDOW:] for i in on]
         self.h, self.before = h[on], before[on]
@@ -172,7 +195,7 @@ def train(training: DataFrame, shared) -> np.ndarray | None:
 
     def replica(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = shared.value
-        places, token, _ = lexicon.lookup()
+        places, token, _ = lexicon.lookup
         trainer = Trainer(lexicon.model())
         reader = Reader(trainer, TaskContext.get().partitionId())
         for batch in batches:
@@ -195,7 +218,7 @@ def train(training: DataFrame, shared) -> np.ndarray | None:
     schema = "weight double, model binary"
     replicas = stored(training.mapInArrow(replica, schema), "replicas")
     groups = max(1, math.isqrt(partitions_for(training.sparkSession)))
-    found = replicas.repartition(groups).mapInArrow(mean, schema).coalesce(1).mapInArrow(mean, schema).collect()
+    found = replicas.repartition(groups).mapInArrow(mean, schema).repartition(1).mapInArrow(mean, schema).collect()
     return from_bytes(bytes(found[0]["model"])) if found else None
 
 
@@ -212,7 +235,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = shared.value
-        places, token, logs = lexicon.lookup()
+        places, token, logs = lexicon.lookup
         model = lexicon.model()
         if parameters.value is not None:
             model.unpack(parameters.value)

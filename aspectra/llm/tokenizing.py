@@ -7,6 +7,10 @@ can be cut there and every distinct piece be encoded once per worker. Cuts:
   single space or line feed that has no white space beside it; texts with runs
   of white space are cut only before a space that a visible character follows.
 - word-level vocabularies drop white space: at every space and line feed.
+
+Texts that hold the string of one of the vocabulary's added tokens go to the
+library whole, which then gives the token's own id, or, with special_as_text,
+the ids of the string as ordinary text.
 """
 
 from __future__ import annotations
@@ -14,6 +18,7 @@ from __future__ import annotations
 import itertools
 import os
 import re
+import string
 from collections.abc import Iterable
 
 import numpy as np
@@ -21,6 +26,10 @@ import numpy as np
 CACHE_MOST, CACHE_KEPT, LONGEST_CACHED = 1_000_000, 700_000, 256
 _RUN = re.compile(r"\s\s")
 _BEFORE_WORD = re.compile(r" (?=\S)")
+#: Marks that both kinds of pre-tokenisation part from a letter before them; no apostrophe, which may begin a contraction.
+_MARKS = string.punctuation.replace("'", "")
+#: Letters whose small forms are single letters of this range again, and composed ones.
+_LATIN = re.compile("[\0-\u012f\u0131-\u017f]*")
 
 
 def vocabulary_path(name: str) -> str:
@@ -32,25 +41,59 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: itself if visible, else one from 256 on in order."""
+    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = (b for b in range(256) if b not in visible)
+    return {b: chr(b) for b in visible} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
+_LETTERS = _byte_letters()
+_SPACE = _LETTERS[0x20]
+
+
+class _Cache(dict):
+    """Ids by piece; a missing piece is noted and gets an empty place, which is filled later."""
+
+    def __init__(self, known: dict[str, bytes]):
+        super().__init__(known)
+        self.missing: list[str] = []
+
+    def __missing__(self, piece: str) -> bytearray:
+        place = self[piece] = bytearray()
+        self.missing.append(piece)
+        return place
+
+
 class PieceEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids.
 
     Keys of the cache are pieces as they stand in the text without the space
-    before them; a leading NUL says that there is none. Missing pieces are
-    encoded many at a time, joined by a separator that is one id of its own.
+    before them; a leading NUL says that there is none. A missing piece of Latin
+    letters is one word to both pre-tokenisers and goes to the library's model as
+    its bytes' letters; other pieces are encoded many at a time, joined by a
+    separator that is one id of its own.
     """
 
-    def __init__(self, vocabulary: str, word_level: bool):
+    def __init__(self, vocabulary: str, word_level: bool, special_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary_path(vocabulary))
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
+        self.size = max(self.tokenizer.get_vocab(with_added_tokens=True).values(), default=0) + 1
+        added = [t for t in self.tokenizer.get_added_tokens_decoder().values() if not (special_as_text and t.special)]
+        self.added = None
+        if any(t.normalized for t in added):
+            self.added = re.compile("")  # found anywhere only after normalisation: no text is cut
+        elif added:
+            self.added = re.compile("|".join(re.escape(t.content) for t in added))
         self.word_level = word_level
         self.glue, self.mark = (" ~ ", "~") if word_level else ("\n", "\n")
         (self.glue_id,) = self._ids(self.mark)
-        self.ends = {c: np.array(self._ids(c), "<u4").tobytes() for c in ",."}
-        self.cache: dict[str, bytes] = {"": b""} if word_level else {"\0": b""}
+        self.ends: dict[str, bytes] = {}
+        self.raw = [i.to_bytes(4, "little") for i in range(self.size)]
+        self.cache = _Cache({"": b""} if word_level else {"\0": b""})
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
@@ -70,62 +113,90 @@ class PieceEncoder:
             return piece
         return piece[1:] if piece[:1] == "\0" else " " + piece
 
-    def _base(self, piece: str) -> tuple[str, bytes]:
-        """A piece with the same ids at its start, and the ids that follow them."""
-        end = b""
-        if len(piece) > 2 and piece[-1] in self.ends and piece[-2].isalpha() and piece[-2] < "\u0250":
-            piece, end = piece[:-1], self.ends[piece[-1]]
-        return (piece.lower() if self.word_level and piece.isascii() else piece), end
-
     def _learn(self, missing: list[str]) -> None:
-        bases = list(map(self._base, missing))
-        if fresh := list({base for base, _ in bases}.difference(self.cache)):
-            self._encode_new(fresh)
-        for piece, (base, end) in zip(missing, bases, strict=True):
-            if piece != base:
-                self.cache[piece] = self.cache[base] + end
+        """Fill the places of missing pieces: one that ends in marks by its base, a word-level one by its small letters."""
+        cache, fresh, derived = self.cache, [], []
+        for piece in missing:
+            base, end = piece, b""
+            if not piece[-1:].isalpha():
+                short = piece.rstrip(_MARKS)
+                if short[-1:].isalpha() and short[-1] < "\u0250":
+                    base, end = short, self._end(piece[len(short) :])
+            if self.word_level and _LATIN.fullmatch(base):
+                small = base.lower()
+                if not (self.added and self.added.search(small)):
+                    base = small
+            if base == piece:
+                fresh.append(piece)
+            else:
+                derived.append((piece, base, end))
+                if base not in cache:
+                    cache[base]  # makes its place
+                    fresh.append(base)
+        self._encode_new(fresh)
+        for piece, base, end in derived:
+            cache[piece] += cache[base] + end
+
+    def _end(self, marks: str) -> bytes:
+        if marks not in self.ends:
+            if len(self.ends) > LONGEST_CACHED:
+                self.ends.clear()
+            self.ends[marks] = np.array(self._ids(marks), "<u4").tobytes()
+        return self.ends[marks]
 
     def _encode_new(self, missing: list[str]) -> None:
-        alone, joined = [], []
+        cache, alone, joined, raw, bpe = self.cache, [], [], self.raw, self.tokenizer.model.tokenize
         for piece in missing:
-            plain = self.mark not in piece and piece[-1:].strip() and (self.word_level or piece[0] != "\0" or piece[1:2].strip())
-            (joined if plain else alone).append(piece)
+            head, word = "", piece
+            if not self.word_level and piece:
+                head, word = ("", piece[1:]) if piece[0] == "\0" else (_SPACE, piece)
+            if word.isalpha() and (word.isascii() or _LATIN.fullmatch(word)) and not (self.word_level and word != word.lower()):
+                letters = word if word.isascii() else word.encode().decode("latin-1").translate(_LETTERS)
+                cache[piece] += b"".join([raw[t.id] for t in bpe(head + letters)])
+            else:
+                plain = self.mark not in piece and piece[-1:].strip() and (self.word_level or piece[0] != "\0" or piece[1:2].strip())
+                (joined if plain else alone).append(piece)
         for some in itertools.batched(joined, 1000):
             ids = np.array(self._ids(self.glue.join(map(self._source, some))), "<u4")
-            ends = [*np.flatnonzero(ids == self.glue_id).tolist(), len(ids)]
-            if len(ends) != len(some):
+            ends = np.flatnonzero(ids == self.glue_id)
+            if len(ends) != len(some) - 1:
                 alone += some
                 continue
-            raw, start = ids.tobytes(), 0
-            for piece, end in zip(some, ends, strict=True):
-                self.cache[piece] = raw[4 * start : 4 * end]
-                start = end + 1
+            joint = ids.tobytes()
+            ends = (4 * ends).tolist()
+            for piece, start, end in zip(some, [0, *(e + 4 for e in ends)], [*ends, len(joint)], strict=True):
+                cache[piece] += joint[start:end]
         for piece in alone:
-            self.cache[piece] = np.array(self._ids(self._source(piece)), "<u4").tobytes()
+            cache[piece] += np.array(self._ids(self._source(piece)), "<u4").tobytes()
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
-        cut = [self.pieces(t) for t in texts]
-        if missing := list(set().union(*cut).difference(self.cache)):
-            self._learn(missing)
-        out = [b"".join(map(self.cache.__getitem__, one)) for one in cut]
+        cache, missing = self.cache, self.cache.missing
+        while missing:  # places that an error left unfilled
+            cache.pop(missing.pop(), None)
+        cut = [None if self.added and self.added.search(t) else list(map(cache.__getitem__, self.pieces(t))) for t in texts]
+        if missing:
+            self._learn(missing.copy())
+        out = [np.array(self._ids(t), "<u4").tobytes() if c is None else b"".join(c) for t, c in zip(texts, cut, strict=True)]
         for piece in missing:
-            if len(piece) > LONGEST_CACHED:
-                self.cache.pop(piece, None)
-                self.cache.pop(self._base(piece)[0], None)
-        if len(self.cache) > CACHE_MOST:
-            self.cache = dict(itertools.islice(self.cache.items(), CACHE_KEPT))
+            if len(piece) <= LONGEST_CACHED:
+                cache[piece] = bytes(cache[piece])
+            else:
+                del cache[piece]
+        missing.clear()
+        if len(cache) > CACHE_MOST:
+            self.cache = _Cache(dict(itertools.islice(cache.items(), CACHE_KEPT)))
         return out
 
 
-_encoders: dict[tuple[str, bool], PieceEncoder] = {}
+_encoders: dict[tuple[str, bool, bool], PieceEncoder] = {}
 
 
-def encoder_for(vocabulary: str, word_level: bool) -> PieceEncoder:
+def encoder_for(vocabulary: str, word_level: bool, special_as_text: bool = False) -> PieceEncoder:
     """The worker's encoder, whose cache lasts from task to task."""
-    key = vocabulary, word_level
+    key = vocabulary, word_level, special_as_text
     if key not in _encoders:
         _encoders.clear()
-        _encoders[key] = PieceEncoder(vocabulary, word_level)
+        _encoders[key] = PieceEncoder(*key)
     return _encoders[key]
 
 

@@ -1,7 +1,9 @@
 """Token ids in binary files with a shared zstandard dictionary.
 
 A dictionary is trained on the serialized id arrays of a bounded sample, the
-`sample_docs` documents of smallest hash. Every document's ids are one frame of
+`sample_docs` documents of smallest hash; only hashes are compared to find them,
+then their texts are fetched. Ids take two bytes where the vocabulary and the
+end id allow it, else four. Every document's ids are one frame of
 their own, compressed with it. A file holds a run of documents in id order:
 
     magic "TKZ1" | sha256 of the dictionary | id width | documents | offsets, doc ids, counts, starts | frames
@@ -11,7 +13,9 @@ rows of a written table (part, file, content), which commits whole or not at all
 
 Cases: a null text is empty and has the end id alone; null ids come first;
 repeated rows keep their places side by side; an empty table gives no rows; too
-small a sample trains no dictionary, and frames are then compressed without one.
+small a sample trains no dictionary, and frames are then compressed without one;
+strings of the vocabulary's special tokens in a text get those tokens' ids, or
+with special_as_text the ids of ordinary text; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aspectra.llm.common import exclusive_prefix, partitions_for, stored
-from aspectra.llm.tokenizing import encoder_for, in_slices
+from aspectra.llm.tokenizing import encoder_for, forget_encoders, in_slices
 from aspectra.session import ship_code
 
 MAGIC = b"TKZ1"
@@ -42,11 +46,18 @@ def serialize(ids: bytes, width: int) -> bytes:
     return ids if width == 4 else np.frombuffer(ids, "<u4").astype("<u2").tobytes()
 
 
-def train_dictionary(docs: DataFrame, text_col: str, id_col: str, vocabulary: str, end_id: int, width: int, sample_docs: int = SAMPLE_DOCS) -> bytes:
+def width_for(vocabulary: str, end_id: int) -> int:
+    """Bytes that hold every id of the vocabulary and the end id."""
+    most = max(encoder_for(vocabulary, False).size - 1, end_id)
+    forget_encoders()
+    return 2 if most < 1 << 16 else 4
+
+
+def train_dictionary(docs: DataFrame, text_col: str, id_col: str, encoder_args: tuple, end_id: int, width: int, sample_docs: int = SAMPLE_DOCS) -> bytes:
     """Train on the sample in one executor task; only the dictionary comes to the driver."""
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, samples = encoder_for(vocabulary, word_level=False), []
+        encoder, samples = encoder_for(*encoder_args), []
         for batch in batches:
             ids = encoder.encode([t or "" for t in batch["text"].to_pylist()])
             samples += [serialize(x + struct.pack("<I", end_id), width) for x in ids]
@@ -57,7 +68,10 @@ def train_dictionary(docs: DataFrame, text_col: str, id_col: str, vocabulary: st
         yield pa.RecordBatch.from_pydict({"dictionary": pa.array([trained], pa.binary())})
 
     chosen = docs.select(F.col(f"`{text_col}`").alias("text"), F.xxhash64(F.col(f"`{id_col}`"), F.lit(11)).alias("k"))
-    sample = chosen.orderBy("k").limit(sample_docs).select("text").coalesce(1)
+    last = chosen.select("k").orderBy("k").limit(sample_docs).agg(F.max("k")).first()[0]
+    if last is None:
+        return b""
+    sample = chosen.where(F.col("k") <= F.lit(last)).groupBy("k").agg(F.first("text").alias("text")).select("text").coalesce(1)
     return max((r[0] for r in sample.mapInArrow(train, "dictionary binary").collect()), key=len, default=b"")
 
 
@@ -97,15 +111,18 @@ class TokenFile:
         return np.frombuffer(raw, f"<u{self.width}").astype("<u4")
 
 
-def write_token_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "byte_bpe_50k.json", end_id: int = 0, width: int = 2) -> tuple[DataFrame, bytes]:
+def write_token_files(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "byte_bpe_50k.json", end_id: int = 0, special_as_text: bool = False
+) -> tuple[DataFrame, bytes]:
     """(files, dictionary): files has part, file and content, in ascending order of id_col."""
     spark = docs.sparkSession
     ship_code(spark)
-    dictionary = train_dictionary(docs, text_col, id_col, vocabulary, end_id, width)
+    encoder_args, width = (vocabulary, False, special_as_text), width_for(vocabulary, end_id)
+    dictionary = train_dictionary(docs, text_col, id_col, encoder_args, end_id, width)
     digest = hashlib.sha256(dictionary).digest()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, press = encoder_for(vocabulary, word_level=False), compressor(dictionary)
+        encoder, press = encoder_for(*encoder_args), compressor(dictionary)
         tail = struct.pack("<I", end_id)
         for batch in batches:
             texts = [t or "" for t in batch["text"].to_pylist()]

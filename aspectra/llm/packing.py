@@ -3,12 +3,12 @@
 Token streams of documents in id order are cut into sequences of at most
 `length` tokens. Allowed cuts are document ends (free), sentence ends and, where
 those are far apart, fixed token places (each with a penalty in tokens for the
-document it breaks). A sequence costs its padding up to `length`, and none where
-its own length is a power of two. Over cut places p with cost c the least cost
-is
+document it breaks). A sequence costs a fixed number of tokens, so that short
+ones are not preferred, and its padding up to `length`, or none where its own
+length is a power of two. Over cut places p with cost c the least cost is
 
-    c[j] = penalty[j] + min( min{c[i] + p[i] : p[j] - p[i] <= length} + length - p[j],
-                             min{c[i] : p[j] - p[i] a power of two} )
+    c[j] = fixed + penalty[j] + min( min{c[i] + p[i] : p[j] - p[i] <= length} + length - p[j],
+                                     min{c[i] : p[j] - p[i] a power of two} )
 
 and the inner minimum over the sliding window is kept in a monotone queue. A
 task works through its stream in stretches; the last, unfinished sequence of a
@@ -36,12 +36,12 @@ from aspectra.llm.tokenizing import encoder_for, in_slices
 from aspectra.session import ship_code
 
 LENGTH = 2048
-SENTENCE_PENALTY, TOKEN_PENALTY, TOKEN_GAP = 8, 64, 128
+SENTENCE_PENALTY, TOKEN_PENALTY, TOKEN_GAP, SEQUENCE_COST = 8, 64, 128, 1024
 STRETCH = 1 << 19
 SENTENCE_MARKS = (".", "!", "?", "...", "。")
 
 
-def best_cuts(places: np.ndarray, penalties: np.ndarray, length: int = LENGTH) -> list[int]:
+def best_cuts(places: np.ndarray, penalties: np.ndarray, length: int = LENGTH, fixed: int = SEQUENCE_COST) -> list[int]:
     """Ends of the cheapest sequences over a stream that starts at 0 and ends at places[-1].
 
     places: strictly increasing, no two neighbours (nor 0 and the first) more than length apart.
@@ -57,7 +57,7 @@ def best_cuts(places: np.ndarray, penalties: np.ndarray, length: int = LENGTH) -
         begins.append(at[hit])
     order = np.argsort(np.concatenate(ends), kind="stable")
     ends, begins = np.concatenate(ends)[order].tolist(), np.concatenate(begins)[order].tolist()
-    place, penalty = p.tolist(), [0, *penalties.tolist()]
+    place, penalty = p.tolist(), [0, *(penalties + fixed).tolist()]
     cost, back = [0] * n, [0] * n
     queue: deque[tuple[int, int]] = deque([(0, 0)])  # (cost + place, index), rising
     k, m = 0, len(ends)
@@ -143,15 +143,20 @@ class Packer:
         self.docs, self.size = kept, sum(len(d[3]) for d in kept)
 
 
-def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "word_bpe_49k.json", end_id: int = 1, length: int = LENGTH) -> DataFrame:
-    """Written pieces: doc_id, start, doc_tokens, ids (little-endian unsigned 32-bit), sequence_id, offset."""
+def pack_documents(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "word_bpe_49k.json", end_id: int = 1, length: int = LENGTH, special_as_text: bool = False
+) -> DataFrame:
+    """Written pieces: doc_id, start, doc_tokens, ids (little-endian unsigned 32-bit), sequence_id, offset.
+
+    Strings of the vocabulary's special tokens in a text get those tokens' ids, or with special_as_text the ids of ordinary text.
+    """
     spark = docs.sparkSession
     ship_code(spark)
     schema = "part long, sequence long, doc_id long, start long, doc_tokens long, offset long, ids binary"
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
-        encoder = encoder_for(vocabulary, word_level=True)
+        encoder = encoder_for(vocabulary, True, special_as_text)
         marks = np.unique([x[-1] for x in (encoder._ids(m) for m in SENTENCE_MARKS) if len(x) == 1])
         packer, tail, rows = Packer(marks, length), struct.pack("<I", end_id), []
 

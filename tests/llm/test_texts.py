@@ -23,7 +23,7 @@ from aspectra.llm.tokenizing import encoder_for
 from tests.llm.brute import LOWER, WORD, words
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
-ODD = [None, "", " ", "\n", "a  b", "Don't  Stop\tit's", "x.\ny", "\0 a", "é" * 40, "日本 語", "a, b. c", "w " * 5000]
+ODD = ["a <|endoftext|> b", None, "", " ", "\n", "a  b", "Don't  Stop\tit's", "x.\ny", "\0 a", "é" * 40, "日本 語", "a, b. c", "w " * 5000]
 
 
 def documents(spark, texts, **extra):
@@ -31,18 +31,62 @@ def documents(spark, texts, **extra):
     return spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", *[f"{v} as {k}" for k, v in extra.items()])
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.lists(st.text(alphabet=" \n\t\r\xa0ab'sAé1.,!|~́\x1c\0", max_size=14), max_size=4))
-@pytest.mark.parametrize(("name", "level"), [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)])
-def test_pieces_give_the_ids_of_whole_texts(name, level, texts):
-    encoder = encoder_for(name, level)
-    want = [np.array(encoder.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
-    assert encoder.encode(texts) == want
+def fresh(name, special_as_text=False):
+    """The library's own tokenizer, apart from the encoder's."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
+    tokenizer.encode_special_tokens = special_as_text
+    return tokenizer
+
+
+VOCABULARIES = [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)]
+FRESH = {(n, s): fresh(n, s) for n, _ in VOCABULARIES for s in (False, True)}
+BITS = [*" \n\t\r\xa0ab'sAé1.,!|~́\x1c\0<>", "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "Word,", "word.", "Éa##", "ñ!?", "x~~", "İ", "Ⱥ.", "'s", "##'s"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(BITS), max_size=14).map("".join), max_size=4), st.booleans())
+@pytest.mark.parametrize(("name", "level"), VOCABULARIES)
+def test_pieces_give_the_ids_of_whole_texts(name, level, texts, special_as_text):
+    want = [np.array(FRESH[name, special_as_text].encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert encoder_for(name, level, special_as_text).encode(texts) == want
+
+
+def test_special_tokens_and_a_full_cache(monkeypatch):
+    from aspectra.llm import tokenizing as T
+
+    monkeypatch.setattr(T, "CACHE_MOST", 3)
+    monkeypatch.setattr(T, "CACHE_KEPT", 2)
+    for name, level in VOCABULARIES:
+        encoder = T.PieceEncoder(name, level)
+        for texts in (["hello <|endoftext|> world", "Hello, world. hello"], ["world, Hello", "x" * 400], ["x" * 400 + ", hello"]):
+            assert encoder.encode(texts) == [np.array(FRESH[name, False].encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert 50256 in FRESH["byte_bpe_50k.json", False].encode("a <|endoftext|>").ids
 
 
 def ids_of(name, text, end):
-    whole = encoder_for(name, name.startswith("word")).tokenizer
-    return np.array(whole.encode(text or "", add_special_tokens=False).ids + [end], "<u4")
+    return np.array(FRESH[name, False].encode(text or "", add_special_tokens=False).ids + [end], "<u4")
+
+
+def test_width_follows_the_vocabulary(spark, monkeypatch):
+    from aspectra.llm import token_files as F_
+
+    assert F_.width_for("byte_bpe_50k.json", 0) == 2 and F_.width_for("byte_bpe_50k.json", 70000) == 4
+    df = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
+    files, dictionary = write_token_files(df, end_id=70000)
+    found = {r["doc_id"]: r["ids_crc32"] for r in read_token_files(files, dictionary).collect()}
+    assert found[2] == zlib.crc32(np.array([70000], "<u4").tobytes())
+
+
+def test_dictionary_sample_is_of_distinct_ids(spark):
+    """A third of all rows under one id, or none, is one document of the sample."""
+    from aspectra.llm import token_files as F_
+
+    rows = [(None if i % 3 else i, f"w{i} " * 30) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert F_.train_dictionary(df, "text", "doc_id", ("byte_bpe_50k.json", False), 0, 2, 50)
+    assert F_.train_dictionary(df.limit(0), "text", "doc_id", ("byte_bpe_50k.json", False), 0, 2, 50) == b""
 
 
 def test_token_files(spark):
@@ -63,14 +107,14 @@ def test_token_files(spark):
     assert read_token_files(empty, none).count() == 0
 
 
-def exhaustive(places, penalties, length):
+def exhaustive(places, penalties, length, fixed):
     p, cost = [0, *places], [0.0]
     for j in range(1, len(p)):
         best = math.inf
         for i in range(j):
             n = p[j] - p[i]
             if n <= length:
-                best = min(best, cost[i] + (0 if n & (n - 1) == 0 else length - n))
+                best = min(best, cost[i] + fixed + (0 if n & (n - 1) == 0 else length - n))
         cost.append(best + penalties[j - 1])
     return cost[-1]
 
@@ -80,12 +124,39 @@ def exhaustive(places, penalties, length):
 def test_cuts_are_cheapest(steps):
     places = np.cumsum([s for s, _ in steps])
     penalties = np.array([p for _, p in steps])
-    cuts = best_cuts(places, penalties, 16)
+    fixed = int(penalties.sum()) % 3 * 8
+    cuts = best_cuts(places, penalties, 16, fixed)
     by = dict(zip(places.tolist(), penalties.tolist(), strict=True))
     lengths = np.diff([0, *cuts])
     assert cuts[-1] == places[-1] and lengths.max() <= 16
-    cost = sum(0 if n & (n - 1) == 0 else 16 - n for n in lengths.tolist()) + sum(by[c] for c in cuts)
-    assert cost == exhaustive(places.tolist(), penalties.tolist(), 16)
+    cost = sum(0 if n & (n - 1) == 0 else 16 - n for n in lengths.tolist()) + sum(by[c] for c in cuts) + fixed * len(cuts)
+    assert cost == exhaustive(places.tolist(), penalties.tolist(), 16, fixed)
+
+
+def test_packing_query_against_brute_force(spark, small):
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    rows = Q.queries()["op8_packing"](spark, small).collect()
+    pieces, sequences = collections.defaultdict(list), collections.defaultdict(list)
+    for r in rows:
+        pieces[r["doc_id"]].append(r)
+        sequences[r["sequence_id"]].append(r)
+    assert set(pieces) == set(docs)
+    for doc_id, own in pieces.items():
+        ids, at = ids_of("word_bpe_49k.json", docs[doc_id], 1), 0
+        for r in sorted(own, key=lambda r: r["start"]):
+            assert (r["start"], r["doc_tokens"]) == (at, len(ids))
+            assert r["ids_crc32"] == zlib.crc32(ids[at : at + r["length"]].tobytes())
+            at += r["length"]
+        assert at == len(ids)
+    assert sorted(sequences) == list(range(len(sequences)))
+    for own in sequences.values():
+        at = 0
+        for r in sorted(own, key=lambda r: r["offset"]):
+            assert r["offset"] == at
+            at += r["length"]
+        assert at <= 2048
+    tokens = sum(r["length"] for r in rows)
+    assert len(sequences) <= 1.05 * tokens / 2048 + spark.sparkContext.defaultParallelism
 
 
 def test_packer_keeps_every_token_once():
@@ -304,7 +375,10 @@ def test_training_reads_every_window_of_every_document(monkeypatch):
         return out
 
     monkeypatch.setattr(trainer, "carry", watched)
-    reader = lm_score.Reader(trainer, 0, lanes=3)
+    monkeypatch.setattr(lm_score, "EARLY_LANES", 3)
+    monkeypatch.setattr(lm_score, "TRAIN_LANES", 5)
+    monkeypatch.setattr(lm_score, "EARLY_TOKENS", 900)
+    reader = lm_score.Reader(trainer, 0)
     documents = [np.concatenate([[i], rng.integers(100, 902, n - 1)]) for i, n in enumerate((1, 2, 31, 32, 33, 64, 65, 700, *[40] * 80))]
     for d in documents:
         reader.add(d)
@@ -321,7 +395,18 @@ def test_training_reads_every_window_of_every_document(monkeypatch):
     want.sort(key=key)
     assert [x[:2] for x in got] == [x[:2] for x in want]
     assert np.allclose([x[2] for x in got], [x[2] for x in want], atol=1e-5)
-    assert reader.trained == sum(map(len, documents)) and trainer.held == 0 and trainer.updates > 0
+    assert reader.trained == sum(map(len, documents)) and trainer.held == 0 and trainer.updates > 0 and reader.lanes == 5
+
+
+def test_most_frequent_words_fit_the_table(spark):
+    from aspectra.llm.lm_score import most_frequent
+
+    data = [(f"w{i}", c) for i, c in enumerate([1] * 50 + [2] * 20 + [300, 301, 10**6, 5, 5])] + [("x" * 65, 10**9)]
+    counts = spark.createDataFrame(data, "word string, c long")
+    for most, want in ((0, 0), (1, 1), (2, 1), (4, 3), (5, 5), (24, 5), (25, 25), (74, 25), (75, 75), (999, 75)):
+        found = most_frequent(counts, most)
+        assert len(found) == want and found == sorted(found, key=lambda r: (-r[1], r[0]))
+        assert all(c >= max((c for w, c in data if len(w) < 65 and (w, c) not in found), default=0) for _, c in found)
 
 
 def test_language_model_beats_the_base(spark, small):

@@ -16,11 +16,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where that setting is missing (tests, a single machine) the context's
-    own checkpoint folder serves, a temporary one if it has none.
+    Where that setting is missing the context's own checkpoint folder serves. A
+    temporary one is made only on a single machine; a cluster has to name one.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="aspectra-shared-"))
         folder = spark.sparkContext.getCheckpointDir()
     return folder.rstrip("/")
@@ -47,6 +49,22 @@ def column_or_null(df: DataFrame, name: str, kind: str) -> Column:
     return F.col(f"`{name}`").cast(kind) if name in df.columns else F.lit(None).cast(kind)
 
 
+def quoted(name: str) -> Column:
+    """A column by its exact name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def by_place(df: DataFrame) -> list[Column]:
+    """All columns as c0, c1, ..., so that no name of theirs meets a working column's."""
+    return [quoted(c).alias(f"c{i}") for i, c in enumerate(df.columns)]
+
+
+def by_name(columns: list[str], without: tuple[str, ...] = ()) -> list[Column]:
+    """The columns of by_place under their own names again, but for those that results replace."""
+    replaced = {c.lower() for c in without}
+    return [F.col(f"c{i}").alias(c) for i, c in enumerate(columns) if c.lower() not in replaced]
+
+
 def exclusive_prefix(totals: DataFrame, order: str, value: str, out: str) -> DataFrame:
     """Running total before each row. Only for summaries with a row per partition or bucket."""
     window = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)

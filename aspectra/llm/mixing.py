@@ -1,34 +1,42 @@
 """Mixing sources to target weights, in DataFrame functions only.
 
 Every document has a hash-random key. The keys' leading digits cut each source
-into key ranges; sums by range give distributed prefix sums, and only the one
-range in which a source's budget ends is sorted row by row. A source's budget of
+into key ranges; sums by range give distributed prefix sums, and the one range
+in which a source's budget ends is cut again by the next digits while it holds
+many rows. Only the last, small one is sorted row by row. A source's budget of
 several times its size is met by whole epochs and one partial epoch.
 
 Cases: a null text has size 0 and takes nothing; the null source is a source of
-its own, last in order; repeated rows are mixed as separate documents; an empty
-table gives no rows; sources without words get target 0; other columns pass
-through untouched, also those named like the results, which the results replace.
+its own, last in order; repeated rows are mixed as separate documents; rows of
+one id and text have one key and go by their other columns, and where these are
+equal too any of them is taken first; an empty table gives no rows; sources
+without words get target 0; texts of any length count whole; other columns pass
+through untouched under any name, but for those named like the results, which
+the results replace.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from aspectra.llm.common import SMALL_ROWS, WORD, stored
+from aspectra.llm.common import SMALL_ROWS, WORD, by_name, by_place, quoted, stored
 
-KEY_DIGITS = 3
+#: Digits that cut a range into 4,096, how many a key has, and the rows of a range that one task sorts.
+STEP, KEY_DIGITS, SORTED_ROWS = 3, 32, 1 << 16
+RESULTS = ("size", "source_size", "target", "taken")
 #: The cuts, a row per source, are broadcast only while their names stay below this size in all.
 SMALL_NAMES = 4 << 20
 
 
 def word_count(text: str) -> Column:
-    return F.coalesce(F.regexp_count(F.col(f"`{text}`"), F.lit(WORD)), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(quoted(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def hash_key(id_col: str, text_col: str, seed: str) -> Column:
-    part = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
+    part = lambda c: F.coalesce(quoted(c).cast("string"), F.lit(""))
     return F.md5(F.concat(F.lit(seed + ":"), part(id_col), F.lit(":"), part(text_col)))
 
 
@@ -66,48 +74,89 @@ def mix_sources(
     seed: str = "mix",
 ) -> DataFrame:
     """The documents with size, source_size, target and taken (words the mix takes)."""
-    own = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
-    key = hash_key(id_col, text_col, seed)
     keyed = docs.select(
-        *[F.col(f"`{c}`") for c in own],
+        *by_place(docs),
         word_count(text_col).alias("size"),
-        F.col(f"`{source_col}`").cast("string").alias("_source"),
-        key.alias("_key"),
-    ).withColumn("_range", F.conv(F.substring("_key", 1, KEY_DIGITS), 16, 10).cast("int"))
-    ranges = keyed.groupBy("_source", "_range").agg(F.sum("size").alias("_n"))
+        quoted(source_col).cast("string").alias("_source"),
+        hash_key(id_col, text_col, seed).alias("_key"),
+    )
+    ranges = _ranges(keyed, STEP)
     sizes = ranges.groupBy("_source").agg(F.sum("_n").alias("source_size"))
     targets = source_targets(sizes, weights, max_epochs)
-    budget = F.round("target").cast("long")
     targets = targets.withColumn("_epochs", F.coalesce(F.expr("try_divide(round(target), source_size)"), F.lit(0)).cast("long"))
-    targets = targets.withColumn("_rest", budget - F.col("_epochs") * F.col("source_size"))
-
-    run = Window.partitionBy("_source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    before = ranges.withColumn("_before", F.coalesce(F.sum("_n").over(run), F.lit(0)))
-    same = F.col("_source").eqNullSafe(F.col("_of"))
-    held = before.join(targets.withColumnRenamed("_source", "_of"), same, "inner")
-    last = held.where("_before <= _rest").groupBy("_source").agg(
-        F.max(F.struct("_range", "_before")).alias("_last"),
-        *[F.first(c).alias(c) for c in ("source_size", "target", "_epochs", "_rest")],
-    )
-    cut = last.select(F.col("_source").alias("_of"), "source_size", "target", "_epochs", F.col("_last._range").alias("_cut"), (F.col("_rest") - F.col("_last._before")).alias("_left"))
-    cut = stored(cut, "cuts")
-    held_in = cut.agg(F.count("*").alias("n"), F.sum(F.octet_length("_of")).alias("names")).first()
-    small = held_in["n"] <= SMALL_ROWS and (held_in["names"] or 0) <= SMALL_NAMES
-    ready = keyed.join(F.broadcast(cut) if small else cut, same, "inner").drop("_of")
-    names = [*[f"`{c}`" for c in own], "size", "source_size", "target"]
+    targets = targets.withColumn("_rest", F.round("target").cast("long") - F.col("_epochs") * F.col("source_size"))
+    digits, cut = STEP, stored(_narrowed(ranges, targets), "cuts")
+    while (held := _held_in(cut)).widest > SORTED_ROWS and digits < KEY_DIGITS:
+        inside = _met(keyed, cut, held).where(F.substring("_key", 1, digits) == F.col("_cut"))
+        digits = min(digits + STEP, KEY_DIGITS)
+        cut = stored(_narrowed(_ranges(inside, digits), cut), "cuts")
+
+    ready = _met(keyed.withColumn("_range", F.substring("_key", 1, digits)), cut, held)
+    names = [F.col(f"c{i}") for i in range(len(docs.columns))]
     whole = F.col("_epochs") * F.col("size")
     sure = ready.where("_range <> _cut").select(
-        *names, (whole + F.when(F.col("_range") < F.col("_cut"), F.col("size")).otherwise(F.lit(0))).cast("long").alias("taken")
+        *names, "size", "source_size", "target", (whole + F.when(F.col("_range") < F.col("_cut"), F.col("size")).otherwise(F.lit(0))).cast("long").alias("taken")
     )
-    order = Window.partitionBy("_source").orderBy("_key", f"`{id_col}`").rowsBetween(Window.unboundedPreceding, -1)
+    ties = [f"c{i}" for i, f in enumerate(docs.schema.fields) if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    order = Window.partitionBy("_source").orderBy("_key", quoted(f"c{docs.columns.index(id_col)}"), F.xxhash64(*ties)).rowsBetween(Window.unboundedPreceding, -1)
     passed = F.coalesce(F.sum("size").over(order), F.lit(0))
-    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("_left") - passed))
+    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("_rest") - passed))
     cut_range = ready.where("_range = _cut").withColumn("_part", part)
-    return sure.unionByName(cut_range.select(*names, (whole + F.col("_part")).cast("long").alias("taken")))
+    cut_range = cut_range.select(*names, "size", "source_size", "target", (whole + F.col("_part")).cast("long").alias("taken"))
+    return sure.unionByName(cut_range).select(*by_name(docs.columns, RESULTS), *RESULTS)
+
+
+class _Held(NamedTuple):
+    """What a table of cuts holds: sources, bytes of their names, rows of the widest range."""
+
+    sources: int
+    names: int
+    widest: int
+
+
+def _held_in(cut: DataFrame) -> _Held:
+    row = cut.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("_of")), F.lit(0)), F.coalesce(F.max("_rows"), F.lit(0))).first()
+    return _Held(*row)
+
+
+def _met(keyed: DataFrame, cut: DataFrame, held: _Held) -> DataFrame:
+    """Rows with their source's cut, which is broadcast while it is small."""
+    small = held.sources <= SMALL_ROWS and held.names <= SMALL_NAMES
+    return keyed.join(F.broadcast(cut) if small else cut, F.col("_source").eqNullSafe(F.col("_of"))).drop("_of")
+
+
+def _ranges(rows: DataFrame, digits: int) -> DataFrame:
+    """Words and rows by source and leading digits of the key."""
+    return rows.groupBy("_source", F.substring("_key", 1, digits).alias("_range")).agg(F.sum("size").alias("_n"), F.count("*").alias("_rows"))
+
+
+def _narrowed(ranges: DataFrame, targets: DataFrame) -> DataFrame:
+    """By source the range in which `_rest` ends, as `_cut`, and what is left of it there; at most 4,096 ranges of a source meet in a task."""
+    run = Window.partitionBy("_source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = ranges.withColumn("_before", F.coalesce(F.sum("_n").over(run), F.lit(0)))
+    if "_of" not in targets.columns:
+        targets = targets.withColumnRenamed("_source", "_of")
+    kept = ["source_size", "target", "_epochs", "_rest"]
+    held = before.join(targets.select("_of", *kept), F.col("_source").eqNullSafe(F.col("_of"))).where("_before <= _rest")
+    last = held.groupBy("_source").agg(F.max(F.struct("_range", "_before", "_rows")).alias("_last"), *[F.first(c).alias(c) for c in kept])
+    return last.select(
+        F.col("_source").alias("_of"), "source_size", "target", "_epochs", F.col("_last._range").alias("_cut"), (F.col("_rest") - F.col("_last._before")).alias("_rest"), F.col("_last._rows").alias("_rows")
+    )
 
 
 def repeat_taken(mixed: DataFrame) -> DataFrame:
-    """Whole documents as often as the mix takes them; a part of half or more counts as one."""
+    """Whole documents as often as the mix takes them; a part of half or more counts as one.
+
+    Takes the rows of mix_sources and gives their columns but for its results. Documents without words come no time.
+    """
     times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + F.lit(0.5))).otherwise(F.lit(0)).cast("int")
-    repeated = mixed.withColumn("_times", times).where("_times > 0")
-    return repeated.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_times", "_copy", "size", "source_size", "target", "taken")
+    placed = mixed.select(*by_place(mixed), times.alias("_times")).where("_times > 0")
+    repeated = placed.select("*", F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_copy"))
+    return repeated.select(*by_name(mixed.columns, RESULTS))
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The documents as often as the mix takes them, with all their columns, whatever their names."""
+    placed = docs.select(*by_place(docs))
+    names = (f"c{docs.columns.index(c)}" for c in (id_col, text_col, source_col))
+    return repeat_taken(mix_sources(placed, *names, **options)).select(*by_name(docs.columns))

@@ -72,6 +72,35 @@ def test_mixing(spark):
     assert M.mix_sources(df.where("source = 'empty'")).first()["target"] == 0
 
 
+WORKING = ("_key", "_source", "_of", "_cut", "_epochs", "_range", "_rest", "_rows", "_part", "_n", "_w", "_cap", "_level", "_times", "_copy", "c0", "c1", "a`b", "Size")
+
+
+def test_mixing_with_clashing_names(spark):
+    rows = [(i, "w " * (i % 5), "s") for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plain = {r["doc_id"]: r["taken"] for r in M.mix_sources(df).collect()}
+    df = df.select([F.lit(k).alias(c) for k, c in enumerate(WORKING)] + ["*"])
+    mixed = M.mix_sources(df)
+    assert mixed.columns == [*(c for c in df.columns if c != "Size"), "size", "source_size", "target", "taken"]
+    assert {r["doc_id"]: r["taken"] for r in mixed.collect()} == plain
+    repeated = M.repeat_taken(mixed)
+    assert repeated.columns == [c for c in df.columns if c != "Size"]
+    assert all(r["_key"] == 0 and r["c1"] == WORKING.index("c1") for r in repeated.collect())
+
+
+def test_cuts_go_as_deep_as_needed(spark, monkeypatch):
+    """A source whose cut range holds many rows is cut by further digits, to the same result."""
+    rows = [(i, "w " * (i % 7 + 1), "hot" if i % 3 else f"s{i % 4}") for i in range(600)] + [(1, "w w", "hot")] * 40
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("row", F.monotonically_increasing_id())
+    key = lambda r: (r["source"], r["doc_id"], r["row"], r["taken"], r["target"])
+    want = sorted(map(key, M.mix_sources(df).collect()))
+    monkeypatch.setattr(M, "STEP", 1)
+    for rows_sorted in (200, 10, 1):
+        monkeypatch.setattr(M, "SORTED_ROWS", rows_sorted)
+        assert sorted(map(key, M.mix_sources(df).collect())) == want
+    assert sorted(map(key, M.mix_sources(df.orderBy(F.desc("row"))).collect())) == want
+
+
 def test_repeats(spark):
     df = spark.createDataFrame([(1, "a b", "s"), (2, None, "s")], "doc_id long, text string, source string")
     mixed = M.mix_sources(df).withColumn("taken", F.when(F.col("doc_id") == 1, 5).otherwise(0))

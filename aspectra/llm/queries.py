@@ -55,9 +55,11 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    written = shuffle_records(table(spark, sf_dir, "documents"))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    digest = written.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), "_bucket", "_pos")
+    docs = table(spark, sf_dir, "documents")
+    written = shuffle_records(docs)
+    doc_id, text = (F.col(f"c{docs.columns.index(c)}") for c in ("doc_id", "text"))
+    text = F.coalesce(text, F.lit(""))
+    digest = written.select(doc_id.alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), "_bucket", "_pos")
     return assign_shards(digest).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )

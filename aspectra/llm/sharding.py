@@ -1,14 +1,16 @@
 """Sharding by a two-pass external shuffle.
 
 Pass one scatters records into buckets small enough for memory by a seeded hash
-that also takes in the row's place, so that repeated rows spread too. Pass two
-sorts each bucket by that hash, Fisher-Yates shuffles it and writes it. Buckets
-follow each other; equal runs of that global order are the shards, so that row
+that also takes in the row's place, so that repeated rows spread too; buckets are
+dealt to tasks by their number, so that each gets as many. Pass two sorts each
+bucket by that hash, Fisher-Yates shuffles it and writes it. Buckets follow each
+other; equal runs of that global order are the shards, so that row
 counts differ by one at most (the law `rows`).
 
 Cases: a null text has 8 bytes of size and the checksum 0; repeated rows and
-null ids are records like others; an empty table gives no rows; all columns are
-kept, and a column named like a result is replaced by it.
+null ids are records like others; a very long text is one record of its bucket;
+an empty table gives no rows; all columns are kept under any name, but for those
+named shard or slot, which the results replace.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from aspectra.llm.common import exclusive_prefix, join_summary, stored
+from aspectra.llm.common import by_name, by_place, exclusive_prefix, join_summary, partitions_for, quoted, stored
 from aspectra.session import ship_code
 
 BUCKET_BYTES = 4 << 20
@@ -39,29 +41,47 @@ def fisher_yates(n: int, rng: np.random.Generator) -> np.ndarray:
 
 
 def _bucket_shuffler(seed: int):
-    def shuffled(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(list(batches))
-        bucket = key[0].as_py()
-        marks = rows["_mark"].to_numpy()
-        sorted_ = np.argsort(marks, kind="stable")
-        order = sorted_[fisher_yates(len(marks), np.random.default_rng([seed, bucket]))]
-        rows = rows.take(pa.array(order)).drop_columns(["_mark"])
-        rows = rows.append_column("_pos", pa.array(np.arange(len(marks)), pa.int64()))
+    """Rows sorted by bucket and mark to rows in shuffled order with their place in the bucket."""
+
+    def shuffled(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held)
+        bucket = rows["_bucket"][0].as_py()
+        rows = rows.take(pa.array(fisher_yates(rows.num_rows, np.random.default_rng([seed, bucket]))))
+        rows = rows.drop_columns(["_mark"]).append_column("_pos", pa.array(np.arange(rows.num_rows), pa.int64()))
         yield from rows.to_batches(max_chunksize=2048)
 
-    return shuffled
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            buckets = batch["_bucket"].to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(buckets)) + 1).tolist(), len(buckets)]
+            for s, e in zip(edges[:-1], edges[1:], strict=True):
+                if s == e:
+                    continue
+                if held and held[0]["_bucket"][0].as_py() != buckets[s]:
+                    yield from shuffled(held)
+                    held = []
+                held.append(batch.slice(s, e - s))
+        if held:
+            yield from shuffled(held)
+
+    return run
 
 
 def shuffle_records(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 7, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """Records in buckets, written: all columns, _bucket and _pos, the place in the shuffled bucket."""
-    ship_code(docs.sparkSession)
-    size = F.coalesce(F.octet_length(F.col(f"`{text_col}`")), F.lit(0)) + F.lit(8)
+    """Records in buckets, written: all columns by place (c0, c1, ...), _bucket, and _pos, the place in the shuffled bucket."""
+    spark = docs.sparkSession
+    ship_code(spark)
+    size = F.coalesce(F.octet_length(quoted(text_col)), F.lit(0)) + F.lit(8)
     total = docs.agg(F.sum(size)).first()[0] or 0
     buckets = max(MIN_BUCKETS, -(-total // bucket_bytes))
-    mark = F.xxhash64(F.lit(seed), F.col(f"`{id_col}`"), F.monotonically_increasing_id())
-    marked = docs.withColumn("_mark", mark).withColumn("_bucket", F.pmod(F.xxhash64("_mark", F.lit(seed)), F.lit(buckets)).cast("long"))
+    mark = F.xxhash64(F.lit(seed), quoted(id_col), F.monotonically_increasing_id())
+    marked = docs.select(*by_place(docs), mark.alias("_mark"))
+    marked = marked.withColumn("_bucket", F.pmod(F.xxhash64("_mark", F.lit(seed)), F.lit(buckets)).cast("long"))
+    n = partitions_for(spark)
+    dealt = marked.repartitionById(n, (F.col("_bucket") % n).cast("int")).sortWithinPartitions("_bucket", "_mark")
     fields = [f for f in marked.schema.fields if f.name != "_mark"] + [T.StructField("_pos", T.LongType())]
-    return stored(marked.groupBy("_bucket").applyInArrow(_bucket_shuffler(seed), T.StructType(fields)), "shards")
+    return stored(dealt.mapInArrow(_bucket_shuffler(seed), T.StructType(fields)), "shards")
 
 
 def assign_shards(written: DataFrame, shards: int = 24) -> DataFrame:
@@ -82,4 +102,5 @@ def assign_shards(written: DataFrame, shards: int = 24) -> DataFrame:
 
 def shard_records(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", seed: int = 7, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """All columns of docs, read back from the written buckets, and shard (int) and slot (long)."""
-    return assign_shards(shuffle_records(docs.drop("shard", "slot"), id_col, text_col, seed, bucket_bytes), shards)
+    placed = assign_shards(shuffle_records(docs, id_col, text_col, seed, bucket_bytes), shards)
+    return placed.select(*by_name(docs.columns, ("shard", "slot")), "shard", "slot")

@@ -2,12 +2,15 @@
 
 A text is read as words of ASCII letters (lower-cased) and digits and of
 characters beyond ASCII; anything else parts words. One automaton finds notice
-phrases in the words, a second finds identifier tags in the raw text, whose
-rest of line is parsed as an expression of and, or, with and brackets.
+phrases in the words, a second finds identifier tags in the raw text; what
+follows one on its line is parsed as an expression of and, or, with and
+brackets, of identifiers that are known and exceptions. Reading stops where the
+expression does, so that a line of many tags is read once.
 
 Cases: a null text is empty: no words, no labels, score 0; repeated rows are
-scanned each; an empty table gives no rows; an expression that does not parse
-gives no label and counts in bad_tags; other columns are ignored.
+scanned each; an empty table gives no rows; an expression that does not parse,
+or names something that is no licence, gives no label and counts in bad_tags;
+phrases that start at one place count by the longest; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -48,27 +51,45 @@ NOTICES = {
 }
 TAGS = ("spdx-license-identifier:", "license-identifier:", "license-expression:")
 FAMILIES = {"mit": "mit", "apache": "apache", "gpl": "gpl", "lgpl": "lgpl", "agpl": "agpl", "bsd": "bsd", "mpl": "mpl", "epl": "epl", "isc": "isc", "cc0": "cc0", "unlicense": "unlicense", "bsl": "bsl"}
-PERMISSIVE = frozenset({"mit", "apache", "bsd", "isc", "cc0", "unlicense", "bsl", "cc-by"})
+#: Families whose identifiers go on with numbers, clauses and or-later marks, and single identifiers.
+_OF_FAMILY = re.compile(r"(" + "|".join(sorted(FAMILIES, key=len, reverse=True)) + r")(?:-?v?[0-9]+(?:\.[0-9]+)*)?(?:-clause)?(?:-(?:only|or-later|patent|clear|attribution|0|variant))*\+?")
+_CREATIVE = re.compile(r"(cc-by(?:-nc)?(?:-nd|-sa)?|cc0)(?:-[0-9]+(?:\.[0-9]+)*)?(?:-[a-z]{2,3})?")
+OTHERS = frozenset(
+    "0bsd afl-3.0 artistic-1.0 artistic-2.0 beerware blueoak-1.0.0 busl-1.1 cddl-1.0 cddl-1.1 cecill-2.1 cpl-1.0 curl ecl-2.0 eupl-1.1 eupl-1.2 "
+    "gfdl-1.2 gfdl-1.3 hpnd icu ijg intel libpng lppl-1.3c ms-pl ms-rl ncsa odbl-1.0 ofl-1.1 openssl osl-3.0 php-3.0 php-3.01 postgresql psf-2.0 python-2.0 "
+    "qpl-1.0 ruby sleepycat sspl-1.0 tcl upl-1.0 vim w3c wtfpl x11 zlib zpl-2.1".split()
+)
+_EXCEPTION = re.compile(r"[a-z0-9.+-]*exception[a-z0-9.+-]*|linux-syscall-note")
+PERMISSIVE = frozenset({"mit", "apache", "bsd", "isc", "cc0", "unlicense", "bsl", "cc-by", "0bsd", "zlib", "x11", "ncsa", "postgresql", "libpng", "wtfpl", "curl", "icu"})
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-_TOKEN = re.compile(r"\s*(?:([()])|([A-Za-z0-9][A-Za-z0-9.+-]*))")
+_TOKEN = re.compile(r"[ \t]*(?:([()])|([A-Za-z0-9][A-Za-z0-9.+-]*))")
 _RANK = {"or": 1, "and": 2, "with": 3}
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, n_tags long, bad_tags long, permissive boolean"
 
 
 def label_of(identifier: str) -> str:
+    """The label of a known licence identifier; ValueError for any other word."""
     name = identifier.lower()
-    return FAMILIES.get(re.split(r"[-+0-9.]", name)[0], name.rstrip("+")) if not name.startswith("cc") else re.sub(r"-[0-9.]+$", "", name)
+    if found := _CREATIVE.fullmatch(name):
+        return found[1]
+    if name in OTHERS:
+        return name
+    if found := _OF_FAMILY.fullmatch(name):
+        return FAMILIES[found[1]]
+    if re.fullmatch("licenseref-[a-z0-9.-]+", name):
+        return "other"
+    raise ValueError(f"no licence: {identifier}")
 
 
-def to_postfix(expression: str) -> list[str]:
-    """Shunting-yard: `with` binds closest, then `and`, then `or`; all associate to the left.
+def to_postfix(expression: str, at: int = 0) -> list[str]:
+    """Shunting-yard from a place on: `with` binds closest, then `and`, then `or`; all associate to the left.
 
-    Reading stops at the first character that no expression has. Raises ValueError if malformed.
+    Reading stops at the first character that no expression on one line has. Raises ValueError if malformed.
     """
     out: list[str] = []
     waiting: list[str] = []
-    operand_next, at = True, 0
+    operand_next = True
     while found := _TOKEN.match(expression, at):
         at = found.end()
         bracket, word = found.groups()
@@ -102,21 +123,29 @@ def to_postfix(expression: str) -> list[str]:
     return out + waiting[::-1]
 
 
-def evaluate(expression: str) -> tuple[frozenset[str], bool]:
-    """Labels named, and whether some choice leaves only permissive licences."""
-    stack: list[tuple[frozenset[str], bool]] = []
-    for item in to_postfix(expression):
+def evaluate(expression: str, at: int = 0) -> tuple[frozenset[str], bool]:
+    """Labels named, and whether some choice leaves only permissive licences; ValueError for what is no expression of licences."""
+    stack: list[str | tuple[frozenset[str], bool]] = []
+
+    def licence() -> tuple[frozenset[str], bool]:
+        top = stack.pop()
+        if isinstance(top, str):
+            label = label_of(top)
+            return frozenset({label}), label in PERMISSIVE
+        return top
+
+    for item in to_postfix(expression, at):
         if item.startswith("id:"):
-            label = label_of(item[3:].rstrip("."))
-            stack.append((frozenset({label}), label in PERMISSIVE))
-            continue
-        (right, free_right), (left, free_left) = stack.pop(), stack.pop()
-        if item == "with":
-            stack.append((left, free_left))
+            stack.append(item[3:].rstrip("."))
+        elif item == "with":
+            exception = stack.pop()
+            if not isinstance(exception, str) or not _EXCEPTION.fullmatch(exception.lower()):
+                raise ValueError("no exception after with")
+            stack.append(licence())
         else:
+            (right, free_right), (left, free_left) = licence(), licence()
             stack.append((left | right, free_left and free_right if item == "and" else free_left or free_right))
-    ((labels, free),) = stack
-    return labels, free
+    return licence()
 
 
 class Scanner:
@@ -149,13 +178,12 @@ class Scanner:
         labels, free, bad, tags, seen = set(kept), [], 0, 0, -1
         lower = raw.translate(_LOWER).decode()
         for end, _ in self.tags.iter(lower):
-            stop = lower.find("\n", end)
             if end == seen:
                 continue
             seen = end
             tags += 1
             try:
-                found, permissive = evaluate(lower[end + 1 : stop if stop >= 0 else len(lower)])
+                found, permissive = evaluate(lower, end + 1)
                 labels |= found
                 free.append(permissive)
             except ValueError:

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from aspectra.llm import licenses as L
 from aspectra.llm import quality as Y
@@ -212,6 +213,31 @@ def test_shards(spark):
     assert shard_records(df.limit(0)).count() == 0
 
 
+def test_shards_with_clashing_names_and_a_long_text(spark):
+    names = ("_mark", "_bucket", "_pos", "_rows", "_start", "_at", "c0", "a`b")
+    rows = [(i if i % 3 else None, "x" * (i % 9)) for i in range(200)] + [(5, "long " * 200_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").select([F.lit(k).alias(c) for k, c in enumerate(names)] + ["*"])
+    found = shard_records(df, shards=5, bucket_bytes=500)
+    assert found.columns == [*df.columns, "shard", "slot"]
+    found = found.collect()
+    assert sorted(map(str, (r[: len(df.columns)] for r in found))) == sorted(map(str, map(tuple, df.collect())))
+    counts = collections.Counter(r["shard"] for r in found)
+    assert max(counts.values()) - min(counts.values()) <= 1
+
+
+def test_sharding_query_against_brute_force(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").collect()
+    want = collections.Counter((r["doc_id"], len((r["text"] or "").encode()) + 8, zlib.crc32((r["text"] or "").encode())) for r in docs)
+    found = Q.op7_sharding(spark, small).collect()
+    assert collections.Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in found) == want
+    assert {(r["law"], r["grown_shard"]) for r in found} == {("rows", None)}
+    slots = collections.defaultdict(list)
+    for r in found:
+        slots[r["shard"]].append(r["slot"])
+    assert sorted(slots) == list(range(24)) and all(sorted(v) == list(range(len(v))) for v in slots.values())
+    assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+
+
 def test_fisher_yates_is_fair():
     rng = np.random.default_rng(0)
     seen = collections.Counter(tuple(fisher_yates(3, rng).tolist()) for _ in range(6000))
@@ -239,13 +265,35 @@ def test_license_expressions():
     assert L.to_postfix("(a or b) and c") == ["id:a", "id:b", "or", "id:c", "and"]
     assert L.evaluate("MIT OR GPL-3.0-only") == ({"mit", "gpl"}, True)
     assert L.evaluate("MIT AND (GPL-2.0+ WITH Classpath-exception-2.0)") == ({"mit", "gpl"}, False)
-    for bad in ("", "and MIT", "(MIT", "MIT)", "MIT or"):
+    for known, label in (("BSD-3-Clause", "bsd"), ("LGPL-2.1-or-later", "lgpl"), ("GPLv3", "gpl"), ("CC-BY-SA-4.0", "cc-by-sa"), ("CC0-1.0", "cc0"), ("Zlib", "zlib"), ("BSL-1.0", "bsl"), ("LicenseRef-x", "other")):
+        assert L.label_of(known) == label
+    for bad in ("", "and MIT", "(MIT", "MIT)", "MIT or", "the file", "MIT or thing", "MIT with pleasure", "(MIT or ISC) and x"):
         with pytest.raises(ValueError):
             L.evaluate(bad)
     found = L.Scanner().scan("# SPDX-License-Identifier: Apache-2.0 OR MIT\n\nLicensed under CC BY-NC 4.0. SPDX-License-Identifier: (")
     assert found[5] == "apache,cc-by-nc,mit" and found[7:9] == (2, 1)
 
 
+def test_license_tags_on_one_long_line():
+    """Unknown words are no licences, a tag's expression ends with its line, and many tags are read once each."""
+    found = L.Scanner().scan("SPDX-License-Identifier: the file\nMIT")
+    assert found[5] == "" and found[7:9] == (1, 1)
+    found = L.Scanner().scan("SPDX-License-Identifier: ISC " * 20_000)
+    assert found[5] == "isc" and found[7:9] == (20_000, 0) and found[9]
+
+
+def test_license_query_against_brute_force(spark, small):
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    docs[max(docs) + 1] = "A MIT  License, the general\npublic license"
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    for r in L.scan_licenses(df).collect():
+        w = LICENSE_WORD.findall(docs[r["doc_id"]].translate(LOWER))
+        places = [(i, label) for phrase, label in L.BASE.items() for q in [phrase.split()] for i in range(len(w)) if w[i : i + len(q)] == q]
+        assert (r["n_words"], r["n_base"]) == (len(w), len(places))
+        assert (r["first_word"], r["last_word"]) == ((min(places)[0], max(places)[0]) if places else (None, None))
+        assert r["base_labels"] == ",".join(sorted({x for _, x in places}))
+
+
 def test_license_rows(spark):
     found = L.scan_licenses(documents(spark, ODD, labels=1)).collect()
     assert len(found) == len(ODD) + 2 and all(r["score"] == 0 and r["labels"] == "" for r in found)

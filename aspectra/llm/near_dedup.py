@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aspectra.llm.common import connected_components, partitions_for, stored
+from aspectra.llm.common import by_name, by_place, connected_components, partitions_for, quoted, stored
 from aspectra.llm.hashing import join_texts, mix, word_hashes, word_spans
 from aspectra.llm.tokenizing import forget_encoders, in_slices
 from aspectra.session import ship_code
@@ -298,7 +298,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, at_least: float) -> Da
     spark = docs.sparkSession
     ship_code(spark)
     n = partitions_for(spark)
-    source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    source = docs.select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).alias("text"))
     source = source.withColumn("key", F.unhex(F.md5("text")))
     digest = stored(source.select("doc_id", "key", "text").mapInArrow(_digest, "doc_id long, key binary, shingles long, bands array<long>, marks binary"), "shingled")
     nodes = (
@@ -385,9 +385,11 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     and is left out.
     """
     rows = _classes(docs, id_col, text_col, AT_LEAST).where("stays")
-    kept = stored(rows.groupBy(F.col("doc_id").alias("_kept_id"), F.col("key").alias("_kept_key")).agg(F.count("*").alias("_n")), "kept")
-    same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_kept_id")) & F.unhex(F.md5(F.col(f"`{text_col}`"))).eqNullSafe(F.col("_kept_key"))
-    out = docs.join(kept.hint("shuffle_hash"), same, "left_semi")
+    kept = stored(rows.groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(F.count("*").alias("_n")), "kept")
+    placed = docs.select(*by_place(docs))
+    id_, text = (f"c{docs.columns.index(c)}" for c in (id_col, text_col))
+    same = F.col(id_).cast("long").eqNullSafe(F.col("_id")) & F.unhex(F.md5(text)).eqNullSafe(F.col("_key"))
+    out = placed.join(kept.hint("shuffle_hash"), same, "left_semi")
     if kept.where("_n > 1").limit(1).count():
-        out = out.dropDuplicates([id_col, text_col])
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+        out = out.dropDuplicates([id_, text])
+    return out.select(*by_name(docs.columns))

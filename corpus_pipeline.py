@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir); all but the last return the columns of
 documents. run() writes every stage's rows and reads them back for the next.
+
+Cases: a null or empty text fails the quality rules; documents with null ids
+are told apart by their texts; repeated rows are one document to near-dedup, and
+come as often as the mix takes that one; of equal texts under several ids the
+smallest id stays; very long texts are judged, mixed and packed whole; an empty
+table gives no rows; other columns pass through under any name.
 """
 
 from __future__ import annotations
@@ -9,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from aspectra.llm.common import stored
-from aspectra.llm.mixing import mix_sources, repeat_taken
+from aspectra.llm.mixing import mixed_documents
 from aspectra.llm.near_dedup import drop_near_duplicates
 from aspectra.llm.packing import pack_documents, packed_digest
 from aspectra.llm.quality import keep_quality, train_quality
@@ -28,7 +34,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
-    return repeat_taken(mix_sources(docs)).select(docs.columns)
+    return mixed_documents(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -136,13 +136,18 @@ def keyword_pattern(words: list[str]) -> str:
     return f"(?iu){NO_WORD_BEFORE}(?:{'|'.join(map(re.escape, words))}){NO_WORD_AFTER}".replace("\\ ", " ").replace("\\-", "-")
 
 
+def unit_pattern(pattern: str) -> str:
+    r"""A unit pattern whose \d and \s stand for the digits and the white space of every script, spelled out for Java and RE2 alike."""
+    return "(?i)" + pattern.replace(r"\d", r"\p{Nd}").replace(r"\s", r"[\t-\r\x1c-\x20\x{85}\p{Z}]")
+
+
 def aspects_of(text: Column, keywords: dict[str, list[str]] = KEYWORDS, units: dict[str, list[str]] = UNIT_PATTERNS) -> Column:
     """map<aspect, 1> of the aspects that the text mentions; empty where there is none."""
     pairs = []
     for aspect, words in keywords.items():
         hit = text.rlike(keyword_pattern(words))
         for pattern in units.get(aspect, []):
-            hit = hit | text.rlike(f"(?iu){pattern}")
+            hit = hit | text.rlike(unit_pattern(pattern))
         pairs.append(F.struct(F.lit(aspect).alias("key"), F.when(hit, F.lit(1)).alias("value")))
     return F.map_from_entries(F.filter(F.array(*pairs), lambda p: p["value"].isNotNull()))
 

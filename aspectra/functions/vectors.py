@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -18,6 +19,12 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return F.lit(1.0) - F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
+def distance_to(a: Column, vector: Sequence[float]) -> Column:
+    """cosine_distance to one fixed vector, whose length is taken once."""
+    length = math.sqrt(sum(float(x) * float(x) for x in vector))
+    return F.lit(1.0) - F.try_divide(dot(a, literal(vector)), F.sqrt(dot(a, a)) * F.lit(length))
+
+
 def literal(vector: Sequence[float]) -> Column:
     return F.array(*[F.lit(float(x)) for x in vector])
 

@@ -85,3 +85,17 @@ def test_vectors(spark):
 def test_collapse_is_idempotent(spark, value):
     once = one(spark, X.collapse_space(F.col("v")), v=value)
     assert once == one(spark, X.collapse_space(F.col("v")), v=once)
+
+
+def test_units_as_python_reads_them(spark):
+    """White space and digits of every script between number and unit."""
+    import re
+
+    from aspectra.plans.constants import UNIT_PATTERNS
+
+    spaces = ["", " ", "\t", "\n", "\x0b", "\x1c", "\x1f", "\x85", "\xa0", "\u1680", "\u2009", "\u2028", "\u202f", "\u205f", "\u3000", "\u200b", "_"]
+    digits = ["120", "１２０", "٣", "௧", "²", "Ⅷ", ""]
+    texts = [f"x {d}{s}{u}{e}" for d in digits for s in spaces for u in ("Hz", "MP", "mAh", "W", "watt", "GB", "tb") for e in ("", " ", "\xa0y", "z")]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    found = [set(r[0]) for r in df.select(F.map_keys(X.aspects_of(F.col("t"), {a: ["zzz"] for a in UNIT_PATTERNS}))).collect()]
+    assert found == [{a for a, ps in UNIT_PATTERNS.items() if any(re.search(p, t, re.IGNORECASE) for p in ps)} for t in texts]

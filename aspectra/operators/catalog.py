@@ -97,8 +97,9 @@ def dim_tables(products: DataFrame) -> dict[str, DataFrame]:
 
 
 def ids_by_name(products: DataFrame, names: list[str], name: str = "product_name", number: str = "product_id") -> DataFrame:
-    """name to id for a given list; of equal names the last id wins; an empty list gives no rows."""
-    return products.where(F.col(name).isin(*names)).groupBy(name).agg(F.max(number).alias(number))
+    """name to id for a given list, which meets the products in a join; of equal names the last id wins; an empty list gives no rows."""
+    wanted = products.sparkSession.createDataFrame([(n,) for n in names], f"`{name}` string")
+    return products.join(wanted, name, "left_semi").groupBy(name).agg(F.max(number).alias(number))
 
 
 def names_by_id(rows: DataFrame, products: DataFrame, number: str = "product_id", name: str = "product_name") -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aspectra.functions.text import device_id, hardware_hash
 
+#: Rows sampled for each slice, and at most in all.
+SAMPLED, MOST_SAMPLED = 100, 50_000
+
 
 def first_by(df: DataFrame, key: Column, order: list[str]) -> DataFrame:
     """The row of each key that comes first in order; rows with a null key are dropped.
@@ -47,21 +48,36 @@ def final_name_key(query_name: Column, product_name: Column) -> Column:
     return F.coalesce(F.nullif(stripped, F.lit("")), F.nullif(F.lower(product_name), F.lit("")), F.lit("unknown"))
 
 
-def sequential_ids(df: DataFrame, order: str, out: str, slices: int = 64) -> DataFrame:
-    """1, 2, 3, ... by a numeric order column, without one task for all rows.
+def sequential_ids(df: DataFrame, order: str | list[str], out: str, slices: int | None = None) -> DataFrame:
+    """1, 2, 3, ... by order columns, nulls first, without one task for all rows; equal ones go by a hash of the row.
 
-    Quantiles cut the order into slices, counts by slice give each its first
-    number, and rows are numbered within slices.
+    A bounded sample, the rows of smallest hash, gives cuts; counts by slice give
+    each slice its first number, and rows are numbered within slices, of which
+    there are as many as shuffle partitions. Any cuts give the same numbers.
     """
-    cuts = df.agg(F.percentile_approx(order, [i / slices for i in range(1, slices)], 10_000)).first()[0] or []
-    cuts = sorted(set(cuts))
-    below = [F.when(F.col(order) > F.lit(c), 1).otherwise(0) for c in cuts]
-    cut = df.withColumn("_slice", reduce(lambda a, b: a + b, below, F.lit(0)))
+    order = [order] if isinstance(order, str) else order
+    slices = slices or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    key = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order)])
+    mark = F.xxhash64(*[f"`{c}`" for c in df.columns])
+    sample = df.select(key.alias("k"), mark.alias("m")).orderBy("m").limit(min(slices * SAMPLED, MOST_SAMPLED)).select("k.*").distinct()
+    held = sample.orderBy(*sample.columns).collect()
+    cuts = [held[i] for i in sorted({len(held) * k // slices for k in range(1, slices)}) if i < len(held)]
+    kinds = [df.schema[c].dataType for c in order]
+    at_least = [key >= F.struct(*[F.lit(v).cast(t).alias(f"k{i}") for i, (v, t) in enumerate(zip(c, kinds, strict=True))]) for c in cuts]
+
+    def place(low: int, high: int) -> Column:
+        """Number of cuts not above the row, by halving."""
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(at_least[middle], place(middle + 1, high)).otherwise(place(low, middle))
+
+    cut = df.withColumn("_slice", place(0, len(cuts)))
     counts = cut.groupBy("_slice").agg(F.count("*").alias("_n"))
     earlier = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("_slice", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
-    number = F.row_number().over(Window.partitionBy("_slice").orderBy(order))
-    return cut.join(F.broadcast(starts), "_slice").withColumn(out, (F.col("_start") + number).cast("long")).drop("_slice", "_start")
+    number = F.row_number().over(Window.partitionBy("_slice").orderBy(*order, mark))
+    return cut.join(F.broadcast(starts), "_slice").withColumn(out, (F.col("_start") + number).cast("long")).select(*[f"`{c}`" for c in df.columns if c != out], out)
 
 
 def keep_first_per_key(df: DataFrame, keys: list[str], order: str) -> DataFrame:

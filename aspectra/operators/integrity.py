@@ -34,7 +34,3 @@ def cascade_delete(parents: DataFrame, children: DataFrame, doomed: DataFrame, o
     """(parents, children) left when the parents of doomed owners go, and their children with them."""
     gone = parents.join(doomed.select(owner), owner, "left_semi").select(F.col(parent_key).alias(child_key))
     return parents.join(doomed.select(owner), owner, "left_anti"), children.join(gone, child_key, "left_anti")
-
-
-def resolve_names(table: DataFrame, names: DataFrame, name: str) -> DataFrame:
-    return table.join(names.select(name).distinct(), name, "left_semi")

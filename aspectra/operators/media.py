@@ -17,6 +17,7 @@ def comments_of_info(info: DataFrame, keys: list[str], comments: str = "comments
 
 
 def unknown_urls(found: DataFrame, known: DataFrame, url: str) -> DataFrame:
+    """Rows whose URL is not stored; rows without one are not known either."""
     return found.join(known.select(url), url, "left_anti")
 
 
@@ -38,15 +39,9 @@ def top_up_plan(products: DataFrame, videos: DataFrame, completed: DataFrame, pr
     counted = products.join(counts, product, "left").join(done, name, "left").withColumn("n_videos", F.coalesce("n_videos", F.lit(0)))
     phase = F.when(F.col("_done").isNotNull(), F.lit("top-up")).otherwise(F.lit("fresh"))
     plan = counted.withColumn("phase", phase).where((F.col("phase") == "fresh") | (F.col("n_videos") < least))
-    first = plan.where("phase = 'top-up'").orderBy(name, product)
-    ranked = first.select(product, name, "phase", "n_videos").withColumn("_rank", F.row_number().over(_order(name, product)))
-    shift = ranked.agg(F.count("*").alias("_shift"))
-    fresh = sequential_ids(plan.where("phase = 'fresh'").select(product, name, "phase", "n_videos", order), order, "_rank")
-    placed = fresh.join(F.broadcast(shift)).select(product, name, "phase", "n_videos", (F.col("_rank") + F.col("_shift")).alias("place"))
-    return ranked.select(product, name, "phase", "n_videos", F.col("_rank").cast("long").alias("place")).unionByName(placed)
-
-
-def _order(*columns: str):
-    from pyspark.sql import Window
-
-    return Window.orderBy(*columns)
+    first = F.col("phase") == "top-up"
+    keyed = plan.select(
+        product, name, "phase", "n_videos", (~first).cast("int").alias("_late"), F.when(first, F.col(name)).alias("_by_name"), F.when(first, F.col(product)).alias("_by_id"), F.when(~first, F.col(order)).alias("_by_order")
+    )
+    placed = sequential_ids(keyed, ["_late", "_by_name", "_by_id", "_by_order"], "place")
+    return placed.select(product, name, "phase", "n_videos", "place")

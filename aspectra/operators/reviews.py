@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from aspectra.functions.text import aspects_of, collapse_space
 from aspectra.plans.constants import KEYWORDS, UNIT_PATTERNS
-from aspectra.plans.schemas import USER_REVIEW
 
 
 def unclassified(comments: DataFrame, text: str = "comment_text", aspects: str = "aspects") -> DataFrame:
@@ -33,6 +32,11 @@ def aspect_coverage(tagged: DataFrame) -> DataFrame:
     return tagged.agg(F.count_if(F.size("aspects") == 0).alias("n_unmatched"), F.count_if(F.col("aspects").isNull()).alias("n_unprocessed"))
 
 
+def with_product(comments: DataFrame, videos: DataFrame, video: str = "video_id", product: str = "product_id") -> DataFrame:
+    """Comments with the product of their video; those of unknown videos, or of videos without a product, are left out."""
+    return comments.join(videos.where(F.col(product).isNotNull()).select(video, product), video)
+
+
 def roll_up(comments: DataFrame, product: str, comment: str, text: str) -> DataFrame:
     """(product, aspect, total, comments): texts in order of the comment id, null texts kept.
 
@@ -67,7 +71,3 @@ def explode_reviews(dims: DataFrame, keys: list[str], review: str = "user_review
     listed = with_review(dims, review).select(*keys, F.try_variant_get(payload, "$.comments", "array<variant>").alias("_list"))
     each = listed.select(*keys, F.posexplode("_list").alias("list_index", "_one"))
     return each.select(*keys, "list_index", comment_text(F.col("_one")).alias("chunk_text")).where("chunk_text is not null")
-
-
-def parsed_review(review: Column) -> Column:
-    return F.from_json(review, USER_REVIEW)

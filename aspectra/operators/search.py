@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from aspectra.functions.text import conditional_ilike, similarity
-from aspectra.functions.vectors import cosine_distance, literal
+from aspectra.functions.vectors import cosine_distance, distance_to
 from aspectra.operators.dedup import distinct_texts
 from aspectra.plans.constants import ASPECTS, LIST_LIMIT, OVER_FETCH, SEARCH_LIMIT, TOP_K, TRIGRAM_THRESHOLD
 
@@ -69,7 +69,7 @@ def nearest_comments(embeddings: DataFrame, dims: DataFrame, product: int, aspec
     table = check_aspect(aspect)
     own = dims.where(F.col(key) == product).select("dim_id", key)
     held = embeddings.where((F.col("dim_table") == table) & F.col("embedding").isNotNull())
-    scored = held.join(own, "dim_id").withColumn("distance", cosine_distance(F.col("embedding"), literal(query)))
+    scored = held.join(own, "dim_id").withColumn("distance", distance_to(F.col("embedding"), query))
     by = [F.col("distance").asc_nulls_last(), F.col("chunk_id")]
     fetched = scored.orderBy(*by).limit(top * over_fetch)
     return distinct_texts(fetched, [key], "chunk_text", "distance", "chunk_id", top, over_fetch)

@@ -150,8 +150,3 @@ def spec_maps(pages: DataFrame, key: str, html: str) -> DataFrame:
             yield pd.DataFrame({key: batch["key"], "specs": [spec_table(t) for t in batch["html"]]})
 
     return pages.select(F.col(key).alias("key"), F.col(html).alias("html")).mapInPandas(run, f"{key} long, specs map<string,string>")
-
-
-def anchor_hrefs(html: str) -> list[str]:
-    """All href targets by pattern alone, as SQL finds them."""
-    return re.findall(r'<a href="([^"]*)"', html)

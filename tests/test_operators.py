@@ -207,3 +207,59 @@ def test_names(spark):
     assert catalog.ids_by_name(products, []).count() == 0
     unknown = spark.createDataFrame([(9,)], "product_id int")
     assert catalog.names_by_id(unknown, products).first()["product_name"].endswith("(id=9)")
+
+
+def test_sequential_ids_with_nulls_ties_and_few_slices(spark):
+    from aspectra.operators.dedup import sequential_ids
+
+    rows = [(None if i % 3 == 0 else i % 50, chr(97 + i % 7) if i % 5 else None, i) for i in range(400)]
+    df = spark.createDataFrame(rows, "a long, b string, _slice long").repartition(5)
+    for order in ("a", ["b", "a"], ["a", "b", "_slice"]):
+        for slices in (1, 2, 17, None):
+            plain = sequential_ids(df.withColumnRenamed("_slice", "row") if order != ["a", "b", "_slice"] else df.withColumnRenamed("_slice", "c"), [o if o != "_slice" else "c" for o in ([order] if isinstance(order, str) else order)], "n", slices)
+            found = sorted(plain.collect(), key=lambda r: r["n"])
+            assert [r["n"] for r in found] == list(range(1, 401))
+            names = [o if o != "_slice" else "c" for o in ([order] if isinstance(order, str) else order)]
+            keys = [tuple((r[o] is not None, r[o] if r[o] is not None else 0) if o != "b" else (r[o] is not None, r[o] or "") for o in names) for r in found]
+            assert keys == sorted(keys)
+    again = sequential_ids(df.repartition(3).withColumnRenamed("_slice", "c"), "a", "n").collect()
+    assert set(again) == set(sequential_ids(df.withColumnRenamed("_slice", "c"), "a", "n").collect())
+    assert sequential_ids(df.limit(0).withColumnRenamed("_slice", "c"), "a", "n").count() == 0
+
+
+def test_numbering_runs_in_no_single_task_over_rows(spark, small):
+    """Only summaries, a row per slice, meet in one partition."""
+    import re
+
+    from aspectra.plans.queries import QUERIES
+
+    for name in ("topup_plan", "surrogate_star_load"):
+        plan = QUERIES[name](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+        whole = [line for line in plan.splitlines() if re.search(r"Window \[", line) and re.search(r"\], \[_slice", line) is None]
+        assert all("_slice" in line for line in whole), whole
+
+
+def test_codec_and_segmenter(spark):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from aspectra.operators.chunking import recursive_chunks
+    from aspectra.plans.providers import compound_segmenter, vocabulary_codec
+
+    encode, decode = vocabulary_codec(public_tokenizers.path("byte_bpe_50k.json"))
+    assert decode(encode("a phone, good")) == "a phone, good"
+    segment = compound_segmenter(["màn hình", "pin", "thời lượng pin", "hình"])
+    assert segment("Màn hình đẹp, thời lượng pin tốt") == "Màn_hình đẹp, thời_lượng_pin tốt"
+    assert compound_segmenter([])("a b") == "a b"
+    df = spark.createDataFrame([(1, "màn hình " * 200 + "end. " * 30), (2, None), (3, " ")], "k long, t string")
+    chunks = recursive_chunks(df, "k", "t", encode, decode, segment).orderBy("k", "chunk_index").collect()
+    assert {r["k"] for r in chunks} == {1} and [r["chunk_index"] for r in chunks] == list(range(len(chunks)))
+    assert all(len(encode(r["chunk_text"])) <= 160 for r in chunks) and "màn_hình" in chunks[0]["chunk_text"]
+
+
+def test_comments_meet_their_products(spark):
+    from aspectra.operators import reviews
+
+    comments = spark.createDataFrame([(1, 10, "good camera"), (2, 11, "camera"), (3, 12, "pin"), (4, 99, "camera")], "comment_id long, video_id long, comment_text string")
+    videos = spark.createDataFrame([(10, 5, "u"), (11, 5, "v"), (12, None, "w")], "video_id long, product_id long, youtube_url string")
+    tagged = reviews.with_product(reviews.tag(comments, "comment_text"), videos)
+    rolled = reviews.roll_up(tagged, "product_id", "comment_id", "comment_text").collect()
+    assert [(r["product_id"], r["aspect"], r["total"], r["comments"]) for r in rolled] == [(5, "camera", 2, ["good camera", "camera"])]

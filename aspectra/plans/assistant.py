@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -12,6 +13,16 @@ from aspectra.plans.constants import ASPECTS, TOP_K
 from aspectra.plans.providers import Encoder, query_vector
 
 
+def first_that_works(wanted: Callable[[], DataFrame], fallback: Callable[[], DataFrame]) -> DataFrame:
+    """The rows of a short list, which is run here; where making or running it fails, the fallback's plan. The error is logged."""
+    try:
+        found = wanted()
+        return found.sparkSession.createDataFrame(found.collect(), found.schema)
+    except Exception:  # noqa: BLE001  whatever fails in an encoder or a task
+        logging.getLogger(__name__).exception("falling back")
+        return fallback()
+
+
 @dataclass
 class Assistant:
     products: DataFrame
@@ -22,8 +33,9 @@ class Assistant:
     trigram: bool = True
 
     def search_product(self, query: str) -> DataFrame:
-        """Similar names, or names that contain the query where similarity is switched off."""
-        return search.search_trigram(self.products, query) if self.trigram else search.search_ilike(self.products, query)
+        """Similar names; names that contain the query where similarity is switched off or fails."""
+        plain = lambda: search.search_ilike(self.products, query)
+        return first_that_works(lambda: search.search_trigram(self.products, query), plain) if self.trigram else plain()
 
     def list_products(self, max_price: int | None = None, brand: str | None = None) -> DataFrame:
         return search.list_products(self.products, max_price, brand)
@@ -37,14 +49,19 @@ class Assistant:
         return search.all_specs(own, {a: c for a, (_, c) in ASPECTS.items()}).orderBy("place")
 
     def get_comments(self, product: int, aspect: str, query: str, top: int = TOP_K) -> DataFrame:
-        """Nearest comments; any of the aspect's where none has a vector. Errors of the encoder surface."""
+        """Nearest comments; any of the aspect's where none has a vector, or where encoder or vector search fails."""
         table = search.check_aspect(aspect)
-        vector = query_vector(query, self.encoder, self.hypothetical)
-        found = search.nearest_comments(self.embeddings, self.dims[aspect], product, aspect, vector, top)
-        if found.limit(1).count():
-            return found
-        own = self.dims[aspect].where(self.dims[aspect].product_id == product).select("dim_id")
-        return search.random_rows(self.embeddings.where(self.embeddings.dim_table == table).join(own, "dim_id"), top)
+
+        def nearest() -> DataFrame:
+            vector = query_vector(query, self.encoder, self.hypothetical)
+            return search.nearest_comments(self.embeddings, self.dims[aspect], product, aspect, vector, top)
+
+        def any_of_them() -> DataFrame:
+            own = self.dims[aspect].where(self.dims[aspect].product_id == product).select("dim_id")
+            return search.random_rows(self.embeddings.where(self.embeddings.dim_table == table).join(own, "dim_id"), top)
+
+        found = first_that_works(nearest, any_of_them)
+        return found if found.limit(1).count() else any_of_them()
 
     def ask(self, question: str, script: list[tuple[str, tuple]]) -> list[DataFrame]:
         """Run scripted tool calls for a question; a blank question is refused."""

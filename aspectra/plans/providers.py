@@ -75,6 +75,29 @@ def normalized_name(name: Column, chipset: Column) -> Column:
     return F.coalesce(F.nullif(F.array_join(F.concat(F.array(plain), new), " "), F.lit("")), name)
 
 
+def vocabulary_codec(path: str) -> tuple[Callable[[str], list[int]], Callable[[list[int]], str]]:
+    """(encode, decode) by a vocabulary file of the tokenizers library, loaded once in each worker."""
+    loaded: dict[str, object] = {}
+
+    def tokenizer():
+        if path not in loaded:
+            from tokenizers import Tokenizer
+
+            loaded[path] = Tokenizer.from_file(path)
+        return loaded[path]
+
+    return (lambda text: tokenizer().encode(text, add_special_tokens=False).ids), (lambda ids: tokenizer().decode(ids))
+
+
+def compound_segmenter(compounds: Sequence[str], joint: str = "_") -> Callable[[str], str]:
+    """Joins the words of known compounds, longest first, as word segmenters do; no trained model is needed."""
+    many = sorted({" ".join(c.split()) for c in compounds if len(c.split()) > 1}, key=lambda c: (-len(c), c))
+    if not many:
+        return lambda text: text
+    pattern = re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, many)) + r")(?!\w)", re.IGNORECASE)
+    return lambda text: pattern.sub(lambda m: m[0].replace(" ", joint), text)
+
+
 class ExhaustedKeys(RuntimeError):
     pass
 

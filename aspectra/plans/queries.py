@@ -40,7 +40,7 @@ def _sql_boundary(words: list[str]) -> str:
 
 
 def _sql_hit(aspect: str, words: list[str], column: str) -> str:
-    units = "".join(f" OR regexp_matches({column}, '(?i){u}')" for u in UNIT_PATTERNS.get(aspect, []))
+    units = "".join(f" OR regexp_matches({column}, '{X.unit_pattern(u)}')" for u in UNIT_PATTERNS.get(aspect, []))
     return f"(regexp_matches({column}, '{_sql_boundary(words)}'){units})"
 
 
@@ -332,9 +332,10 @@ def aspect_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tagged.select("doc_id", F.explode(F.map_keys("aspects")).alias("aspect"))
 
 
-@query(_sql_tags("part", "p_partkey", "p_name || ' 128 GB screen ' || p_size || 'Hz'", KEYWORDS))
+@query(_sql_tags("part", "p_partkey", "p_name || ' 128\u00a0GB screen ' || p_size || '\u3000Hz １２０Ｗ １２０ W'", KEYWORDS))
 def aspect_tag_products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = table(spark, sf_dir, "part").select("p_partkey", F.concat("p_name", F.lit(" 128 GB screen "), "p_size", F.lit("Hz")).alias("text"))
+    """Units after white space beyond ASCII, and full-width digits, as scraped pages have them."""
+    made = table(spark, sf_dir, "part").select("p_partkey", F.concat("p_name", F.lit(" 128\u00a0GB screen "), "p_size", F.lit("\u3000Hz １２０Ｗ １２０ W")).alias("text"))
     return reviews.tag(made, "text").select("p_partkey", F.explode(F.map_keys("aspects")).alias("aspect"))
 
 
@@ -373,6 +374,21 @@ def review_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rolled(spark, sf_dir).select("conv_id", "aspect", "total", F.md5(F.array_join("comments", "||")).alias("comments_md5"))
 
 
+@query(
+    f"""
+    SELECT o_custkey AS product_id, aspect, count(*) AS total, md5(string_agg(text, '||' ORDER BY conv_id * 1000 + turn, text)) AS comments_md5
+    FROM ({_CONV_TAGS}) JOIN orders ON o_orderkey = conv_id GROUP BY ALL
+    """
+)
+def comment_rollup_by_product(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as the comments of videos; orders are videos, customers their products."""
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("video_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("comment_id"), "text")
+    videos = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("video_id"), F.col("o_custkey").alias("product_id"))
+    tagged = reviews.with_product(reviews.tag(rows, "text", CORPUS_KEYWORDS), videos)
+    rolled = reviews.roll_up(tagged, "product_id", "comment_id", "text")
+    return rolled.select("product_id", "aspect", "total", F.md5(F.array_join("comments", "||")).alias("comments_md5"))
+
+
 @query(
     rf"""
     SELECT conv_id, aspect, CAST(row_number() OVER (PARTITION BY conv_id, aspect ORDER BY turn, text) - 1 AS INT) AS list_index,
@@ -402,6 +418,7 @@ def comment_chunks_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def comment_chunks_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words stand for model tokens; providers.vocabulary_codec and compound_segmenter bring a model's own."""
     ship_code(spark)
     return chunking.recursive_chunks(table(spark, sf_dir, "conversations").select("conv_id", "text"), "conv_id", "text")
 
@@ -557,6 +574,14 @@ def media_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 5)")
+def unknown_video_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as found videos, larger parts as those stored."""
+    found = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.concat(F.lit("v/"), F.col("l_partkey")).alias("url"))
+    known = table(spark, sf_dir, "part").where("p_size > 5").select(F.concat(F.lit("v/"), F.col("p_partkey")).alias("url"))
+    return media.unknown_urls(found, known, "url").select("l_orderkey", "l_linenumber")
+
+
 @query(
     """
     SELECT event_id, event_id % 4 = 0 AND event_id % 3 <> 2 AS exceeded FROM events
@@ -568,7 +593,12 @@ def quota_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", X.quota_exceeded(status, reasons).alias("exceeded"))
 
 
-@query()
+@query(
+    r"""
+    WITH w AS (SELECT p_partkey, p_size, list_transform(list_filter(string_split(p_name, ' '), lambda x: lower(x) <> 'hot'), lambda x: upper(x[1]) || lower(x[2:])) AS words FROM part)
+    SELECT p_partkey, array_to_string(words, ' ') || ' Snapdragon 8 Gen ' || (p_size % 4) AS search_query_name FROM w
+    """
+)
 def query_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part")
     name = F.concat(F.initcap("p_name"), F.lit(" cũ 99% (8GB/256GB)"))
@@ -682,20 +712,26 @@ def paged_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Streaming
 
 
-@query()
+@query(_sql_tags("conversations", "conv_id, turn, role", "text", CORPUS_KEYWORDS))
 def incremental_tag_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as a stream into an idempotent table, run twice from the start."""
+    """Comments as a stream, tagged into an idempotent table by role, run twice from the start."""
     from aspectra.streaming.incremental import append_batches
 
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="aspectra-stream-")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="aspectra-stream-")
     base = f"{folder.rstrip('/')}/tags-{spark.sql('select uuid()').first()[0]}"
-    source = f"{sf_dir}/events.parquet"
-    events = spark.read.parquet(source)
-    made = events.select("event_id", "user_id", "event_type")
-    made.limit(0).write.parquet(f"{base}/table")
-    for run in ("first", "second"):
-        stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "*.parquet").parquet(source if "part-" in source else f"{sf_dir}/events*.parquet")
-        append_batches(stream, f"{base}/table", ["event_id"], "event_id", f"{base}/{run}", lambda b: b.select("event_id", "user_id", "event_type"))
-    return spark.read.parquet(f"{base}/table")
+    source = f"{sf_dir}/conversations.parquet"
+    rows = spark.read.parquet(source)
 
+    def tagged(batch: DataFrame) -> DataFrame:
+        return reviews.tag(batch.select("conv_id", "turn", "role", "text"), "text", CORPUS_KEYWORDS).select("conv_id", "turn", "aspects", "role")
 
+    tagged(rows).limit(0).write.partitionBy("role").parquet(f"{base}/table")
+    for run in ("first", "second"):
+        stream = spark.readStream.schema(rows.schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/conversations*.parquet")
+        append_batches(stream, f"{base}/table", ["conv_id", "turn", "role"], "turn", f"{base}/{run}", tagged, by="role")
+    made = spark.read.schema("conv_id long, turn long, aspects map<string,int>, role string").parquet(f"{base}/table")
+    return made.select("conv_id", "turn", "role", F.explode(F.map_keys("aspects")).alias("aspect"))

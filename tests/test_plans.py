@@ -122,11 +122,40 @@ def test_assistant(spark):
     assert made.get_all_specs(1).count() == 8
     assert [r["chunk_text"] for r in made.get_comments(1, "camera", "good photo").orderBy("rank").collect()] == ["good photo", "bad lens"]
     assert made.get_comments(1, "battery", "x").count() == 0
+
+    def broken(texts):
+        raise ConnectionError("no encoder")
+
+    made.encoder = broken
+    assert {r["chunk_text"] for r in made.get_comments(1, "camera", "good photo").collect()} == {"good photo", "bad lens"}
+    made.encoder = encoder
     with pytest.raises(ValueError):
         made.ask("  ", [])
     assert made.ask("?", [("list_products", (15,))])[0].count() == 1
 
 
+def test_fallback_where_a_search_fails(spark, monkeypatch):
+    from aspectra.operators import search
+
+    products = spark.createDataFrame([(1, "phone one", 10), (2, "tablet", 20)], "product_id int, product_name string, price int")
+    made = Assistant(products, {}, products, providers.hashing_encoder(8))
+    monkeypatch.setattr(search, "search_trigram", lambda p, q: p.where(F.expr("raise_error('no such operator') is null")))
+    assert [r["product_id"] for r in made.search_product("PHONE").collect()] == [1]
+
+
+def test_stream_into_partitions(spark, tmp_path):
+    from aspectra.streaming.incremental import append_batches
+
+    rows = [(i, f"d{i % 3}" if i % 4 else None) for i in range(20)]
+    df = spark.createDataFrame(rows, "k long, day string")
+    df.write.parquet(str(tmp_path / "in"))
+    df.limit(0).write.partitionBy("day").parquet(str(tmp_path / "out"))
+    for run in ("a", "b"):
+        stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+        append_batches(stream, str(tmp_path / "out"), ["k", "day"], "k", str(tmp_path / run), lambda b: b, by="day")
+    assert sorted(map(tuple, spark.read.schema(df.schema).parquet(str(tmp_path / "out")).collect())) == rows
+
+
 def test_windowed_stream(spark, small, tmp_path):
     from aspectra.streaming.incremental import windowed_counts
 

@@ -15,6 +15,7 @@ the ids of the string as ordinary text.
 
 from __future__ import annotations
 
+import ctypes
 import itertools
 import os
 import re
@@ -201,8 +202,11 @@ def encoder_for(vocabulary: str, word_level: bool, special_as_text: bool = False
 
 
 def forget_encoders() -> None:
-    """Give the cache's memory back, for steps that encode nothing in a worker that did."""
-    _encoders.clear()
+    """Give the cache's memory back, to the system too, for steps that encode nothing in a worker that did."""
+    if _encoders:
+        _encoders.clear()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
 
 
 def in_slices(texts: list[str], most_chars: int = 1 << 20) -> Iterable[tuple[int, int]]:

@@ -38,6 +38,25 @@ def test_digest_and_order(spark):
     assert C.formatted_digest(df.limit(0)).count() == 0
 
 
+def test_ties_of_turns_and_very_long_texts(spark):
+    """Equal turns go by role, then text; a text of a million characters comes back whole."""
+    long = "</s>[INST] é \\" * 70_000
+    rows = [(1, 0, "user", "b"), (1, 0, "user", "a"), (1, 0, "assistant", "z"), (2, 0, "user", long), (2, 1, "assistant", long), (2, 1, "assistant", long)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for frame in (df, df.orderBy(F.desc("text")).repartition(3)):
+        found = {r["conv_id"]: r for r in C.formatted_digest(frame).collect()}
+        assert found[1]["turns_sha256"] == hashlib.sha256(b"assistant\nz\nuser\na\nuser\nb\n").hexdigest()
+        assert found[2]["loss_sha256"] == hashlib.sha256((long * 2).encode()).hexdigest() and found[2]["loss_chars"] == 2 * len(long)
+
+
+def test_mixing_takes_very_long_texts_whole(spark):
+    rows = [(1, "w " * 400_000, "s"), (2, "w w", "s"), (3, None, None), (4, "one", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = {r["doc_id"]: r for r in M.mix_sources(df).collect()}
+    assert found[1]["size"] == 400_000 and found[1]["source_size"] == 400_002 and found[3]["size"] == found[3]["taken"] == 0
+    assert found[1]["taken"] + found[2]["taken"] == round(found[1]["target"])
+
+
 def brute_targets(sizes, weights, most):
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
     w = {s: weights[i % len(weights)] for i, s in enumerate(order)}

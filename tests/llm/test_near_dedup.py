@@ -173,6 +173,15 @@ def test_leftover_rounds_join_what_a_first_member_parts(spark, monkeypatch):
     assert {r["doc_id"]: r["class_id"] for r in N.near_duplicate_classes(df).collect()} == near_classes(docs)
 
 
+def test_very_long_texts(spark):
+    """Hundreds of thousands of words, in one line and as one word."""
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(90_000)}" for _ in range(150_000)]
+    docs = {1: " ".join(base), 2: mutate(rng, base, 2000), 3: mutate(rng, base, 9000), 4: "x" * 1_000_000, 5: "x" * 1_000_000 + " y", 6: "x" * 1_000_000}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    assert {r["doc_id"]: r["class_id"] for r in N.near_duplicate_classes(df).collect()} == near_classes(docs) == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 4}
+
+
 def test_components(spark):
     rng = random.Random(2)
     links = [(i, i + 1) for i in range(40) if i % 13] + [(rng.randrange(100, 200), rng.randrange(100, 200)) for _ in range(60)]

@@ -129,6 +129,7 @@ TOP_K, OVER_FETCH, HYPOTHETICALS = 20, 5, 5
 SESSION_TTL_SECONDS, HISTORY_TOKENS = 1800, 16000
 CHUNK_TOKENS, CHUNK_OVERLAP, MODEL_TOKENS, MODEL_TOKENS_RETRY = 160, 20, 254, 244
 COMMENTS_PER_TABLE, MIN_VIDEOS, MAX_VIDEOS = 3000, 25, 30
+BLOCKED_SECONDS, CRAWL_RETRIES, CRAWL_PAGES, RECORDS_PER_PART = 600, 2, 60, 50
 QUOTA_REASONS = ("quotaExceeded", "dailyLimitExceeded", "rateLimitExceeded")
 CHUNK_SEPARATORS = ("\n\n", "\n", ".", "!", "?", ";", ",", " ", "")
 HASH_ATTRIBUTES = ("chipset", "core_count", "ram_capacity", "gpu_chip", "dimensions", "weight", "battery_capacity")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
 
+from aspectra.plans.constants import BLOCKED_SECONDS
 from aspectra.plans.providers import ExhaustedKeys
 
 
@@ -36,11 +38,29 @@ def run_steps(spark: SparkSession, steps: list[Step]) -> list[str]:
     return ran
 
 
-def ingest(names: list[str], one: Callable[[str], None], workers: int = 3) -> list[str]:
-    """Names done by a pool of workers; when keys run out, what has not begun is cancelled and the error raised."""
+class Blocked(RuntimeError):
+    """A service turned the caller away for a while (status 403)."""
+
+
+def with_retries[T](call: Callable[[], T], retries: int, pause: Callable[[int], float], kinds: tuple[type[Exception], ...] = (Exception,), sleep: Callable[[float], None] = time.sleep) -> T:
+    """The call's result; an error of the kinds is tried again after pause(attempt) seconds, the last one raised."""
+    for attempt in range(retries):
+        try:
+            return call()
+        except kinds:
+            sleep(pause(attempt))
+    return call()
+
+
+def ingest(names: list[str], one: Callable[[str], None], workers: int = 3, blocked_seconds: float = BLOCKED_SECONDS, sleep: Callable[[float], None] = time.sleep) -> list[str]:
+    """Names done by a pool of workers; when keys run out, what has not begun is cancelled and the error raised.
+
+    A name that is blocked waits once, then is tried again; other errors of one name are raised too.
+    """
     done: list[str] = []
     with ThreadPoolExecutor(workers) as pool:
-        waiting = {pool.submit(one, name): name for name in names}
+        patient = lambda name: with_retries(lambda: one(name), 1, lambda _: blocked_seconds, (Blocked,), sleep)
+        waiting = {pool.submit(patient, name): name for name in names}
         try:
             for future, name in waiting.items():
                 future.result()

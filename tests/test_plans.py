@@ -165,3 +165,61 @@ def test_windowed_stream(spark, small, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("windowed").agg(F.sum("n")).first()[0] == spark.read.parquet(f"{small}/events.parquet").count()
+
+
+def test_retries_and_blocked_ingest():
+    waits, calls = [], []
+
+    def fails_twice():
+        calls.append(1)
+        if len(calls) < 3:
+            raise OSError("down")
+        return "up"
+
+    assert pipeline.with_retries(fails_twice, 2, lambda a: 1.0 + a, sleep=waits.append) == "up" and waits == [1.0, 2.0]
+    with pytest.raises(OSError):
+        pipeline.with_retries(lambda: (_ for _ in ()).throw(OSError()), 1, lambda a: 0, sleep=lambda s: None)
+    turned_away, waits = set(), []
+
+    def one(name):
+        if name not in turned_away:
+            turned_away.add(name)
+            raise pipeline.Blocked("403")
+
+    assert pipeline.ingest(["x", "y"], one, sleep=waits.append) == ["x", "y"] and waits == [600, 600]
+
+
+def test_crawl_by_pages(spark):
+    from aspectra.sources.crawl import crawl, pages_of
+
+    site = {("a", 1): ["u1", "u2", "u1", ""], ("a", 2): ["u2", "u3"], ("a", 3): ["u3"], ("a", 4): ["u9"], ("b", 1): []}
+    fetch = lambda slug, page: [{"url": u, "name": u.upper()} for u in site.get((slug, page), [])]
+    assert [(r["url"], r["page"]) for r in pages_of("a", fetch)] == [("u1", 1), ("u2", 1), ("u3", 2)]
+    assert [r["url"] for r in pages_of("a", fetch, max_pages=1)] == ["u1", "u2"]
+    tries = []
+
+    def flaky(slug, page):
+        tries.append(page)
+        if len(tries) < 3:
+            raise OSError
+        return fetch(slug, page)
+
+    assert len(list(pages_of("a", flaky, wait=0))) == 3 and tries == [1, 1, 1, 2, 3]
+    from pyspark.sql import types as T
+
+    schema = T.StructType([T.StructField("slug", T.StringType()), T.StructField("page", T.IntegerType()), T.StructField("url", T.StringType()), T.StructField("name", T.StringType())])
+    slugs = spark.createDataFrame([("a",), ("b",), (None,), ("a",)], "s string")
+    assert sorted(map(tuple, crawl(slugs, "s", fetch, schema).collect())) == [("a", 1, "u1", "U1"), ("a", 1, "u2", "U2"), ("a", 2, "u3", "U3")]
+
+
+def test_parts_and_database(spark, tmp_path):
+    df = spark.range(120).selectExpr("id as k", "'v' || id as v")
+    path = str(tmp_path / "parts")
+    assert files.write_parts_once(df.where("k < 70"), path, "k", 25) == 3
+    assert files.write_parts_once(df, path, "k", 25) == 3  # the two full parts stay, the open one is written again
+    assert files.write_parts_once(df, path, "k", 25) == 1
+    assert sorted(map(tuple, spark.read.parquet(path).select("k", "v").collect())) == [(i, f"v{i}") for i in range(120)]
+    url, driver = "jdbc:derby:memory:parts;create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    for overwrite, many in ((True, 120), (False, 240), (True, 120)):
+        files.write_jdbc(df, url, "items", overwrite, **driver)
+        assert spark.read.jdbc(url, "items", properties=driver).count() == many

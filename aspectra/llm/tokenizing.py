@@ -121,7 +121,7 @@ class PieceEncoder:
             base, end = piece, b""
             if not piece[-1:].isalpha():
                 short = piece.rstrip(_MARKS)
-                if short[-1:].isalpha() and short[-1] < "\u0250":
+                if short[-1:].isalpha() and short[-1] < "\u0250" and short[-1] != "\u0130":  # whose small form ends in a mark
                     base, end = short, self._end(piece[len(short) :])
             if self.word_level and _LATIN.fullmatch(base):
                 small = base.lower()

@@ -90,8 +90,13 @@ def ngrams(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
     pair_first = np.searchsorted(inner, first)
     wide = data.astype(np.uint32)
     four = wide[:-3] | wide[1:-2] << np.uint32(8) | wide[2:-1] << np.uint32(16) | wide[3:] << np.uint32(24) if len(data) > 3 else wide[:0]
-    chars = (four * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)
-    byte_first = np.minimum(offsets, len(chars))
+    inside = np.ones(len(four), bool)  # no window reaches into the next text
+    for back in (1, 2, 3):
+        last = offsets[1:] - back
+        inside[last[(last >= 0) & (last < len(four))]] = False
+    places = np.flatnonzero(inside)
+    chars = (four[places] * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)
+    byte_first = np.searchsorted(places, offsets)
     return [
         ((words & mask).astype(np.int64), first),
         ((pairs[inner] & mask).astype(np.int64) + (1 << BITS), pair_first),

@@ -24,7 +24,7 @@ from aspectra.llm.tokenizing import encoder_for
 from tests.llm.brute import LOWER, WORD, words
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
-ODD = ["a <|endoftext|> b", None, "", " ", "\n", "a  b", "Don't  Stop\tit's", "x.\ny", "\0 a", "é" * 40, "日本 語", "a, b. c", "w " * 5000]
+ODD = [None, "", " ", "\n", "a  b", "Don't  Stop\tit's", "x.\ny", "\0 a", "é" * 40, "日本 語", "a, b. c", "w " * 5000, "a <|endoftext|> b"]
 
 
 def documents(spark, texts, **extra):
@@ -314,6 +314,37 @@ def test_quality_counts(text):
     assert Y.counts(text) == brute_counts(text)
 
 
+def plain_mix(x):
+    x &= (1 << 64) - 1
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & (1 << 64) - 1
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & (1 << 64) - 1
+    return x ^ x >> 31
+
+
+def plain_features(text):
+    """Feature numbers of one text by kind, one n-gram after the other."""
+    hashes = [plain_mix(sum((b + 1) * pow(0x9E3779B97F4A7C15, i, 1 << 64) for i, b in enumerate(w.encode()))) for w in words(text)]
+    raw = text.encode() + b" "
+    four = [int.from_bytes(raw[i : i + 4], "little") * 0x9E3779B1 % (1 << 32) >> 16 for i in range(len(raw) - 3)]
+    return [[h % 65536 for h in hashes], [65536 + plain_mix(3 * a + 5 * b) % 65536 for a, b in zip(hashes, hashes[1:])], [131072 + f for f in four]]
+
+
+def test_quality_verdicts_against_a_plain_version(spark, small):
+    """Each text's probability by itself, whatever stands beside it in a batch, and kept for every document."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    model = Y.QualityModel.from_bytes(Y.train_quality(docs, spark.read.parquet(f"{small}/labels.parquet")))
+    found = {r["doc_id"]: r for r in Q.op5_quality_rules(spark, small).collect()}
+    for r in docs.collect():
+        text = r["text"] or ""
+        raw = model.bias + sum(sum(model.weights[f] for f in kind) / max(len(kind), 1) for kind in plain_features(text))
+        p = 1 / (1 + math.exp(-(model.slope * raw + model.shift)))
+        one = found[r["doc_id"]]
+        assert one["quality"] == pytest.approx(p, abs=1e-6)
+        assert one["kept"] == (not one["base_failed"] and p >= 0.5) or abs(p - 0.5) < 1e-6
+    texts = [b"", b"a", b"ab cd", b"", b"xyz", b"some more words"]
+    assert np.allclose(model.raw(texts), [model.raw([t])[0] for t in texts], atol=1e-9)
+
+
 def test_quality_learns(spark, small):
     docs, labels = spark.read.parquet(f"{small.replace('0.001', '0.01')}/documents.parquet"), spark.read.parquet(f"{small.replace('0.001', '0.01')}/labels.parquet")
     rows = {r["doc_id"]: r["quality"] for r in labels.collect()}

@@ -44,7 +44,7 @@ from aspectra.llm.common import partitions_for, stored
 from aspectra.llm.gru import WINDOW, GruModel, Trainer, from_bytes, to_bytes
 from aspectra.session import ship_code
 
-WORDS, CLASSES, GROUPS = 2048, 32, 32
+WORDS, CLASSES, GROUPS = 2048, 16, 32
 KNOWN, LONGEST_KNOWN = 200_000, 64
 #: Documents read side by side in training: so many before, and after, EARLY_TOKENS trained tokens of a replica.
 EARLY_LANES, TRAIN_LANES, EARLY_TOKENS = 64, 256, 1 << 19

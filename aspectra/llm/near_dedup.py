@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from aspectra.llm.common import by_name, by_place, connected_components, partitions_for, quoted, stored
 from aspectra.llm.hashing import join_texts, mix, word_hashes, word_spans
-from aspectra.llm.tokenizing import forget_encoders, in_slices
+from aspectra.llm.tokenizing import few_rows, forget_encoders, in_slices
 from aspectra.session import ship_code
 
 SHINGLE, REGISTERS, ROWS, BANDS, AT_LEAST = 5, 256, 6, 42, 0.8
@@ -149,7 +149,7 @@ def overlap(a: np.ndarray, b: np.ndarray) -> float:
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     forget_encoders()
-    for batch in (whole.slice(start, 2000) for whole in batches for start in range(0, whole.num_rows, 2000)):
+    for batch in few_rows(batches):
         texts = [t or "" for t in batch["text"].to_pylist()]
         for a, b in in_slices(texts):
             hashes, bounds = shingle_hashes([t.encode() for t in texts[a:b]])
@@ -273,20 +273,18 @@ def _forest(batches: Iterator[pa.RecordBatch], at_least: float) -> Iterator[pa.R
 def _verified(batches: Iterator[pa.RecordBatch], at_least: float) -> Iterator[pa.RecordBatch]:
     """Pairs with both texts, sorted by the first: those whose overlap reaches the limit."""
     last, last_hashes = None, None
-    for whole in batches:
-        for start in range(0, whole.num_rows, 1000):
-            batch = whole.slice(start, 1000)
-            keep = []
-            texts = batch["text_b"].to_pylist()
-            firsts = batch["text_a"].to_pylist()
-            for a, b in in_slices(texts):
-                hashes, bounds = shingle_hashes([t.encode() for t in texts[a:b]])
-                for k in range(a, b):
-                    if firsts[k] != last:
-                        last = firsts[k]
-                        last_hashes, _ = shingle_hashes([last.encode()])
-                    keep.append(overlap(last_hashes, hashes[bounds[k - a] : bounds[k - a + 1]]) >= at_least)
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
+    for batch in few_rows(batches):
+        keep = []
+        texts = batch["text_b"].to_pylist()
+        firsts = batch["text_a"].to_pylist()
+        for a, b in in_slices(texts):
+            hashes, bounds = shingle_hashes([t.encode() for t in texts[a:b]])
+            for k in range(a, b):
+                if firsts[k] != last:
+                    last = firsts[k]
+                    last_hashes, _ = shingle_hashes([last.encode()])
+                keep.append(overlap(last_hashes, hashes[bounds[k - a] : bounds[k - a + 1]]) >= at_least)
+        yield batch.select(["a", "b"]).filter(pa.array(keep))
 
 
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", at_least: float = AT_LEAST) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aspectra.llm.common import exclusive_prefix, join_summary, partitions_for, stored
-from aspectra.llm.tokenizing import encoder_for, in_slices
+from aspectra.llm.tokenizing import encoder_for, few_rows, in_slices
 from aspectra.session import ship_code
 
 LENGTH = 2048
@@ -176,7 +176,7 @@ def pack_documents(
                     offset += len(ids)
                 number += 1
 
-        for batch in batches:
+        for batch in few_rows(batches):
             texts, doc_ids = [t or "" for t in batch["text"].to_pylist()], batch["id"].to_pylist()
             for a, b in in_slices(texts):
                 for doc_id, raw in zip(doc_ids[a:b], encoder.encode(texts[a:b]), strict=True):

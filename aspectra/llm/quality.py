@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aspectra.llm.hashing import join_texts, mix, word_hashes, word_spans
-from aspectra.llm.tokenizing import forget_encoders, in_slices
+from aspectra.llm.tokenizing import few_rows, forget_encoders, in_slices
 from aspectra.session import ship_code
 
 BITS = 16
@@ -207,7 +207,7 @@ def judge_quality(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_co
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget_encoders()
         fitted = QualityModel.from_bytes(model) if model else None
-        for batch in batches:
+        for batch in few_rows(batches):
             texts = [t or "" for t in batch["text"].to_pylist()]
             for a, b in in_slices(texts):
                 found = np.array([counts(t) for t in texts[a:b]], np.int64).reshape(-1, 5)
@@ -228,7 +228,7 @@ def keep_quality(docs: DataFrame, model: bytes, text_col: str = "text") -> DataF
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget_encoders()
         fitted = QualityModel.from_bytes(model) if model else None
-        for batch in batches:
+        for batch in few_rows(batches):
             texts = [t or "" for t in batch[text_col].to_pylist()]
             good = []
             for a, b in in_slices(texts):

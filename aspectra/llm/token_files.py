@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aspectra.llm.common import exclusive_prefix, partitions_for, stored
-from aspectra.llm.tokenizing import encoder_for, forget_encoders, in_slices
+from aspectra.llm.tokenizing import encoder_for, few_rows, forget_encoders, in_slices
 from aspectra.session import ship_code
 
 MAGIC = b"TKZ1"
@@ -124,7 +124,7 @@ def write_token_files(
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, press = encoder_for(*encoder_args), compressor(dictionary)
         tail = struct.pack("<I", end_id)
-        for batch in batches:
+        for batch in few_rows(batches):
             texts = [t or "" for t in batch["text"].to_pylist()]
             for a, b in in_slices(texts):
                 ids = [x + tail for x in encoder.encode(texts[a:b])]

@@ -23,6 +23,7 @@ import string
 from collections.abc import Iterable
 
 import numpy as np
+import pyarrow as pa
 
 CACHE_MOST, CACHE_KEPT, LONGEST_CACHED = 1_000_000, 700_000, 256
 _RUN = re.compile(r"\s\s")
@@ -56,7 +57,7 @@ _SPACE = _LETTERS[0x20]
 class _Cache(dict):
     """Ids by piece; a missing piece is noted and gets an empty place, which is filled later."""
 
-    def __init__(self, known: dict[str, bytes]):
+    def __init__(self, known: dict[str, bytes] | Iterable[tuple[str, bytes]]):
         super().__init__(known)
         self.missing: list[str] = []
 
@@ -185,7 +186,7 @@ class PieceEncoder:
                 del cache[piece]
         missing.clear()
         if len(cache) > CACHE_MOST:
-            self.cache = _Cache(dict(itertools.islice(cache.items(), CACHE_KEPT)))
+            self.cache = _Cache(itertools.islice(cache.items(), CACHE_KEPT))
         return out
 
 
@@ -209,6 +210,13 @@ def forget_encoders() -> None:
             trim(0)
 
 
+def few_rows(batches: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterable[pa.RecordBatch]:
+    """The batches in pieces of so many rows, so that only their texts are objects at a time."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def in_slices(texts: list[str], most_chars: int = 1 << 20) -> Iterable[tuple[int, int]]:
     """Ranges of neighbours with about so many characters together."""
     start = size = 0

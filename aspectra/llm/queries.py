@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from aspectra.llm.chat_format import formatted_digest
 from aspectra.llm.embedding_dedup import dedup_vectors
+from aspectra.llm.filter_audit import audit_filters
 from aspectra.llm.licenses import scan_licenses
 from aspectra.llm.lm_score import score_documents
 from aspectra.llm.mixing import mix_sources
@@ -77,6 +78,11 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return audit_filters(docs, table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_near_dedup": op1_near_dedup,
@@ -89,4 +95,5 @@ def queries() -> dict[str, Query]:
         "op8_packing": op8_packing,
         "op9_licenses": op9_licenses,
         "op10_embedding_dedup": op10_embedding_dedup,
+        "op13_filter_audit": op13_filter_audit,
     }

@@ -17,6 +17,7 @@ from aspectra.llm.near_dedup import near_duplicate_classes
 from aspectra.llm.packing import pack_documents, packed_digest
 from aspectra.llm.quality import judge_quality, train_quality
 from aspectra.llm.sharding import assign_shards, shuffle_records
+from aspectra.llm.spelling import spelling_variants
 from aspectra.llm.token_files import read_token_files, write_token_files
 from aspectra.session import table
 
@@ -78,6 +79,10 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents").select("doc_id", "text"), drop_every=97)
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return audit_filters(docs, table(spark, sf_dir, "labels"))
@@ -95,5 +100,6 @@ def queries() -> dict[str, Query]:
         "op8_packing": op8_packing,
         "op9_licenses": op9_licenses,
         "op10_embedding_dedup": op10_embedding_dedup,
+        "op11_spelling_variants": op11_spelling_variants,
         "op13_filter_audit": op13_filter_audit,
     }

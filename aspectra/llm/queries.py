@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from aspectra.llm.chat_format import formatted_digest
 from aspectra.llm.embedding_dedup import dedup_vectors
 from aspectra.llm.filter_audit import audit_filters
+from aspectra.llm.language_id import identify_languages, train_languages
 from aspectra.llm.licenses import scan_licenses
 from aspectra.llm.lm_score import score_documents
 from aspectra.llm.mixing import mix_sources
@@ -83,6 +84,13 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(table(spark, sf_dir, "documents").select("doc_id", "text"), drop_every=97)
 
 
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4 == 2
+    models = train_languages(docs.select("doc_id", "text", "lang"), ~held_out)
+    return identify_languages(docs.select("doc_id", "text"), models).withColumn("held_out", held_out)
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return audit_filters(docs, table(spark, sf_dir, "labels"))
@@ -101,5 +109,6 @@ def queries() -> dict[str, Query]:
         "op9_licenses": op9_licenses,
         "op10_embedding_dedup": op10_embedding_dedup,
         "op11_spelling_variants": op11_spelling_variants,
+        "op12_language_id": op12_language_id,
         "op13_filter_audit": op13_filter_audit,
     }

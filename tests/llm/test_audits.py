@@ -2,7 +2,9 @@
 
 import collections
 import itertools
+import math
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -11,6 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from aspectra.llm import filter_audit as A
+from aspectra.llm import language_id as I
 from aspectra.llm import queries as Q
 from aspectra.llm import spelling as S
 from tests.llm.brute import LOWER, words
@@ -157,3 +160,113 @@ def test_audit_of_odd_rows(spark, monkeypatch):
     assert A.audit_filters(df.limit(0), marks).count() == 0
     named = df.selectExpr("lpad(cast(doc_id as string), 9, '0') as doc_id", "lang", "text")
     assert audit_dict(A.audit_filters(named, marks.selectExpr("lpad(cast(doc_id as string), 9, '0') as doc_id", "quality", "toxic"))) == want
+
+
+def plain_read(text):
+    """Characters as the language models read them, behind the boundaries."""
+    out = ""
+    for c in text:
+        kind = unicodedata.category(c)[0]
+        small = c.lower() if kind == "L" and len(c.lower()) == 1 else c
+        out += small if kind in "LM" else "" if out[-1:] in ("", " ") else " "
+    return "\x02" * 4 + out
+
+
+def plain_models(texts):
+    """Probability of a character after a context, by one language's interpolated Kneser-Ney model of given texts."""
+    counts = {5: collections.Counter(r[i - 4 : i + 1] for r in map(plain_read, texts) for i in range(4, len(r)))}
+    for k in range(4, 0, -1):
+        counts[k] = collections.Counter(g[1:] for g in counts[k + 1])
+
+    def probability(gram, uniform):
+        if not gram:
+            return uniform
+        k = len(gram)
+        n1, n2 = (sum(c == j for c in counts[k].values()) for j in (1, 2))
+        d = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+        lower = probability(gram[1:], uniform)
+        after = {g: c for g, c in counts[k].items() if g[:-1] == gram[:-1]}
+        if not after:
+            return lower
+        total = sum(after.values())
+        left = 1 - sum(max(c - d, 0) / total for c in after.values())
+        return max(after.get(gram, 0) - d, 0) / total + left * lower
+
+    return counts[1], probability
+
+
+TEACH = {"aa": ["abra cadabra", "Ab ra!! Äb", "a", "barbara"], "bb": ["xyz zyx, xyzzy", "zz Top", "日本 xy"]}
+
+
+@pytest.fixture(scope="module")
+def taught(spark):
+    """Models of two tiny languages."""
+    rows = [(t, lang, False) for lang, texts in TEACH.items() for t in texts]
+    counts = I.gram_counts(spark.createDataFrame(rows, "text string, lang string, held boolean"))
+    return I.LanguageModels.from_bytes(I.build_models(counts.select("lang", "gram", "n"), ["aa", "bb"]).to_bytes())
+
+
+def test_models_are_kneser_ney(taught, monkeypatch):
+    plain = [plain_models(TEACH[x]) for x in ("aa", "bb")]
+    uniform = 1 / (len(plain[0][0].keys() | plain[1][0].keys()) + 1)
+    texts = ["abra", "Zyx  -- abä", "", "?", "new words", "x" * 30, "barbara cadabra xyzzy"]
+    want = []
+    for text in texts:
+        r = plain_read(text)
+        want.append([-sum(math.log(p(r[i - 4 : i + 1], uniform)) for i in range(4, len(r))) / max(len(r) - 4, 1) for _, p in plain])
+    for block in (1 << 18, 7, 3):
+        monkeypatch.setattr(I, "BLOCK", block)
+        got, n, lettered = taught.cross_entropy(texts)
+        assert np.allclose(got, want, atol=1e-5) and n.tolist() == [len(plain_read(t)) - 4 for t in texts]
+        assert lettered.tolist() == [any(c.isalpha() for c in t) for t in texts]
+
+
+def test_probabilities_sum_to_one_when_grams_are_left_out(spark):
+    rows = [(t, lang, False) for lang, texts in TEACH.items() for t in texts]
+    counts = I.gram_counts(spark.createDataFrame(rows, "text string, lang string, held boolean")).select("lang", "gram", "n")
+    models = I.build_models(counts, ["aa", "bb"], model_rows=60)
+    assert all(len(k) <= 12 for k in models.grams) and models.grams[4].size
+    seen = sorted({c for g in (r["gram"] for r in counts.collect()) for c in g[-1]})
+    alphabet = [*seen, *(["?"] * max(0, round(math.exp(-models.uniform)) - len(seen)))]
+    for context in ("abra", "\x02\x02\x02\x02", "qqqq", "xyz "):
+        chars = [np.array([ord(x) for x in context + c], np.uint64) for c in alphabet]
+        hashes = [np.array([I.gram_hashes(x)[k][-1] for x in chars]) for k in range(6)]
+        before = [np.array([I.gram_hashes(x)[k][-2] for x in chars]) for k in range(6)]
+        assert np.allclose(np.exp(models.log_probs(hashes, before)).sum(axis=0), 1, atol=1e-4)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(st.sampled_from("aÄbß İ,.\n\x02\x00é́日𝒜"), max_size=12), max_size=6))
+def test_characters(texts):
+    chars, begins, lettered = I.characters(texts)
+    assert ["".join(map(chr, chars[a:b].tolist())) for a, b in itertools.pairwise(begins)] == [plain_read(t) for t in texts]
+    assert lettered.tolist() == [any(c.isalpha() for c in t) for t in texts]
+
+
+def test_language_query(spark, small):
+    rows = {r["doc_id"]: r for r in Q.op12_language_id(spark, small).collect()}
+    docs = spark.read.parquet(f"{small}/documents.parquet").collect()
+    assert len(rows) == len(docs)
+    held = [d for d in docs if zlib.crc32(str(d["doc_id"]).encode()) % 4 == 2]
+    assert {d["doc_id"] for d in held} == {k for k, r in rows.items() if r["held_out"]}
+    right = [rows[d["doc_id"]]["lang_pred"] == d["lang"] for d in held]
+    assert sum(right) >= 0.95 * len(right)
+    assert all(0 <= r["score"] <= 1 and r["lang_pred"] in {"en", "de", "fr", "es"} for r in rows.values())
+
+
+def test_languages_of_odd_rows(spark):
+    texts = ["the cat and the dog", "der Hund und die Katze", "the thing that they think", "das Ding und der Dorn"]
+    rows = [(str(i), texts[i % 4], ("en", "de")[i % 2]) for i in range(400)] + [(None, None, "en"), ("x", "", None), ("x", "12 !?", "de"), ("y", "the " * 200_000, None), (None, "Ж日本Ж" * 50, None)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, lang string").selectExpr("*", "1 as held", "2 as gram", "3 as n")
+    models = I.train_languages(docs)
+    got = collections.defaultdict(list)
+    for r in I.identify_languages(docs, models).collect():
+        got[r["doc_id"]].append(r)
+    assert sum(map(len, got.values())) == len(rows) and all(got[str(i)][0]["lang_pred"] == ("en", "de")[i % 2] for i in range(400))
+    assert [r["lang_pred"] for r in got["x"]] == ["und", "und"] and not any(r["accepted"] or r["score"] for r in got["x"])
+    assert got["y"][0]["lang_pred"] == "en"
+    assert not [r for r in got[None] if r["lang_pred"] != "und"][0]["accepted"]  # unlike anything learnt
+    assert {r["lang_pred"] for r in I.identify_languages(docs, I.train_languages(docs.where("lang is null"))).collect()} == {"und"}
+    assert I.identify_languages(docs.limit(0), I.train_languages(docs.limit(0))).count() == 0
+    one = I.identify_languages(docs, I.train_languages(docs.where("lang = 'en'"))).collect()
+    assert {r["lang_pred"] for r in one} == {"en", "und"}

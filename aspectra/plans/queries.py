@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +12,7 @@ from aspectra.functions.vectors import cosine_distance
 from aspectra.operators import catalog, chunking, dedup, integrity, media, reviews, search, sessions
 from aspectra.plans import providers
 from aspectra.plans.constants import KEYWORDS, UNIT_PATTERNS
-from aspectra.session import ship_code, table
+from aspectra.session import scratch_folder, ship_code, table, with_conf
 from aspectra.sources import html as H
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -717,12 +716,7 @@ def incremental_tag_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Comments as a stream, tagged into an idempotent table by role, run twice from the start."""
     from aspectra.streaming.incremental import append_batches
 
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        folder = tempfile.mkdtemp(prefix="aspectra-stream-")
-    base = f"{folder.rstrip('/')}/tags-{spark.sql('select uuid()').first()[0]}"
+    base = scratch_folder(spark, "tags")
     source = f"{sf_dir}/conversations.parquet"
     rows = spark.read.parquet(source)
 
@@ -735,3 +729,28 @@ def incremental_tag_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         append_batches(stream, f"{base}/table", ["conv_id", "turn", "role"], "turn", f"{base}/{run}", tagged, by="role")
     made = spark.read.schema("conv_id long, turn long, aspects map<string,int>, role string").parquet(f"{base}/table")
     return made.select("conv_id", "turn", "role", F.explode(F.map_keys("aspects")).alias("aspect"))
+
+
+@query(
+    """
+    WITH s AS (SELECT *, CAST(coalesce(date_diff('microsecond', lag(ts) OVER w, ts) >= 1800000000, true) AS INT) AS started FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    t AS (SELECT *, sum(started) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS thread FROM s)
+    SELECT user_id, min_by(event_id, (ts, event_id)) AS first_event, epoch_us(min(ts)) AS started, epoch_us(max(ts)) AS ended, count(*) AS n
+    FROM t WHERE user_id IS NOT NULL GROUP BY user_id, thread
+    """
+)
+def expired_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a stream; a thread comes out when its time to live is over. A row without a user, later than all, moves the clock on."""
+    from aspectra.streaming.threads import STATE_STORE, closed_threads
+
+    base, names = scratch_folder(spark, "threads"), ["event_id", "user_id", "ts"]
+    events = table(spark, sf_dir, "events").select(*names)
+    events.agg((F.max("ts") + F.expr("interval 1 day")).alias("ts")).selectExpr("cast(null as long) as event_id", "cast(null as long) as user_id", "ts").write.parquet(f"{base}/clock")
+    stream = lambda path: spark.readStream.schema(events.schema).option("pathGlobFilter", "*.parquet").parquet(path)
+    both = stream(f"{sf_dir}/events*.parquet").unionByName(stream(f"{base}/clock"))
+    threads = closed_threads(both, "user_id", "ts", "event_id")
+    with with_conf(spark, **{STATE_STORE[0].replace(".", "__"): STATE_STORE[1]}):
+        write = threads.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint")
+        write.trigger(availableNow=True).start().awaitTermination()
+    made = spark.read.schema(threads.schema).parquet(f"{base}/out")
+    return made.select(F.col("user").alias("user_id"), F.col("first").alias("first_event"), F.unix_micros("started").alias("started"), F.unix_micros("ended").alias("ended"), "n")

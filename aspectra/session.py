@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,3 +51,30 @@ def ship_code(spark: SparkSession) -> None:
             out.write(source, source.relative_to(ROOT))
     context.addPyFile(str(target))
     context._aspectra_shipped = True
+
+
+def scratch_folder(spark: SparkSession, label: str) -> str:
+    """A new folder's path below spark.checkpoint.dir, which driver and executors share; a temporary one on a single machine."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="aspectra-shared-")
+    return f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def with_conf(spark: SparkSession, **settings: str) -> Iterator[None]:
+    """Settings of the session for a while; names take __ for dots."""
+    names = {k.replace("__", "."): v for k, v in settings.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)

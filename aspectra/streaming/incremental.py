@@ -17,20 +17,24 @@ def append_batches(
     The batch's rows meet the stored keys in an anti-join, so that a batch that
     runs again, or a stream begun afresh, leaves the table as it was. `by` names
     one of the keys by whose values the table is partitioned, a date say: a batch
-    then meets only the partitions that its own rows fall in.
+    then meets only the partitions that its own rows fall in, by a join that prunes
+    them as it runs. A batch is transformed once and kept while it is written.
     """
     from aspectra.operators.dedup import keep_first_per_key
 
     def sink(batch: DataFrame, _: int) -> None:
-        made = keep_first_per_key(transform(batch), keys, order)
-        stored = batch.sparkSession.read.schema(made.schema).parquet(target).select(*keys)
-        if by:
-            values = [r[0] for r in made.select(by).distinct().collect()]
-            stored = stored.where(F.col(by).isin(*[v for v in values if v is not None]) | F.col(by).isNull())
-        same = [F.col(f"n.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys]
-        fresh = made.alias("n").join(stored.alias("s"), same, "left_anti")
-        write = fresh.write.partitionBy(by) if by else fresh.write
-        write.mode("append").parquet(target)
+        made = keep_first_per_key(transform(batch), keys, order).persist()
+        try:
+            stored = batch.sparkSession.read.schema(made.schema).parquet(target).select(*keys)
+            if by:
+                met = made.select(by).where(F.col(by).isNotNull()).distinct()
+                stored = stored.join(met, by, "left_semi").select(*keys).unionByName(stored.where(F.col(by).isNull()))
+            same = [F.col(f"n.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys]
+            fresh = made.alias("n").join(stored.alias("s"), same, "left_anti")
+            write = fresh.write.partitionBy(by) if by else fresh.write
+            write.mode("append").parquet(target)
+        finally:
+            made.unpersist()
 
     query = source.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()

@@ -3,13 +3,15 @@
 Every document has a hash-random key. The keys' leading digits cut each source
 into key ranges; sums by range give distributed prefix sums, and the one range
 in which a source's budget ends is cut again by the next digits while it holds
-many rows. Only the last, small one is sorted row by row. A source's budget of
+many rows, or at once by the first digits in which its rows differ. Only the
+last, small one is sorted row by row. A source's budget of
 several times its size is met by whole epochs and one partial epoch.
 
 Cases: a null text has size 0 and takes nothing; the null source is a source of
 its own, last in order; repeated rows are mixed as separate documents; rows of
-one id and text have one key and go by their other columns, and where these are
-equal too any of them is taken first; an empty table gives no rows; sources
+one id and text go by a hash of their other columns, and where these are equal
+too by their place in the input, so that any number of copies is dealt to many
+tasks; an empty table gives no rows; sources
 without words get target 0; texts of any length count whole; other columns pass
 through untouched under any name, but for those named like the results, which
 the results replace.
@@ -24,8 +26,8 @@ from pyspark.sql import functions as F
 
 from aspectra.llm.common import SMALL_ROWS, WORD, by_name, by_place, quoted, stored
 
-#: Digits that cut a range into 4,096, how many a key has, and the rows of a range that one task sorts.
-STEP, KEY_DIGITS, SORTED_ROWS = 3, 32, 1 << 16
+#: Digits that cut a range into 4,096, where a key's digits of id and text, of other columns and of the place end, and the rows of a range that one task sorts.
+STEP, KEY_DIGITS, SORTED_ROWS = 3, (32, 48, 64), 1 << 16
 RESULTS = ("size", "source_size", "target", "taken")
 #: The cuts, a row per source, are broadcast only while their names stay below this size in all.
 SMALL_NAMES = 4 << 20
@@ -74,21 +76,26 @@ def mix_sources(
     seed: str = "mix",
 ) -> DataFrame:
     """The documents with size, source_size, target and taken (words the mix takes)."""
+    ties = [quoted(f.name) for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    digits_of = lambda x: F.lpad(F.hex(x), 16, "0")
     keyed = docs.select(
         *by_place(docs),
         word_count(text_col).alias("size"),
         quoted(source_col).cast("string").alias("_source"),
-        hash_key(id_col, text_col, seed).alias("_key"),
+        hash_key(id_col, text_col, seed).alias("_id_text"),
+        F.xxhash64(*ties).alias("_rest_of_row"),
+        F.xxhash64(F.monotonically_increasing_id()).alias("_place"),
     )
+    keyed = keyed.withColumn("_key", F.concat("_id_text", digits_of(F.col("_rest_of_row")), digits_of(F.col("_place"))))
     ranges = _ranges(keyed, STEP)
     sizes = ranges.groupBy("_source").agg(F.sum("_n").alias("source_size"))
     targets = source_targets(sizes, weights, max_epochs)
     targets = targets.withColumn("_epochs", F.coalesce(F.expr("try_divide(round(target), source_size)"), F.lit(0)).cast("long"))
     targets = targets.withColumn("_rest", F.round("target").cast("long") - F.col("_epochs") * F.col("source_size"))
     digits, cut = STEP, stored(_narrowed(ranges, targets), "cuts")
-    while (held := _held_in(cut)).widest > SORTED_ROWS and digits < KEY_DIGITS:
+    while (held := _held_in(cut)).widest > SORTED_ROWS and digits < KEY_DIGITS[-1]:
         inside = _met(keyed, cut, held).where(F.substring("_key", 1, digits) == F.col("_cut"))
-        digits = min(digits + STEP, KEY_DIGITS)
+        digits = min(max(digits, held.alike) + STEP, KEY_DIGITS[-1])
         cut = stored(_narrowed(_ranges(inside, digits), cut), "cuts")
 
     ready = _met(keyed.withColumn("_range", F.substring("_key", 1, digits)), cut, held)
@@ -97,8 +104,7 @@ def mix_sources(
     sure = ready.where("_range <> _cut").select(
         *names, "size", "source_size", "target", (whole + F.when(F.col("_range") < F.col("_cut"), F.col("size")).otherwise(F.lit(0))).cast("long").alias("taken")
     )
-    ties = [f"c{i}" for i, f in enumerate(docs.schema.fields) if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
-    order = Window.partitionBy("_source").orderBy("_key", quoted(f"c{docs.columns.index(id_col)}"), F.xxhash64(*ties)).rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("_source").orderBy("_key").rowsBetween(Window.unboundedPreceding, -1)
     passed = F.coalesce(F.sum("size").over(order), F.lit(0))
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("_rest") - passed))
     cut_range = ready.where("_range = _cut").withColumn("_part", part)
@@ -107,15 +113,16 @@ def mix_sources(
 
 
 class _Held(NamedTuple):
-    """What a table of cuts holds: sources, bytes of their names, rows of the widest range."""
+    """What a table of cuts holds: sources, bytes of their names, rows of the widest range, and digits that are alike in all ranges still wide."""
 
     sources: int
     names: int
     widest: int
+    alike: int
 
 
 def _held_in(cut: DataFrame) -> _Held:
-    row = cut.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("_of")), F.lit(0)), F.coalesce(F.max("_rows"), F.lit(0))).first()
+    row = cut.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("_of")), F.lit(0)), F.coalesce(F.max("_rows"), F.lit(0)), F.coalesce(F.min(F.when(F.col("_rows") > SORTED_ROWS, F.col("_alike"))), F.lit(0))).first()
     return _Held(*row)
 
 
@@ -126,8 +133,13 @@ def _met(keyed: DataFrame, cut: DataFrame, held: _Held) -> DataFrame:
 
 
 def _ranges(rows: DataFrame, digits: int) -> DataFrame:
-    """Words and rows by source and leading digits of the key."""
-    return rows.groupBy("_source", F.substring("_key", 1, digits).alias("_range")).agg(F.sum("size").alias("_n"), F.count("*").alias("_rows"))
+    """Words and rows by source and leading digits of the key, and how many digits are known to be alike: those of one id and text, or of one whole row."""
+    one_text = F.xxhash64("_id_text")
+    found = rows.groupBy("_source", F.substring("_key", 1, digits).alias("_range")).agg(
+        F.sum("size").alias("_n"), F.count("*").alias("_rows"), F.min(one_text).alias("_t0"), F.max(one_text).alias("_t1"), F.min("_rest_of_row").alias("_r0"), F.max("_rest_of_row").alias("_r1")
+    )
+    alike = F.when(F.col("_t0") != F.col("_t1"), 0).when(F.col("_r0") != F.col("_r1"), KEY_DIGITS[0]).otherwise(KEY_DIGITS[1])
+    return found.select("_source", "_range", "_n", "_rows", alike.alias("_alike"))
 
 
 def _narrowed(ranges: DataFrame, targets: DataFrame) -> DataFrame:
@@ -138,9 +150,9 @@ def _narrowed(ranges: DataFrame, targets: DataFrame) -> DataFrame:
         targets = targets.withColumnRenamed("_source", "_of")
     kept = ["source_size", "target", "_epochs", "_rest"]
     held = before.join(targets.select("_of", *kept), F.col("_source").eqNullSafe(F.col("_of"))).where("_before <= _rest")
-    last = held.groupBy("_source").agg(F.max(F.struct("_range", "_before", "_rows")).alias("_last"), *[F.first(c).alias(c) for c in kept])
+    last = held.groupBy("_source").agg(F.max(F.struct("_range", "_before", "_rows", "_alike")).alias("_last"), *[F.first(c).alias(c) for c in kept])
     return last.select(
-        F.col("_source").alias("_of"), "source_size", "target", "_epochs", F.col("_last._range").alias("_cut"), (F.col("_rest") - F.col("_last._before")).alias("_rest"), F.col("_last._rows").alias("_rows")
+        F.col("_source").alias("_of"), "source_size", "target", "_epochs", F.col("_last._range").alias("_cut"), (F.col("_rest") - F.col("_last._before")).alias("_rest"), F.col("_last._rows").alias("_rows"), F.col("_last._alike").alias("_alike")
     )
 
 

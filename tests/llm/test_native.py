@@ -1,5 +1,6 @@
 import hashlib
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -120,6 +121,24 @@ def test_cuts_go_as_deep_as_needed(spark, monkeypatch):
     assert sorted(map(key, M.mix_sources(df.orderBy(F.desc("row"))).collect())) == want
 
 
+@pytest.mark.parametrize("rest", ["1", "id"])
+def test_copies_of_one_row_are_dealt_to_many_tasks(spark, monkeypatch, rest):
+    """100,000 rows of one id and text, alike in all columns or not, need at most two rounds to a range that one task sorts."""
+    held = []
+
+    def seen(cut, given=M._held_in):
+        held.append(given(cut))
+        return held[-1]
+
+    monkeypatch.setattr(M, "_held_in", seen)
+    hot = spark.range(100_000).select(F.lit(5).alias("doc_id"), F.lit("three words here").alias("text"), F.lit("hot").alias("source"), F.expr(rest).cast("long").alias("more"))
+    cold = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"), F.lit("cold").alias("source"), F.lit(0).cast("long").alias("more"))
+    mixed = M.mix_sources(hot.unionByName(cold))
+    sums = {r["source"]: (r["taken"], r["target"], r["rows"]) for r in mixed.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.count("*").alias("rows")).collect()}
+    assert len(held) <= 3 and held[-1].widest <= M.SORTED_ROWS < held[0].widest
+    assert sums["hot"][2] == 100_000 and all(abs(taken - target) <= 1 for taken, target, _ in sums.values())
+
+
 def test_repeats(spark):
     df = spark.createDataFrame([(1, "a b", "s"), (2, None, "s")], "doc_id long, text string, source string")
     mixed = M.mix_sources(df).withColumn("taken", F.when(F.col("doc_id") == 1, 5).otherwise(0))

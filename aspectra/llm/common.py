@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from aspectra.session import with_conf
+
 #: A summary of fixed-width columns is broadcast up to so many rows (a few megabytes).
 SMALL_ROWS = 200_000
 WORD = r"[^\x20\x09-\x0D]+"
@@ -28,17 +30,27 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def stored(df: DataFrame, label: str, **options: str) -> DataFrame:
-    """Write a frame once to the shared folder and read it back.
+#: Rows that go to Python at a time in steps that are written: texts are long, and batches are bounded by rows alone.
+ARROW_ROWS = "1000"
+
+
+def stored(df: DataFrame, label: str, path: str | None = None, **options: str) -> DataFrame:
+    """Write a frame once to the shared folder, or to a path, and read it back.
 
     Lineage ends here: lost executors cost a re-read, not a recomputation.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
+    path = path or f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    with with_conf(spark, spark__sql__execution__arrow__maxRecordsPerBatch=ARROW_ROWS):
+        df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kind_of(df: DataFrame, name: str) -> str:
+    """The type of a column, for schemas that keep it."""
+    return df.schema[name].dataType.simpleString()
+
+
 def partitions_for(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -31,10 +31,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aspectra.llm.common import connected_components, partitions_for, stored
+from aspectra.llm.common import connected_components, kind_of, partitions_for, stored
 from aspectra.session import ship_code
 
 TABLES, PROBES, BLOCK, AT_LEAST = 10, 4, 512, 0.93
@@ -167,17 +168,19 @@ def _verify(batches: Iterator[pa.RecordBatch], at_least: float, tables: int) ->
 
     current = None
     for batch in batches:
-        keys = np.stack([batch[c].to_numpy() for c in KEY], 1)
-        edges = [0, *(np.flatnonzero(np.diff(keys, axis=0).any(1)) + 1).tolist(), len(keys)]
+        keys, label = np.stack([batch[c].to_numpy() for c in KEY[1:]], 1), batch["label"]
+        other = pc.not_equal(label.slice(1), label.slice(0, max(len(keys) - 1, 0))).to_numpy(zero_copy_only=False)
+        edges = [0, *(np.flatnonzero(np.diff(keys, axis=0).any(1) | other) + 1).tolist(), len(keys)]
         for s, e in zip(edges[:-1], edges[1:], strict=True):
             if s == e:
                 continue
-            if current is not None and (keys[s] != current).any():
+            key = (label[s].as_py(), *keys[s].tolist())
+            if current is not None and key != current:
                 meet(held)
                 held = []
                 if len(links) > KEPT:
                     yield out()
-            current = keys[s]
+            current = key
             held.append(batch.slice(s, e - s))
     if held:
         meet(held)
@@ -195,11 +198,11 @@ def link_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     finite = F.forall(doubles, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
     nonzero = F.exists(doubles, lambda v: v != 0)
     usable = F.coalesce(finite & nonzero & (F.size(doubles) > 0), F.lit(False)) & F.col(f"`{label_col}`").isNotNull()
-    all_rows = rows.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{label_col}`").cast("long").alias("label"), F.when(usable, F.transform(doubles, lambda v: v + F.lit(0.0))).alias("v"))
+    all_rows = rows.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("string").alias("label"), F.when(usable, F.transform(doubles, lambda v: v + F.lit(0.0))).alias("v"))
     whole = all_rows.withColumn("key", F.when(F.col("v").isNotNull(), F.sha2(F.concat_ws(",", F.col("label").cast("string"), F.transform("v", lambda v: v.cast("string"))), 256)))
     nodes = whole.where("key is not null").groupBy("key").agg(F.min("id").alias("smallest"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("v").alias("v"))
     nodes = nodes.withColumn("node", F.monotonically_increasing_id()).select("node", "key", "smallest", "copies", "label", "v")
-    kinds = "node long, key string, smallest long, copies long, label long, v array<double>, d int, codes array<long>"
+    kinds = f"node long, key string, smallest {kind_of(rows, id_col)}, copies long, label string, v array<double>, d int, codes array<long>"
     nodes = stored(nodes.mapInArrow(lambda b: _codes(b, tables, probes, seed), kinds), "vectors")
     each = nodes.select("node", "label", "d", (F.size("codes") / F.lit(tables)).cast("int").alias("of"), F.posexplode("codes").alias("place", "bucket"))
     coded = each.select("node", "label", "d", "bucket", (F.col("place") % F.col("of") == 0).alias("home"))

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from aspectra.llm.common import kind_of
+from aspectra.llm.tokenizing import few_rows
 from aspectra.session import ship_code
 
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -205,8 +207,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         scanner = Scanner()
         kinds = {"string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(), "long": pa.int64()}
         types = [kinds[f.split()[1]] for f in SCHEMA.split(", ")]
-        for batch in batches:
+        for batch in few_rows(batches):
             rows = list(zip(*[scanner.scan(t) for t in batch["text"].to_pylist()], strict=True)) or [()] * (len(names) - 1)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], *[pa.array(r, t) for r, t in zip(rows, types[1:], strict=True)]], names=names)
 
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(scan, SCHEMA)
+    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(scan, SCHEMA.replace("doc_id long", f"doc_id {kind_of(docs, id_col)}", 1))

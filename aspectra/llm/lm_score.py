@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aspectra.llm.common import partitions_for, stored
+from aspectra.llm.common import kind_of, partitions_for, stored
 from aspectra.llm.gru import WINDOW, GruModel, Trainer, from_bytes, to_bytes
 from aspectra.session import ship_code
 
@@ -226,7 +226,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     spark = docs.sparkSession
     ship_code(spark)
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"), held_out(id_col).alias("held"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), held_out(id_col).alias("held"))
     training = rows.where(~F.col("held")).select("id", "text")
     counts, lexicon = learn_counts(training)
     context = spark.sparkContext
@@ -259,7 +259,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 names=["id", "held", "row", "n_tokens", "known", "base", "score", "rare"],
             )
 
-    schema = "id long, held boolean, row long, n_tokens long, known long, base double, score double, rare array<string>"
+    schema = f"id {kind_of(docs, id_col)}, held boolean, row long, n_tokens long, known long, base double, score double, rare array<string>"
     scored = stored(rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(score, schema), "scored")
     rare = scored.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count("*").alias("n"))
     met = rare.join(counts.select("word", "c"), "word", "left")

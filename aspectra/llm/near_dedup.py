@@ -17,7 +17,9 @@ the band's largest component then meet all others of the band, block against
 block: signatures rule out most of these pairs, and the texts of what is left
 are brought to the block, verified there, and given out as a forest of verified
 links. So no rows are made for pairs, neither inside a component nor across; a
-task gives at most one row for each text it holds. A link between different
+task gives at most one row for each text it holds. Rows dealt to blocks are two
+for each text of a small band; in a large one they are one for each BLOCK pairs
+that have to be compared, and as many again on the other side. A link between different
 components is lost by chance only: at a similarity of just 0.8 the bands miss it
 with 2.9e-6 and the signatures rule it out with 5.0e-7, together 3.4e-6 at most;
 at 0.82 2.5e-7 and 3.9e-9.
@@ -38,14 +40,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aspectra.llm.common import by_name, by_place, connected_components, partitions_for, quoted, stored
+from aspectra.llm.common import by_name, by_place, connected_components, kind_of, partitions_for, quoted, stored
 from aspectra.llm.hashing import join_texts, mix, word_hashes, word_spans
 from aspectra.llm.tokenizing import few_rows, forget_encoders, in_slices
 from aspectra.session import ship_code
 
 SHINGLE, REGISTERS, ROWS, BANDS, AT_LEAST = 5, 256, 6, 42, 0.8
 #: A block of texts that meets another one holds so many texts, and shingles, on average at most.
-BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
+BLOCK, BLOCK_SHINGLES = 4096, 1 << 20
 #: Agreement of signatures below which a similarity of 0.8 is ruled out: 5.2 standard deviations of 256 registers.
 RULED_OUT = 0.67
 TICKS = float(1 << 32)
@@ -297,9 +299,9 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, at_least: float) -> Da
     spark = docs.sparkSession
     ship_code(spark)
     n = partitions_for(spark)
-    source = docs.select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).alias("text"))
+    source = docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).alias("text"))
     source = source.withColumn("key", F.unhex(F.md5("text")))
-    digest = stored(source.select("doc_id", "key", "text").mapInArrow(_digest, "doc_id long, key binary, shingles long, bands array<long>, marks binary"), "shingled")
+    digest = stored(source.select("doc_id", "key", "text").mapInArrow(_digest, f"doc_id {kind_of(docs, id_col)}, key binary, shingles long, bands array<long>, marks binary"), "shingled")
     nodes = (
         digest.where("shingles > 0")
         .groupBy("key")
@@ -330,14 +332,31 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, at_least: float) -> Da
         both = both.join(found.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
         return both.select("a", "b", "text_a", "text_b").mapInArrow(lambda b: _verified(b, at_least), "a long, b long")
 
-    def across(parts: DataFrame) -> DataFrame:
-        """Verified links between components, from bands that hold several: a forest of each block task."""
-        placed = members.select("band", "node", "shingles").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    def placed_in(parts: DataFrame) -> DataFrame:
+        """Members of bands with their components."""
+        return members.select("band", "node", "shingles").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+    def mixed_bands(placed: DataFrame) -> DataFrame:
+        """Bands that hold several components: the largest, and numbers of blocks of the texts outside it and of all."""
         held = placed.groupBy("band", "component").agg(F.count("*").alias("n"), F.sum("shingles").alias("s"))
         mixed = held.groupBy("band").agg(F.max(F.struct("n", "s", "component")).alias("main"), F.sum("n").alias("n"), F.sum("s").alias("s")).where("main.n < n")
         blocks = lambda n, s: F.ceil(F.greatest(n / F.lit(BLOCK), s / F.lit(BLOCK_SHINGLES))).cast("int")
-        strays = blocks(F.col("n") - F.col("main.n"), F.col("s") - F.col("main.s"))
-        sized = mixed.select("band", F.col("main.component").alias("main"), strays.alias("lefts"), blocks(F.col("n"), F.col("s")).alias("rights"))
+        outside = F.col("n") - F.col("main.n")
+        return mixed.select("band", F.col("main.component").alias("main"), blocks(outside, F.col("s") - F.col("main.s")).alias("lefts"), blocks(F.col("n"), F.col("s")).alias("rights"))
+
+    def merged(parts: DataFrame, links: DataFrame) -> DataFrame:
+        """Components after more links between them."""
+        of = lambda x: parts.select(F.col("node").alias(x), F.col("component").alias(f"part_{x}"))
+        ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("part_a", "a").alias("a"), F.coalesce("part_b", "b").alias("b"))
+        joined = connected_components(ends).select(F.col("node").alias("component"), F.col("component").alias("joined"))
+        alone = joined.select(F.col("component").alias("node")).join(parts, "node", "left_anti").withColumn("component", F.col("node"))
+        every = parts.select("node", "component").unionByName(alone)
+        return stored(every.join(joined, "component", "left").select("node", F.coalesce("joined", "component").alias("component")), "parts")
+
+    def across(parts: DataFrame) -> DataFrame:
+        """Verified links between components, from bands that hold several: a forest of each block task."""
+        placed = placed_in(parts)
+        sized = mixed_bands(placed)
         rest = placed.select("band", "node", "component").join(sized, "band").withColumn("stray", F.col("component") != F.col("main"))
         block = lambda of: F.pmod(F.xxhash64("node"), F.col(of)).cast("int")
         other = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
@@ -356,14 +375,9 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, at_least: float) -> Da
 
     first = members.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
     parts = connected_components(stored(verified(stored(likely(first), "pairs")), "links"))
-    more = stored(across(parts), "links")
-    of = lambda x: parts.select(F.col("node").alias(x), F.col("component").alias(f"part_{x}"))
-    joined = more.join(of("a"), "a", "left").join(of("b"), "b", "left")
-    joined = connected_components(joined.select(F.coalesce("part_a", "a").alias("a"), F.coalesce("part_b", "b").alias("b")))
-    joined = joined.select(F.col("node").alias("component"), F.col("component").alias("joined"))
+    parts = merged(parts, stored(across(parts), "links"))
 
     classed = nodes.select("key", "node", "smallest", "copies").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    classed = classed.join(joined, "component", "left").withColumn("component", F.coalesce("joined", "component"))
     least = F.min(F.struct(F.col("smallest").isNull().alias("none"), "smallest", "key")).alias("least")
     summary = classed.groupBy("component").agg(F.min("smallest").alias("class_id"), F.sum("copies").alias("class_size"), least)
     of_key = classed.join(summary, "component").select("key", "class_id", "class_size", (F.col("key") == F.col("least.key")).alias("chosen"))
@@ -387,7 +401,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     kept = stored(rows.groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(F.count("*").alias("_n")), "kept")
     placed = docs.select(*by_place(docs))
     id_, text = (f"c{docs.columns.index(c)}" for c in (id_col, text_col))
-    same = F.col(id_).cast("long").eqNullSafe(F.col("_id")) & F.unhex(F.md5(text)).eqNullSafe(F.col("_key"))
+    same = F.col(id_).eqNullSafe(F.col("_id")) & F.unhex(F.md5(text)).eqNullSafe(F.col("_key"))
     out = placed.join(kept.hint("shuffle_hash"), same, "left_semi")
     if kept.where("_n > 1").limit(1).count():
         out = out.dropDuplicates([id_, text])

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aspectra.llm.common import exclusive_prefix, join_summary, partitions_for, stored
+from aspectra.llm.common import exclusive_prefix, join_summary, kind_of, partitions_for, stored
 from aspectra.llm.tokenizing import encoder_for, few_rows, in_slices
 from aspectra.session import ship_code
 
@@ -144,25 +144,25 @@ class Packer:
 
 
 def pack_documents(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "word_bpe_49k.json", end_id: int = 1, length: int = LENGTH, special_as_text: bool = False
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "word_bpe_49k.json", end_id: int = 1, length: int = LENGTH, special_as_text: bool = False, path: str | None = None
 ) -> DataFrame:
     """Written pieces: doc_id, start, doc_tokens, ids (little-endian unsigned 32-bit), sequence_id, offset.
 
-    Strings of the vocabulary's special tokens in a text get those tokens' ids, or with special_as_text the ids of ordinary text.
+    `path` names the folder they are written to. Strings of the vocabulary's special tokens in a text get those tokens' ids, or with special_as_text the ids of ordinary text.
     """
     spark = docs.sparkSession
     ship_code(spark)
-    schema = "part long, sequence long, doc_id long, start long, doc_tokens long, offset long, ids binary"
+    schema = f"part long, sequence long, doc_id {kind_of(docs, id_col)}, start long, doc_tokens long, offset long, ids binary"
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
         encoder = encoder_for(vocabulary, True, special_as_text)
         marks = np.unique([x[-1] for x in (encoder._ids(m) for m in SENTENCE_MARKS) if len(x) == 1])
-        packer, tail, rows = Packer(marks, length), struct.pack("<I", end_id), []
+        packer, tail, rows, id_kind = Packer(marks, length), struct.pack("<I", end_id), [], [pa.null()]
 
         def out() -> pa.RecordBatch:
             columns = list(zip(*rows, strict=True))
-            kinds = [pa.int64()] * 6 + [pa.binary()]
+            kinds = [pa.int64()] * 2 + [id_kind[0]] + [pa.int64()] * 3 + [pa.binary()]
             batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["part", "sequence", "doc_id", "start", "doc_tokens", "offset", "ids"])
             rows.clear()
             return batch
@@ -178,6 +178,7 @@ def pack_documents(
 
         for batch in few_rows(batches):
             texts, doc_ids = [t or "" for t in batch["text"].to_pylist()], batch["id"].to_pylist()
+            id_kind[0] = batch["id"].type
             for a, b in in_slices(texts):
                 for doc_id, raw in zip(doc_ids[a:b], encoder.encode(texts[a:b]), strict=True):
                     keep(packer.add(doc_id, np.frombuffer(raw + tail, "<u4")))
@@ -187,9 +188,9 @@ def pack_documents(
         if rows:
             yield out()
 
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"), F.monotonically_increasing_id().alias("row"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.monotonically_increasing_id().alias("row"))
     ordered = rows.repartitionByRange(partitions_for(spark), "id", "row").sortWithinPartitions("id", "row").select("id", "text")
-    pieces = stored(ordered.mapInArrow(pack, schema), "packed", compression="zstd")
+    pieces = stored(ordered.mapInArrow(pack, schema), "packed", path, compression="zstd")
     counts = pieces.groupBy("part").agg((F.max("sequence") + 1).alias("n"))
     starts = exclusive_prefix(counts, "part", "n", "before").select("part", "before")
     return join_summary(pieces, starts, "part", partitions_for(spark)).select("doc_id", "start", "doc_tokens", (F.col("before") + F.col("sequence")).alias("sequence_id"), "offset", "ids")

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from aspectra.llm.common import kind_of
 from aspectra.llm.hashing import join_texts, mix, word_hashes, word_spans
 from aspectra.llm.tokenizing import few_rows, forget_encoders, in_slices
 from aspectra.session import ship_code
@@ -218,7 +219,7 @@ def judge_quality(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_co
                     names=[f.split()[0] for f in SCHEMA.split(", ")],
                 )
 
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(judge, SCHEMA)
+    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(judge, SCHEMA.replace("doc_id long", f"doc_id {kind_of(docs, id_col)}", 1))
 
 
 def keep_quality(docs: DataFrame, model: bytes, text_col: str = "text") -> DataFrame:

@@ -54,7 +54,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return read_token_files(*write_token_files(docs))
+    return read_token_files(spark, write_token_files(docs))
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

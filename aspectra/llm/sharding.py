@@ -68,8 +68,8 @@ def _bucket_shuffler(seed: int):
     return run
 
 
-def shuffle_records(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 7, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """Records in buckets, written: all columns by place (c0, c1, ...), _bucket, and _pos, the place in the shuffled bucket."""
+def shuffle_records(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 7, bucket_bytes: int = BUCKET_BYTES, path: str | None = None) -> DataFrame:
+    """Records in buckets, written (to the folder `path`, if given): all columns by place (c0, c1, ...), _bucket, and _pos, the place in the shuffled bucket."""
     spark = docs.sparkSession
     ship_code(spark)
     size = F.coalesce(F.octet_length(quoted(text_col)), F.lit(0)) + F.lit(8)
@@ -81,7 +81,7 @@ def shuffle_records(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     n = partitions_for(spark)
     dealt = marked.repartitionById(n, (F.col("_bucket") % n).cast("int")).sortWithinPartitions("_bucket", "_mark")
     fields = [f for f in marked.schema.fields if f.name != "_mark"] + [T.StructField("_pos", T.LongType())]
-    return stored(dealt.mapInArrow(_bucket_shuffler(seed), T.StructType(fields)), "shards")
+    return stored(dealt.mapInArrow(_bucket_shuffler(seed), T.StructType(fields)), "shards", path)
 
 
 def assign_shards(written: DataFrame, shards: int = 24) -> DataFrame:
@@ -100,7 +100,7 @@ def assign_shards(written: DataFrame, shards: int = 24) -> DataFrame:
     return out.drop("_bucket", "_pos", "_start", "_at")
 
 
-def shard_records(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", seed: int = 7, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def shard_records(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", seed: int = 7, bucket_bytes: int = BUCKET_BYTES, path: str | None = None) -> DataFrame:
     """All columns of docs, read back from the written buckets, and shard (int) and slot (long)."""
-    placed = assign_shards(shuffle_records(docs, id_col, text_col, seed, bucket_bytes), shards)
+    placed = assign_shards(shuffle_records(docs, id_col, text_col, seed, bucket_bytes, path), shards)
     return placed.select(*by_name(docs.columns, ("shard", "slot")), "shard", "slot")

@@ -9,9 +9,11 @@ their own, compressed with it. A file holds a run of documents in id order:
     magic "TKZ1" | sha256 of the dictionary | id width | documents | offsets, doc ids, counts, starts | frames
 
 so that one short document is read by its offset without the rest. Files are
-rows of a written table (part, file, content), which commits whole or not at all.
+rows of a written table (part, file, content), which commits whole or not at all;
+beside it a table holds the dictionary under its hash, so that the folder alone
+is enough to read it.
 
-Cases: a null text is empty and has the end id alone; null ids come first;
+Cases: a null text is empty and has the end id alone; ids are whole numbers, others raise TypeError; null ids come first;
 repeated rows keep their places side by side; an empty table gives no rows; too
 small a sample trains no dictionary, and frames are then compressed without one;
 strings of the vocabulary's special tokens in a text get those tokens' ids, or
@@ -22,17 +24,17 @@ from __future__ import annotations
 
 import hashlib
 import struct
-import zlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aspectra.llm.common import exclusive_prefix, partitions_for, stored
+from aspectra.llm.common import exclusive_prefix, kind_of, partitions_for, shared_folder, stored
 from aspectra.llm.tokenizing import encoder_for, few_rows, forget_encoders, in_slices
 from aspectra.session import ship_code
 
@@ -112,10 +114,13 @@ class TokenFile:
 
 
 def write_token_files(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "byte_bpe_50k.json", end_id: int = 0, special_as_text: bool = False
-) -> tuple[DataFrame, bytes]:
-    """(files, dictionary): files has part, file and content, in ascending order of id_col."""
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "byte_bpe_50k.json", end_id: int = 0, special_as_text: bool = False, path: str | None = None
+) -> str:
+    """The folder (a new shared one, without `path`) with `files` (part, file, content, in ascending order of id_col) and `dictionary`."""
     spark = docs.sparkSession
+    if kind_of(docs, id_col) not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"token files number documents: {id_col} is {kind_of(docs, id_col)}, no whole number")
+    path = path or f"{shared_folder(spark)}/token-files-{uuid.uuid4().hex}"
     ship_code(spark)
     encoder_args, width = (vocabulary, False, special_as_text), width_for(vocabulary, end_id)
     dictionary = train_dictionary(docs, text_col, id_col, encoder_args, end_id, width)
@@ -160,12 +165,16 @@ def write_token_files(
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"), F.monotonically_increasing_id().alias("row"))
     frames = stored(rows.mapInArrow(encode, "id long, row long, n long, frame binary"), "frames", compression="none")
     ordered = frames.repartitionByRange(partitions_for(spark), "id", "row").sortWithinPartitions("id", "row")
-    files = stored(ordered.mapInArrow(build, "part long, file long, ids long, content binary"), "token-files", compression="none")
-    return files, dictionary
+    stored(ordered.mapInArrow(build, "part long, file long, ids long, content binary"), "files", f"{path}/files", compression="none")
+    stored(spark.createDataFrame([(digest, dictionary)], "digest binary, dictionary binary"), "dictionary", f"{path}/dictionary")
+    return path
 
 
-def read_token_files(files: DataFrame, dictionary: bytes) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of every document, decompressed from the files."""
+def read_token_files(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of every document, decompressed from the files of a folder."""
+    ship_code(spark)
+    (dictionary,) = (bytes(r["dictionary"]) for r in spark.read.parquet(f"{path}/dictionary").collect())
+    files = spark.read.parquet(f"{path}/files")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -3,6 +3,8 @@ import hashlib
 import math
 import re
 import struct
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -17,6 +19,7 @@ from aspectra.llm import queries as Q
 from aspectra.llm.gru import GruModel, Trainer
 from aspectra.llm.hashing import join_texts, word_hashes, word_spans
 from aspectra.llm.lm_score import score_documents
+from aspectra.llm.near_dedup import drop_near_duplicates, near_duplicate_classes
 from aspectra.llm.packing import Packer, best_cuts, pack_documents, packed_digest
 from aspectra.llm.sharding import fisher_yates, shard_records
 from aspectra.llm.token_files import TokenFile, read_token_files, write_token_files
@@ -75,8 +78,7 @@ def test_width_follows_the_vocabulary(spark, monkeypatch):
 
     assert F_.width_for("byte_bpe_50k.json", 0) == 2 and F_.width_for("byte_bpe_50k.json", 70000) == 4
     df = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
-    files, dictionary = write_token_files(df, end_id=70000)
-    found = {r["doc_id"]: r["ids_crc32"] for r in read_token_files(files, dictionary).collect()}
+    found = {r["doc_id"]: r["ids_crc32"] for r in read_token_files(spark, write_token_files(df, end_id=70000)).collect()}
     assert found[2] == zlib.crc32(np.array([70000], "<u4").tobytes())
 
 
@@ -92,8 +94,8 @@ def test_dictionary_sample_is_of_distinct_ids(spark):
 
 def test_token_files(spark):
     df = documents(spark, ODD * 8, part=1, ids="'x'")
-    files, dictionary = write_token_files(df)
-    found = read_token_files(files, dictionary).collect()
+    path = write_token_files(df)
+    found = read_token_files(spark, path).collect()
     want, start = [], 0
     rows = sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=lambda r: (r[0] is not None, r[0] or 0))
     for doc_id, text in rows:
@@ -101,11 +103,46 @@ def test_token_files(spark):
         want.append((doc_id, start, len(ids), zlib.crc32(ids.tobytes())))
         start += len(ids)
     assert sorted(map(tuple, found), key=lambda r: r[1]) == want
-    one = files.first()["content"]
+    one = spark.read.parquet(f"{path}/files").first()["content"]
     with pytest.raises(ValueError):
         TokenFile(one, b"another")
-    empty, none = write_token_files(df.limit(0))
-    assert read_token_files(empty, none).count() == 0
+    assert read_token_files(spark, write_token_files(df.limit(0))).count() == 0
+
+
+def test_token_files_are_read_by_their_folder_in_a_fresh_session(spark, tmp_path):
+    """Nothing but the folder is left of the session that wrote it."""
+    df = spark.createDataFrame([(i, f"words {i} and some more of them " * 9) for i in range(60)], "doc_id int, text string")
+    assert write_token_files(df, path=str(tmp_path / "tokens")) == str(tmp_path / "tokens")
+    want = sorted(map(tuple, read_token_files(spark, str(tmp_path / "tokens")).collect()))
+    assert spark.read.parquet(str(tmp_path / "tokens/dictionary")).first()["dictionary"]
+    code = (
+        "import sys; from aspectra.session import local_session; from aspectra.llm.token_files import read_token_files;"
+        "s = local_session(2, 2); print(sorted(map(tuple, read_token_files(s, sys.argv[1]).collect())))"
+    )
+    done = subprocess.run([sys.executable, "-c", code, str(tmp_path / "tokens")], capture_output=True, text=True, timeout=120, cwd=tmp_path)
+    assert done.returncode == 0, done.stderr
+    assert done.stdout.strip().splitlines()[-1] == str(want)
+
+
+def test_ids_of_any_type(spark, small):
+    """Text ids stay what they are; files that number documents say so."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    named = docs.withColumn("doc_id", F.concat(F.lit("d"), F.lpad(F.col("doc_id").cast("string"), 9, "0")))
+    labels = spark.read.parquet(f"{small}/labels.parquet").withColumn("doc_id", F.concat(F.lit("d"), F.lpad(F.col("doc_id").cast("string"), 9, "0")))
+    number = lambda x: int(x[1:]) if isinstance(x, str) else x
+    rows = lambda df, *c: sorted([tuple(number(r[k]) if k in ("doc_id", "class_id") else r[k] for k in c) for r in df.collect()], key=repr)
+    assert rows(L.scan_licenses(named), "doc_id", "n_words", "labels") == rows(L.scan_licenses(docs), "doc_id", "n_words", "labels")
+    judged = Y.judge_quality(named, Y.train_quality(named, labels))
+    assert rows(judged, "doc_id", "n_words") == rows(Y.judge_quality(docs, b""), "doc_id", "n_words")
+    packed = rows(packed_digest(pack_documents(named)), "doc_id", "start", "length")
+    assert packed == rows(packed_digest(pack_documents(docs)), "doc_id", "start", "length")
+    classes = rows(near_duplicate_classes(named), "doc_id", "class_id", "class_size", "kept")
+    assert classes == rows(near_duplicate_classes(docs), "doc_id", "class_id", "class_size", "kept")
+    assert rows(drop_near_duplicates(named), "doc_id") == rows(drop_near_duplicates(docs), "doc_id")
+    scored = score_documents(named.limit(30))
+    assert scored.schema["doc_id"].dataType.simpleString() == "string" and scored.count() == 30
+    with pytest.raises(TypeError, match="whole number"):
+        write_token_files(named)
 
 
 def exhaustive(places, penalties, length, fixed):

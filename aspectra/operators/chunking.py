@@ -83,3 +83,13 @@ def recursive_chunks(docs: DataFrame, key: str, text: str, encode: Callable[[str
 
     collapsed: Column = F.trim(F.regexp_replace(F.col(text), r"(?U)\s+", " "))
     return docs.select(key, chunked(collapsed).alias("_chunks")).select(key, F.posexplode("_chunks").alias("chunk_index", "chunk_text"))
+
+
+def with_token_counts(chunks: DataFrame, text: str, encode: Callable[[str], list], out: str = "n_tokens") -> DataFrame:
+    """Chunks with their numbers of model tokens."""
+
+    @F.pandas_udf("int")
+    def count(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: len(encode(t)))
+
+    return chunks.withColumn(out, count(F.col(text)))

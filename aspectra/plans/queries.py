@@ -422,6 +422,36 @@ def comment_chunks_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.recursive_chunks(table(spark, sf_dir, "conversations").select("conv_id", "text"), "conv_id", "text")
 
 
+def chunk_facts(docs: DataFrame, chunks: DataFrame, key: str, text: str) -> DataFrame:
+    """By document: gapless numbers, words of its text that stand in no chunk, and the largest chunk by the column n_tokens."""
+    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(F.replace(c, F.lit("_"), F.lit(" "))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
+    have = chunks.groupBy(key).agg(F.count("*").alias("n_chunks"), F.max("chunk_index").alias("last"), F.count_distinct("chunk_index").alias("numbers"), F.max("n_tokens").alias("most"), F.array_distinct(F.flatten(F.collect_list(words(F.col("chunk_text"))))).alias("found"))
+    facts = docs.select(key, words(F.col(text)).alias("wanted")).join(have, key)
+    missing = F.size(F.filter(F.array_except("wanted", "found"), lambda w: F.length(w) < 60))
+    return facts.select(key, ((F.col("numbers") == F.col("n_chunks")) & (F.col("last") == F.col("n_chunks") - 1)).alias("gapless"), missing.alias("missing_words"), "most")
+
+
+@query(
+    """
+    SELECT conv_id, turn, true AS gapless, 0 AS missing_words, true AS within_limit FROM conversations WHERE regexp_matches(text, '[^\s]')
+    """
+)
+def comment_chunks_segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Comments cut by a public vocabulary's tokens, compounds learnt from them joined: invariants of every comment's chunks."""
+    import public_tokenizers
+
+    from aspectra.operators.segment import Lexicon, learn_compounds, viterbi_segmenter
+
+    ship_code(spark)
+    comments = table(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("comment"), "text").where("text is not null")
+    segment = viterbi_segmenter(Lexicon.of(learn_compounds(comments, "text")))
+    encode, decode = providers.vocabulary_codec(public_tokenizers.path("word_bpe_49k.json"))
+    chunks = chunking.recursive_chunks(comments, "comment", "text", encode, decode, segment)
+    counted = chunking.with_token_counts(chunks, "chunk_text", encode)
+    facts = chunk_facts(comments, counted, "comment", "text")
+    return facts.select("comment.*", "gapless", "missing_words", (F.col("most") <= 254).alias("within_limit"))
+
+
 @query()
 def comment_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks encoded by the offline encoder; how far each is from its comment's first."""

@@ -53,16 +53,19 @@ def sequential_ids(df: DataFrame, order: str | list[str], out: str, slices: int
 
     A bounded sample, the rows of smallest hash, gives cuts; counts by slice give
     each slice its first number, and rows are numbered within slices, of which
-    there are as many as shuffle partitions. Any cuts give the same numbers.
+    there are as many as shuffle partitions. Cuts go through rows of equal order
+    by their hash, and through rows alike in all columns by their place in the
+    input, so that a key of many rows has many slices. Any cuts give the same numbers.
     """
     order = [order] if isinstance(order, str) else order
     slices = slices or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    key = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order)])
-    mark = F.xxhash64(*[f"`{c}`" for c in df.columns])
-    sample = df.select(key.alias("k"), mark.alias("m")).orderBy("m").limit(min(slices * SAMPLED, MOST_SAMPLED)).select("k.*").distinct()
+    placed = df.withColumns({"_mark": F.xxhash64(*[f"`{c}`" for c in df.columns]), "_place": F.xxhash64(F.monotonically_increasing_id())})
+    by = [*order, "_mark", "_place"]
+    key = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(by)])
+    sample = placed.select(key.alias("k")).orderBy(f"k.k{len(order) + 1}").limit(min(slices * SAMPLED, MOST_SAMPLED)).select("k.*").distinct()
     held = sample.orderBy(*sample.columns).collect()
     cuts = [held[i] for i in sorted({len(held) * k // slices for k in range(1, slices)}) if i < len(held)]
-    kinds = [df.schema[c].dataType for c in order]
+    kinds = [placed.schema[c].dataType for c in by]
     at_least = [key >= F.struct(*[F.lit(v).cast(t).alias(f"k{i}") for i, (v, t) in enumerate(zip(c, kinds, strict=True))]) for c in cuts]
 
     def place(low: int, high: int) -> Column:
@@ -72,11 +75,11 @@ def sequential_ids(df: DataFrame, order: str | list[str], out: str, slices: int
         middle = (low + high) // 2
         return F.when(at_least[middle], place(middle + 1, high)).otherwise(place(low, middle))
 
-    cut = df.withColumn("_slice", place(0, len(cuts)))
+    cut = placed.withColumn("_slice", place(0, len(cuts)))
     counts = cut.groupBy("_slice").agg(F.count("*").alias("_n"))
     earlier = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("_slice", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
-    number = F.row_number().over(Window.partitionBy("_slice").orderBy(*order, mark))
+    number = F.row_number().over(Window.partitionBy("_slice").orderBy(*by))
     return cut.join(F.broadcast(starts), "_slice").withColumn(out, (F.col("_start") + number).cast("long")).select(*[f"`{c}`" for c in df.columns if c != out], out)
 
 

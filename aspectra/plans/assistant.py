@@ -6,6 +6,8 @@ import logging
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 
 from aspectra.operators import search
@@ -14,11 +16,11 @@ from aspectra.plans.providers import Encoder, query_vector
 
 
 def first_that_works(wanted: Callable[[], DataFrame], fallback: Callable[[], DataFrame]) -> DataFrame:
-    """The rows of a short list, which is run here; where making or running it fails, the fallback's plan. The error is logged."""
+    """The rows of a short list, which is run here; where the engine fails to make or run it, the fallback's plan. The error is logged."""
     try:
         found = wanted()
         return found.sparkSession.createDataFrame(found.collect(), found.schema)
-    except Exception:  # noqa: BLE001  whatever fails in an encoder or a task
+    except (PySparkException, Py4JError):
         logging.getLogger(__name__).exception("falling back")
         return fallback()
 
@@ -49,11 +51,11 @@ class Assistant:
         return search.all_specs(own, {a: c for a, (_, c) in ASPECTS.items()}).orderBy("place")
 
     def get_comments(self, product: int, aspect: str, query: str, top: int = TOP_K) -> DataFrame:
-        """Nearest comments; any of the aspect's where none has a vector, or where encoder or vector search fails."""
+        """Nearest comments; any of the aspect's where none has a vector, or where the vector search fails. An encoder's error is raised."""
         table = search.check_aspect(aspect)
+        vector = query_vector(query, self.encoder, self.hypothetical)
 
         def nearest() -> DataFrame:
-            vector = query_vector(query, self.encoder, self.hypothetical)
             return search.nearest_comments(self.embeddings, self.dims[aspect], product, aspect, vector, top)
 
         def any_of_them() -> DataFrame:

@@ -28,11 +28,19 @@ def exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
+def finished(spark: SparkSession, path: str) -> bool:
+    """Whether a step's output is there whole: a file, or a folder that its job committed. What a job left that died is not."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return system.exists(where) and (not system.getFileStatus(where).isDirectory() or system.exists(jvm.org.apache.hadoop.fs.Path(where, "_SUCCESS")))
+
+
 def run_steps(spark: SparkSession, steps: list[Step]) -> list[str]:
     """Names of the steps that ran."""
     ran = []
     for step in steps:
-        if step.always or not exists(spark, step.output):
+        if step.always or not finished(spark, step.output):
             step.run()
             ran.append(step.name)
     return ran

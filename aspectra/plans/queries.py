@@ -210,6 +210,36 @@ def purchase_advice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("product_id", "price", F.round("share", 6).alias("share"))
 
 
+_CRITERIA = {a: CORPUS_KEYWORDS[a] for a in ("battery", "display", "storage")}
+_SQL_CRITERIA = " + ".join(f"CAST(regexp_matches(text, '{_sql_boundary(w)}') AS INT)" for w in _CRITERIA.values())
+
+
+@query(
+    f"""
+    WITH tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS w FROM documents),
+    cnt AS (SELECT w, count(*) FILTER (quality = 1) AS p, count(*) FILTER (quality = 0) AS q FROM tok JOIN labels USING (doc_id) WHERE quality IN (0, 1) GROUP BY w),
+    tot AS (SELECT sum(p) AS p, sum(q) AS q, count(*) AS v FROM cnt),
+    weight AS (SELECT w, ln((cnt.p + 1) / (tot.p + v)) - ln((cnt.q + 1) / (tot.q + v)) AS x FROM cnt, tot),
+    prior AS (SELECT ln(count(*) FILTER (quality = 1)) - ln(count(*) FILTER (quality = 0)) AS x FROM labels JOIN documents USING (doc_id) WHERE text IS NOT NULL),
+    score AS (SELECT doc_id, round(coalesce(sum(weight.x), 0) + any_value(prior.x), 6) AS s FROM prior, tok LEFT JOIN weight USING (w) GROUP BY doc_id),
+    c AS (SELECT p_size AS product_id, max(p_retailprice) AS price FROM part GROUP BY p_size HAVING max(p_retailprice) <= 1900 ORDER BY price DESC, product_id LIMIT 5),
+    m AS (SELECT CAST(doc_id % 50 + 1 AS INT) AS product_id, doc_id, {_SQL_CRITERIA} AS k FROM documents),
+    a AS (SELECT product_id, CAST(sum(CASE WHEN s > 0 THEN k ELSE 0 END) AS DOUBLE) / sum(k) AS share, count(*) AS n_comments, max_by(doc_id, (s, -doc_id)) AS evidence FROM m JOIN score USING (doc_id) WHERE k > 0 GROUP BY product_id)
+    SELECT product_id, price, round(share, 6) AS share, coalesce(n_comments, 0) AS n_comments, evidence FROM c LEFT JOIN a USING (product_id) ORDER BY a.share DESC NULLS LAST, price DESC, product_id LIMIT 3
+    """
+)
+def purchase_advice_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents stand for comments on products (parts by size); a model learnt from their labels tells which are positive."""
+    from aspectra.operators.sentiment import Sentiment, advise
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    sentiment = Sentiment.learn(docs.join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id"), "text", "quality")
+    products = table(spark, sf_dir, "part").groupBy(F.col("p_size").cast("int").alias("product_id")).agg(F.max("p_retailprice").alias("price"))
+    comments = docs.select((F.col("doc_id") % 50 + 1).cast("int").alias("product_id"), F.col("doc_id").alias("comment_id"), "text")
+    found = advise(products, comments, sentiment, _CRITERIA, 1900)
+    return found.select("product_id", "price", F.round("share", 6).alias("share"), "n_comments", "evidence")
+
+
 # Dedup and keys
 
 _SQL_HASH = "md5(lower(p_brand) || ' | ' || lower(p_type) || ' | ' || p_size)"
@@ -433,7 +463,7 @@ def chunk_facts(docs: DataFrame, chunks: DataFrame, key: str, text: str) -> Data
 
 @query(
     """
-    SELECT conv_id, turn, true AS gapless, 0 AS missing_words, true AS within_limit FROM conversations WHERE regexp_matches(text, '[^\s]')
+    SELECT conv_id, turn, true AS gapless, 0 AS missing_words, true AS within_limit FROM conversations WHERE regexp_matches(text, '[^[:space:]]')
     """
 )
 def comment_chunks_segmented(spark: SparkSession, sf_dir: str) -> DataFrame:

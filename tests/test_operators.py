@@ -263,3 +263,17 @@ def test_comments_meet_their_products(spark):
     tagged = reviews.with_product(reviews.tag(comments, "comment_text"), videos)
     rolled = reviews.roll_up(tagged, "product_id", "comment_id", "comment_text").collect()
     assert [(r["product_id"], r["aspect"], r["total"], r["comments"]) for r in rolled] == [(5, "camera", 2, ["good camera", "camera"])]
+
+
+@pytest.mark.parametrize("alike", [False, True])
+def test_a_key_of_many_rows_has_many_slices(spark, monkeypatch, alike):
+    """300,000 rows of one order value, or alike in all columns, are numbered by more than one task."""
+    from aspectra.operators import dedup
+
+    df = spark.range(300_000).select(F.lit(7).alias("o"), (F.lit(0) if alike else F.col("id")).alias("x"))
+    numbered = dedup.sequential_ids(df, "o", "n", slices=8)
+    assert numbered.agg(F.min("n"), F.max("n"), F.count_distinct("n")).first() == (1, 300_000, 300_000)
+    plan = numbered._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("CASE WHEN") >= 1  # there are cuts
+    sizes = numbered.withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()
+    assert len(sizes) >= 3 and max(r["count"] for r in sizes) <= 200_000

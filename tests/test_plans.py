@@ -85,6 +85,15 @@ def test_steps(spark, tmp_path):
     assert pipeline.run_steps(spark, steps) == ["load"]
 
 
+def test_a_half_written_step_runs_again(spark, tmp_path):
+    out, ran = str(tmp_path / "out"), []
+    step = pipeline.Step("tables", out, lambda: (ran.append(1), spark.range(3).write.mode("overwrite").parquet(out)))
+    spark.range(9).write.parquet(out)
+    (tmp_path / "out" / "_SUCCESS").unlink()  # as a job that died before its commit leaves it
+    assert pipeline.run_steps(spark, [step]) == ["tables"] and pipeline.run_steps(spark, [step]) == []
+    assert spark.read.parquet(out).count() == 3 and len(ran) == 1
+
+
 def test_key_pool_and_ingest():
     pool = providers.KeyPool(["a", "b", "a"])
     assert {pool.take(), pool.take()} == {"a", "b"}
@@ -127,8 +136,11 @@ def test_assistant(spark):
         raise ConnectionError("no encoder")
 
     made.encoder = broken
-    assert {r["chunk_text"] for r in made.get_comments(1, "camera", "good photo").collect()} == {"good photo", "bad lens"}
+    with pytest.raises(ConnectionError):  # an encoder's error is the caller's; what the search itself fails in is not
+        made.get_comments(1, "camera", "good photo")
     made.encoder = encoder
+    made.embeddings = vectors.withColumn("embedding", F.expr("cast(raise_error('no vectors') as array<float>)"))
+    assert {r["chunk_text"] for r in made.get_comments(1, "camera", "good photo").select("chunk_text").collect()} == {"good photo", "bad lens"}
     with pytest.raises(ValueError):
         made.ask("  ", [])
     assert made.ask("?", [("list_products", (15,))])[0].count() == 1
@@ -156,6 +168,24 @@ def test_stream_into_partitions(spark, tmp_path):
     assert sorted(map(tuple, spark.read.schema(df.schema).parquet(str(tmp_path / "out")).collect())) == rows
 
 
+def test_a_batch_is_transformed_once(spark, tmp_path):
+    from aspectra.streaming.incremental import append_batches
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(day):
+        seen.add(1)
+        return day
+
+    df = spark.createDataFrame([(i, f"d{i % 3}") for i in range(30)], "k long, day string")
+    df.write.parquet(str(tmp_path / "in"))
+    df.limit(0).write.partitionBy("day").parquet(str(tmp_path / "out"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    append_batches(stream, str(tmp_path / "out"), ["k", "day"], "k", str(tmp_path / "state"), lambda b: b.withColumn("day", counted("day")), by="day")
+    assert seen.value == 30 and spark.read.parquet(str(tmp_path / "out")).count() == 30
+
+
 def test_windowed_stream(spark, small, tmp_path):
     from aspectra.streaming.incremental import windowed_counts
 

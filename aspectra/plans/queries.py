@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from aspectra.functions import text as X
@@ -146,6 +146,41 @@ def product_search_trigram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("product_id", "product_name", F.round("similarity", 6).alias("similarity"))
 
 
+@query(
+    f"""
+    WITH t AS (SELECT p_partkey AS k, p_name, {_TRIGRAMS.format("p_name")} AS g FROM part),
+    s AS (SELECT q.k AS query_id, t.k AS product_id, len(list_intersect(q.g, t.g)) / len(list_distinct(list_concat(q.g, t.g))) AS s FROM t AS q JOIN t ON true WHERE q.k % 20 = 0)
+    SELECT query_id, product_id, round(s, 6) AS similarity, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, product_id) AS INT) AS rank
+    FROM s WHERE s > 0.3 QUALIFY rank <= 5
+    """
+)
+def product_search_trigram_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of every twentieth part, sought in the whole catalogue at once."""
+    from aspectra.operators.trigram_index import search_trigrams
+
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("product_id"), "p_name")
+    asked = parts.where("product_id % 20 = 0").select(F.col("product_id").alias("query_id"), F.col("p_name").alias("asked"))
+    found = search_trigrams(parts, asked, "product_id", "p_name", "query_id", "asked", 0.3)
+    return found.select("query_id", "product_id", F.round("similarity", 6).alias("similarity"), F.col("rank").cast("int"))
+
+
+@query(
+    """
+    WITH s AS (SELECT e.label, q.vec_id AS query_id, e.vec_id, 1 - list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS d FROM embeddings q JOIN embeddings e ON e.label = q.label WHERE q.vec_id % 20 = 0)
+    SELECT label, query_id, vec_id, round(d, 6) AS distance, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(d, 6), vec_id) AS INT) AS rank FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) <= 5
+    """
+)
+def vector_topk_in_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest of a label to each of its vectors whose id is divisible by 20."""
+    from aspectra.operators.vector_blocks import nearest_in_blocks
+
+    vectors = table(spark, sf_dir, "embeddings")
+    asked = vectors.where("vec_id % 20 = 0").select("label", F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    found = nearest_in_blocks(vectors, asked, "label", "embedding", "query_id", "q", "vec_id", 5)
+    by = Window.partitionBy("query_id").orderBy("distance", "vec_id")
+    return found.withColumn("distance", F.round("distance", 6)).select("label", "query_id", "vec_id", "distance", F.row_number().over(by).cast("int").alias("rank"))
+
+
 @query("SELECT p_partkey AS product_id, p_name AS product_name FROM part WHERE p_name ILIKE '%WIDGET%' ORDER BY p_name, p_partkey LIMIT 5")
 def product_search_ilike(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search_ilike(_parts(spark, sf_dir), "WIDGET").select("product_id", "product_name")

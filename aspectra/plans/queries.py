@@ -517,6 +517,28 @@ def comment_chunks_segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.select("comment.*", "gapless", "missing_words", (F.col("most") <= 254).alias("within_limit"))
 
 
+@query(
+    """
+    WITH w AS (SELECT conv_id, turn, list_filter(string_split_regex(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS words FROM conversations)
+    SELECT conv_id, turn, CAST(unnest(range(0, greatest(0, CAST(ceil((len(words) - 40) / 35.0) AS INT)) + 1)) AS INT) AS chunk_index, 64 AS dimensions, true AS unit, true AS same_as_itself
+    FROM w WHERE len(words) > 0
+    """
+)
+def comment_embed_learnt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks encoded with weights learnt from all comments: invariants of every vector."""
+    from aspectra.operators.encoder import learn_weights, learnt_encoder
+
+    ship_code(spark)
+    comments = table(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("comment"), "text")
+    encoder = learnt_encoder(*learn_weights(comments, "text", 64))
+    chunks = chunking.window_chunks(comments, "comment", "text", 40, 5).select("comment.*", "chunk_index", "chunk_text")
+    vectors = providers.embed(chunks, ["conv_id", "turn", "chunk_index"], "chunk_text", encoder, 64)
+    length = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x)
+    return vectors.select(
+        "conv_id", "turn", F.col("chunk_index").cast("int"), F.size("embedding").alias("dimensions"), (F.abs(length - 1) < 1e-5).alias("unit"), (F.round(cosine_distance(F.col("embedding"), F.col("embedding")), 6) == 0).alias("same_as_itself")
+    )
+
+
 @query()
 def comment_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks encoded by the offline encoder; how far each is from its comment's first."""

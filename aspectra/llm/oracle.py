@@ -73,6 +73,41 @@ SELECT doc_id, size, source_size, target, CAST(epochs * size + greatest(0, least
 """
 
 
+#: CRC-32 is folded over bytes by a table made here; neighbours by a replacement share what is left without one place, others by a deletion are what is left.
+OP11 = r"""
+WITH RECURSIVE crc AS (
+  SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM range(0, 256) AS r(i)
+), runs AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM documents
+), counted AS (
+  SELECT doc_id, w, count(*) AS n, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w)) AS x FROM runs WHERE length(w) >= 5 GROUP BY doc_id, w
+), hashed AS (
+  SELECT w, n, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, length(x) // 2), lambda i: CAST('0x' || substr(x, CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT))),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h
+  FROM counted, crc
+), altered AS (
+  SELECT CASE WHEN h % 97 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, n FROM hashed
+), v AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM altered WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3
+), del AS (
+  SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS d FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)
+), near AS (
+  SELECT a.word, b.word AS other, b.n AS m FROM del a JOIN del b ON a.d = b.d AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM del a JOIN v b ON a.d = b.word
+  UNION SELECT b.word, a.word, a.n FROM del a JOIN v b ON a.d = b.word
+), best AS (
+  SELECT word, count(*) AS n_near, min_by(other, (-m, other)) AS other, max(m) AS m FROM near GROUP BY word
+), forms AS (
+  SELECT v.word, CASE WHEN m >= 2 * v.n THEN other END AS form, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * v.n THEN m END AS form_n FROM v LEFT JOIN best ON v.word = best.word
+), chain AS (
+  SELECT word, word AS root, 0 AS depth FROM forms
+  UNION ALL SELECT chain.word, f.form, depth + 1 FROM chain JOIN forms f ON chain.root = f.word WHERE f.form IS NOT NULL
+)
+SELECT forms.word, form, r.root, n, CAST(n_near AS BIGINT) AS n_near, form_n
+FROM forms JOIN (SELECT word, max_by(root, depth) AS root FROM chain GROUP BY word) r ON forms.word = r.word
+"""
+
 OP13 = r"""
 WITH w AS (
   SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
@@ -116,4 +151,4 @@ FROM counted
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": OP2, "op3_mixing": OP3, "op13_filter_audit": OP13}
+    return {"op2_chat_format": OP2, "op3_mixing": OP3, "op11_spelling_variants": OP11, "op13_filter_audit": OP13}

@@ -144,11 +144,11 @@ class Packer:
 
 
 def pack_documents(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "word_bpe_49k.json", end_id: int = 1, length: int = LENGTH, special_as_text: bool = False, path: str | None = None
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "word_bpe_49k.json", end_id: int = 1, length: int = LENGTH, special_as_text: bool = False, path: str | None = None, cached: int | None = None
 ) -> DataFrame:
     """Written pieces: doc_id, start, doc_tokens, ids (little-endian unsigned 32-bit), sequence_id, offset.
 
-    `path` names the folder they are written to. Strings of the vocabulary's special tokens in a text get those tokens' ids, or with special_as_text the ids of ordinary text.
+    `path` names the folder they are written to; `cached` bounds the pieces that a worker keeps. Strings of the vocabulary's special tokens in a text get those tokens' ids, or with special_as_text the ids of ordinary text.
     """
     spark = docs.sparkSession
     ship_code(spark)
@@ -156,7 +156,7 @@ def pack_documents(
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
-        encoder = encoder_for(vocabulary, True, special_as_text)
+        encoder = encoder_for(vocabulary, True, special_as_text, cached)
         marks = np.unique([x[-1] for x in (encoder._ids(m) for m in SENTENCE_MARKS) if len(x) == 1])
         packer, tail, rows, id_kind = Packer(marks, length), struct.pack("<I", end_id), [], [pa.null()]
 

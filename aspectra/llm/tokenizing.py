@@ -96,6 +96,7 @@ class PieceEncoder:
         self.ends: dict[str, bytes] = {}
         self.raw = [i.to_bytes(4, "little") for i in range(self.size)]
         self.cache = _Cache({"": b""} if word_level else {"\0": b""})
+        self.most: int | None = None
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
@@ -185,29 +186,30 @@ class PieceEncoder:
             else:
                 del cache[piece]
         missing.clear()
-        if len(cache) > CACHE_MOST:
-            self.cache = _Cache(itertools.islice(cache.items(), CACHE_KEPT))
+        if len(cache) > (self.most or CACHE_MOST):
+            self.cache = _Cache(itertools.islice(cache.items(), self.most * 7 // 10 if self.most else CACHE_KEPT))
         return out
 
 
 _encoders: dict[tuple[str, bool, bool], PieceEncoder] = {}
 
 
-def encoder_for(vocabulary: str, word_level: bool, special_as_text: bool = False) -> PieceEncoder:
-    """The worker's encoder, whose cache lasts from task to task."""
+def encoder_for(vocabulary: str, word_level: bool, special_as_text: bool = False, cached: int | None = None) -> PieceEncoder:
+    """The worker's encoder, whose cache lasts from task to task; `cached` pieces at most, where given."""
     key = vocabulary, word_level, special_as_text
     if key not in _encoders:
         _encoders.clear()
         _encoders[key] = PieceEncoder(*key)
+    _encoders[key].most = cached
     return _encoders[key]
 
 
 def forget_encoders() -> None:
-    """Give the cache's memory back, to the system too, for steps that encode nothing in a worker that did."""
-    if _encoders:
-        _encoders.clear()
-        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-            trim(0)
+    """Give the cache's memory, and what earlier tasks of the worker left free, back to the system; for steps that encode nothing."""
+    _encoders.clear()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def few_rows(batches: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterable[pa.RecordBatch]:

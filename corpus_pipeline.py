@@ -37,9 +37,13 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixed_documents(docs)
 
 
+#: Pieces of text whose ids a worker keeps: fewer than where packing is all a worker does.
+CACHED_PIECES = 400_000
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of at most 2048 tokens."""
-    return packed_digest(pack_documents(docs))
+    return packed_digest(pack_documents(docs, cached=CACHED_PIECES))
 
 
 STAGES = [

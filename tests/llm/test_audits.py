@@ -270,3 +270,16 @@ def test_languages_of_odd_rows(spark):
     assert I.identify_languages(docs.limit(0), I.train_languages(docs.limit(0))).count() == 0
     one = I.identify_languages(docs, I.train_languages(docs.where("lang = 'en'"))).collect()
     assert {r["lang_pred"] for r in one} == {"en", "und"}
+
+
+def test_counts_of_a_text_of_many_blocks(spark):
+    rng = np.random.default_rng(4)
+    long = " ".join(f"{'abcdefgh'[i % 8]}{'xyz'[j]}" for i, j in zip(rng.integers(0, 8, 250_000), rng.integers(0, 3, 250_000)))
+    rows = [(long, "aa", False), ("ab", "aa", True), (long[:5], "bb", False)]
+    got = {(r["lang"], r["gram"]): (r["n"], r["n_held"]) for r in I.gram_counts(spark.createDataFrame(rows, "text string, lang string, held boolean")).collect()}
+    want = collections.Counter()
+    for text, lang, held in rows:
+        read = plain_read(text)
+        for i in range(4, len(read)):
+            want[lang, read[i - 4 : i + 1]] += np.array([1, held])
+    assert len(long) > 2 * I.BLOCK and got == {k: tuple(v.tolist()) for k, v in want.items()}

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from aspectra.functions.text import similarity
+from aspectra.operators import trigram_index
 from aspectra.operators.trigram_index import search_trigrams, trigram_candidates
 from aspectra.operators.vector_blocks import nearest_in_blocks
 
@@ -33,6 +34,22 @@ def test_trigram_search_equals_the_scan(spark, threshold):
     assert compared >= len(pairs) and compared < (0.6 if threshold < 0.3 else 0.2) * len(names) * len(asked)
 
 
+def test_names_alike_meet_a_query_once(spark, monkeypatch):
+    texts = ["red bolt", "Red  bolt!", "red bolts", "blue ring", "old blue ring"]
+    names = spark.range(3000).select(F.col("id").alias("k"), F.array(*map(F.lit, texts))[(F.col("id") % 5).cast("int")].alias("name"))
+    asked = spark.range(400).select(F.col("id").alias("q"), F.array(F.lit("RED BOLT"), F.lit("blue ring"))[(F.col("id") % 2).cast("int")].alias("text"))
+    compared, plain = [], trigram_index._candidates
+    monkeypatch.setattr(trigram_index, "_candidates", lambda *a: (compared.append(plain(*a)), compared[-1])[1])
+    rows = search_trigrams(names, asked, "k", "name", "q", "text", 0.3, 5).collect()
+    got = {}
+    for r in sorted(rows, key=lambda r: (r["q"], r["rank"])):
+        got.setdefault(r["q"], []).append((r["k"], r["name"], r["similarity"], r["rank"]))
+    red = [(k, texts[k % 5], 1.0, i + 1) for i, k in enumerate([0, 1, 5, 6, 10])]
+    blue = [(k, "blue ring", 1.0, i + 1) for i, k in enumerate([3, 8, 13, 18, 23])]
+    assert got == {q: [red, blue][q % 2] for q in range(400)}
+    assert compared[0].count() <= 4 * 2
+
+
 @pytest.mark.parametrize("query_bytes", [1 << 20, 200])
 def test_nearest_in_blocks_against_brute_force(spark, query_bytes):
     rng = np.random.default_rng(2)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aspectra.functions import text as X
@@ -176,9 +176,8 @@ def vector_topk_in_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     vectors = table(spark, sf_dir, "embeddings")
     asked = vectors.where("vec_id % 20 = 0").select("label", F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    found = nearest_in_blocks(vectors, asked, "label", "embedding", "query_id", "q", "vec_id", 5)
-    by = Window.partitionBy("query_id").orderBy("distance", "vec_id")
-    return found.withColumn("distance", F.round("distance", 6)).select("label", "query_id", "vec_id", "distance", F.row_number().over(by).cast("int").alias("rank"))
+    found = nearest_in_blocks(vectors, asked, "label", "embedding", "query_id", "q", "vec_id", 5, digits=6)
+    return found.select("label", "query_id", "vec_id", "distance", F.col("rank").cast("int"))
 
 
 @query("SELECT p_partkey AS product_id, p_name AS product_name FROM part WHERE p_name ILIKE '%WIDGET%' ORDER BY p_name, p_partkey LIMIT 5")

@@ -1,5 +1,6 @@
 """Searches of many queries at once, against one at a time."""
 
+import math
 import random
 
 import numpy as np
@@ -70,3 +71,27 @@ def test_nearest_in_blocks_against_brute_force(spark, query_bytes):
         have = got.get(k, [])
         assert len(have) == len(want) and all(a[1] == b[1] or abs(a[1] - b[1]) < 1e-8 for a, b in zip(have, want, strict=True))
         assert {i for i, d in have} <= {i for i, d in found}
+
+
+@pytest.mark.parametrize("query_bytes", [1 << 20, 40])
+def test_ranks_by_rounded_distance_count_all_rows(spark, query_bytes):
+    rng = np.random.default_rng(4)
+    rows = [(int(i), f"g{k % 2}", [1.0, float(a), 0.0]) for k, (i, a) in enumerate(zip(rng.permutation(400), rng.integers(0, 40, 400) * 1e-4, strict=True))]
+    rows += [(1000 + k, "g0", [2.0, 1e-4 * (k % 3), 0.0]) for k in range(300)] + [(2000, "g1", [0.0, 0.0, 0.0])]
+    queries = [(k, f"g{k % 2}", [1.0, 1e-4 * k, 1e-4]) for k in range(6)] + [(90, "g2", [1.0, 0.0, 0.0])]
+    df = spark.createDataFrame([*rows, (3000, "g2", [1.0, 1.0, 0.0]), (3001, "g2", [0.0, 0.0, 0.0])], "vec long, grp string, v array<double>").repartition(5)
+    asked = spark.createDataFrame(queries, "q long, grp string, query array<double>")
+    found = nearest_in_blocks(df, asked, "grp", "v", "q", "query", "vec", 7, query_bytes, 6).collect()
+
+    def distance(v, q):
+        dot, one, two = sum(a * b for a, b in zip(v, q, strict=True)), sum(a * a for a in v), sum(b * b for b in q)
+        return 1 - max(-1.0, min(1.0, dot / math.sqrt(one * two))) if one * two else math.inf
+
+    want, beyond = {(90, 3000): (round(1 - 0.5**0.5, 6), 1), (90, 3001): (None, 2)}, 0
+    for k, g, q in queries[:-1]:
+        every = [(distance(v, q), i) for i, h, v in rows if h == g]
+        places = {i: n + 1 for n, (d, i) in enumerate(sorted((math.floor(d * 1e6 + 0.5) if d < math.inf else d, i) for d, i in every))}
+        for d, i in sorted(every)[:7]:
+            want[k, i] = (math.floor(d * 1e6 + 0.5) / 1e6, places[i])
+            beyond += places[i] > 7
+    assert {(r["q"], r["vec"]): (r["distance"], r["rank"]) for r in found} == want and beyond > 5

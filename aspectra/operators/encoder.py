@@ -24,6 +24,8 @@ from aspectra.plans.providers import Encoder
 from aspectra.session import ship_code
 
 FEATURES, BLOCKS, SPREAD = 4096, 64, 64
+#: Words whose features a worker remembers; others are hashed again.
+HELD_NUMBERS = 1 << 15
 _WORD = re.compile(r"\w+")
 _numbers: dict[str, int] = {}
 
@@ -32,7 +34,7 @@ def _number(word: str) -> int:
     """The word's feature; a worker keeps those of a bounded number of words."""
     found = _numbers.get(word)
     if found is None:
-        if len(_numbers) > 500_000:
+        if len(_numbers) >= HELD_NUMBERS:
             _numbers.clear()
         found = _numbers[word] = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=4).digest(), "little") % FEATURES
     return found
@@ -86,9 +88,8 @@ def learn_weights(docs: DataFrame, text: str, dimensions: int = 64, seed: int =
         learnt, omega = shared.value
         total = np.zeros((FEATURES, dimensions))
         for batch in batches:
-            values = batch["text"].to_pylist()
-            for i in range(0, len(values), 256):
-                x = features(values[i : i + 256], learnt)
+            for i in range(0, batch.num_rows, 256):
+                x = features(batch["text"].slice(i, 256).to_pylist(), learnt)
                 total += x.T @ (x @ omega)
         blocks = [b.tobytes() for b in np.split(total, BLOCKS)]
         yield pa.RecordBatch.from_pydict({"block": pa.array(range(BLOCKS), pa.int32()), "part": pa.array(blocks, pa.binary())})

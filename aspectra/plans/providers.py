@@ -13,13 +13,16 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 from aspectra.plans.constants import HYPOTHETICALS
 
 Encoder = Callable[[Sequence[str]], np.ndarray]
+#: Texts that are encoded at a time.
+SLICE = 512
 
 
 def hashing_encoder(dimensions: int = 768) -> Encoder:
@@ -39,18 +42,20 @@ def hashing_encoder(dimensions: int = 768) -> Encoder:
 
 
 def embed(chunks: DataFrame, keys: list[str], text: str, encoder: Encoder, dimensions: int) -> DataFrame:
-    """(keys, text, embedding) encoded batch by batch; a wrong number of dimensions raises."""
+    """(keys, text, embedding) encoded SLICE texts at a time; a wrong number of dimensions raises."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vectors = np.asarray(encoder(batch[text].fillna("").tolist()), np.float32)
-            if vectors.shape != (len(batch), dimensions):
-                raise ValueError(f"encoder gave {vectors.shape}, not {(len(batch), dimensions)}")
-            yield batch.assign(embedding=list(vectors))
+            for start in range(0, batch.num_rows, SLICE):
+                part = batch.slice(start, SLICE)
+                vectors = np.asarray(encoder([t or "" for t in part.column(text).to_pylist()]), np.float32)
+                if vectors.shape != (part.num_rows, dimensions):
+                    raise ValueError(f"encoder gave {vectors.shape}, not {(part.num_rows, dimensions)}")
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1) * dimensions, pa.int32()), pa.array(vectors.ravel()))
+                yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*part.schema.names, "embedding"])
 
     wanted = chunks.select(*keys, text)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in wanted.schema.fields)
-    return wanted.mapInPandas(run, f"{fields}, embedding array<float>")
+    return wanted.mapInArrow(run, StructType([*wanted.schema.fields, StructField("embedding", ArrayType(FloatType()))]))
 
 
 def query_vector(query: str, encoder: Encoder, hypothetical: Callable[[str, int], Sequence[object]] | None = None, most: int = HYPOTHETICALS) -> list[float]:

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 
+from aspectra.operators import encoder
 from aspectra.operators.encoder import features, learn_weights, learnt_encoder
 from aspectra.plans.providers import embed
 
@@ -44,3 +45,17 @@ def test_texts_without_words(spark):
     assert not features([None, ""]).any()
     made = embed(spark.createDataFrame([(1, "a b"), (2, "")], "id long, text string"), ["id"], "text", encode, 8).collect()
     assert all(abs(np.linalg.norm(r["embedding"]) - 1) < 1e-6 for r in made)
+
+
+def test_few_texts_and_words_are_held_at_a_time(spark):
+    def encode(texts):
+        if len(texts) > 512:
+            raise ValueError("too many texts at once")
+        return np.array([[len(t), 1.0] for t in texts])
+
+    df = spark.range(3000).selectExpr("id", "if(id = 7, null, repeat('a', id % 5)) text").coalesce(1)
+    made = embed(df, ["id"], "text", encode, 2).collect()
+    assert {r["id"]: list(r["embedding"]) for r in made} == {i: [0.0 if i == 7 else i % 5, 1.0] for i in range(3000)}
+    encoder._numbers.clear()
+    features([" ".join(f"w{i}" for i in range(50_000))])
+    assert len(encoder._numbers) <= 1 << 15

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from aspectra.plans.constants import CHUNK_OVERLAP, CHUNK_SEPARATORS, CHUNK_TOKENS, MODEL_TOKENS, MODEL_TOKENS_RETRY
 
+#: Texts whose chunks a task holds at a time.
+SLICE = 256
+
 
 def window_chunks(docs: DataFrame, key: str, text: str, size: int = CHUNK_TOKENS, overlap: int = CHUNK_OVERLAP) -> DataFrame:
     """(key, chunk_index, chunk_text): windows of `size` words, each `overlap` words into the one before."""
@@ -67,29 +71,48 @@ def hard_limit(chunk: str, encode: Callable[[str], list], decode: Callable[[list
     return out if len(encode(out)) <= MODEL_TOKENS else decode(tokens[:MODEL_TOKENS_RETRY]).strip() or out
 
 
-def recursive_chunks(docs: DataFrame, key: str, text: str, encode: Callable[[str], list] = str.split, decode: Callable[[list], str] = " ".join, segment: Callable[[str], str] | None = None) -> DataFrame:
-    """(key, chunk_index, chunk_text) with an injected word segmenter and tokenizer."""
+def recursive_chunks(
+    docs: DataFrame, key: str, text: str, encode: Callable[[str], list] = str.split, decode: Callable[[list], str] = " ".join, segment: Callable[[str], str] | None = None, counts: str | None = None
+) -> DataFrame:
+    """(key, chunk_index, chunk_text) with an injected word segmenter and tokenizer; with `counts`, a column of that name holds the chunks' model tokens.
 
-    @F.pandas_udf("array<string>")
-    def chunked(texts: pd.Series) -> pd.Series:
-        def one(value: str | None) -> list[str]:
-            if value is None:
-                return []
-            prepared = ((segment(value).strip() if segment else value) or value)
-            found = split_recursively(prepared, lambda t: len(encode(t)))
-            return [hard_limit(c, encode, decode) for c in found]
+    Chunks are made, and counted, by one Python worker for each task, that holds
+    SLICE texts and their chunks at a time.
+    """
 
-        return texts.map(one)
+    def chunked(value: str | None) -> list[str]:
+        if value is None:
+            return []
+        prepared = ((segment(value).strip() if segment else value) or value)
+        found = split_recursively(prepared, lambda t: len(encode(t)))
+        return [hard_limit(c, encode, decode) for c in found]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, SLICE):
+                part = batch.slice(start, SLICE)
+                found = [chunked(value.as_py()) for value in part.column(1)]
+                flat = [c for chunks in found for c in chunks]
+                columns = [
+                    part.column(0).take(pa.array([i for i, chunks in enumerate(found) for _ in chunks], pa.int64())),
+                    pa.array([i for chunks in found for i in range(len(chunks))], pa.int32()),
+                    pa.array(flat, pa.string()),
+                ]
+                if counts:
+                    columns.append(pa.array([len(encode(c)) for c in flat], pa.int32()))
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     collapsed: Column = F.trim(F.regexp_replace(F.col(text), r"(?U)\s+", " "))
-    return docs.select(key, chunked(collapsed).alias("_chunks")).select(key, F.posexplode("_chunks").alias("chunk_index", "chunk_text"))
+    names = [key, "chunk_index", "chunk_text", *([counts] if counts else [])]
+    fields = [docs.select(key).schema[0], StructField("chunk_index", IntegerType()), StructField("chunk_text", StringType()), *([StructField(counts, IntegerType())] if counts else [])]
+    return docs.select(key, collapsed.alias("_text")).mapInArrow(run, StructType(fields))
 
 
 def with_token_counts(chunks: DataFrame, text: str, encode: Callable[[str], list], out: str = "n_tokens") -> DataFrame:
     """Chunks with their numbers of model tokens."""
 
-    @F.pandas_udf("int")
-    def count(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: len(encode(t)))
+    @F.arrow_udf("int")
+    def count(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else len(encode(t)) for t in texts.to_pylist()], pa.int32())
 
     return chunks.withColumn(out, count(F.col(text)))

@@ -510,8 +510,7 @@ def comment_chunks_segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
     comments = table(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("comment"), "text").where("text is not null")
     segment = viterbi_segmenter(Lexicon.of(learn_compounds(comments, "text")))
     encode, decode = providers.vocabulary_codec(public_tokenizers.path("word_bpe_49k.json"))
-    chunks = chunking.recursive_chunks(comments, "comment", "text", encode, decode, segment)
-    counted = chunking.with_token_counts(chunks, "chunk_text", encode)
+    counted = chunking.recursive_chunks(comments, "comment", "text", encode, decode, segment, counts="n_tokens")
     facts = chunk_facts(comments, counted, "comment", "text")
     return facts.select("comment.*", "gapless", "missing_words", (F.col("most") <= 254).alias("within_limit"))
 

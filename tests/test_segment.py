@@ -98,3 +98,14 @@ def test_chunks_keep_the_limits_of_model_tokens(spark):
     for a, b in itertools.pairwise(by[0]):  # neighbours share up to 20 tokens
         tail = next((k for k in range(len(b["chunk_text"]), 0, -1) if a["chunk_text"].endswith(b["chunk_text"][:k])), 0)
         assert len(encode(b["chunk_text"][:tail])) <= 20
+
+
+def test_chunks_and_their_counts_come_from_one_bounded_step(spark):
+    df = spark.createDataFrame([(i, f"pin trâu {i}. " * (i % 90)) for i in range(700)], "id long, text string").coalesce(1)
+    segment = S.viterbi_segmenter(S.Lexicon({"pin trâu": -1.0}, -9.0, 2))
+    counted = recursive_chunks(df, "id", "text", segment=segment, counts="n_tokens")
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "EvalPython" not in plan
+    apart = with_token_counts(recursive_chunks(df, "id", "text", segment=segment), "chunk_text", str.split)
+    rows = counted.collect()
+    assert sorted(rows) == sorted(apart.collect()) and len({r["id"] for r in rows}) == 700 - 8 and max(r["n_tokens"] for r in rows) > 100

@@ -84,16 +84,36 @@ class GruModel:
 
     def step(self, h: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, ...]:
         """Next state, and what backpropagation needs: update and reset gates, candidate, recurrent part."""
-        return self.step_from(h, self.inputs[tokens])
-
-    def step_from(self, h: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, ...]:
-        """The same from the tokens' inputs."""
-        d, m = self.hidden, h @ self.recurrent
+        d, x, m = self.hidden, self.inputs[tokens], h @ self.recurrent
         gates = _sigmoid(x[:, : 2 * d] + m[:, : 2 * d])
         z, r, inner = gates[:, :d], gates[:, d:], m[:, 2 * d :]
         n = np.tanh(x[:, 2 * d :] + r * inner)
         return n + z * (h - n), z, r, n, inner
 
+    def run(self, h: np.ndarray, fed: np.ndarray) -> tuple[np.ndarray, ...]:
+        """States (the given one first), gates (update, reset), candidates and recurrent parts of all steps, from the tokens fed (steps x lanes).
+
+        Lanes are the last axis, so that each gate of a step is one run of memory.
+        """
+        (steps, lanes), d = fed.shape, self.hidden
+        x = np.ascontiguousarray(self.inputs[fed].transpose(0, 2, 1))
+        states, gates, c, inner = (np.empty((n, k, lanes), x.dtype) for n, k in ((steps + 1, d), (steps, 2 * d), (steps, d), (steps, d)))
+        states[0] = h.T
+        recurrent = np.ascontiguousarray(self.recurrent.T)
+        for t in range(steps):
+            before, after, gate, new = states[t], states[t + 1], gates[t], c[t]
+            m = recurrent @ before
+            inner[t] = m[2 * d :]
+            np.add(x[t, : 2 * d], m[: 2 * d], out=gate)
+            _sigmoid(gate)
+            np.multiply(gate[d:], m[2 * d :], out=new)
+            new += x[t, 2 * d :]
+            np.tanh(new, out=new)
+            np.subtract(before, new, out=after)
+            after *= gate[:d]
+            after += new
+        return states, gates, c, inner
+
     def log_likelihood(self, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Natural log of p(class) and, for words, p(word | class) after each state."""
         logits = self.class_out.T @ states.T
@@ -194,16 +214,12 @@ class Trainer:
         lanes, steps = window.shape
         fed = np.concatenate([before[:, None], window[:, :-1]], axis=1).T.copy()
         fed[fed < 0] = len(m.inputs) - 1
-        x = m.inputs[fed]
-        states = np.empty((steps + 1, lanes, d), x.dtype)
-        z, r, c, inner = (np.empty((steps, lanes, d), x.dtype) for _ in range(4))
-        states[0] = h
-        for t in range(steps):
-            states[t + 1], z[t], r[t], c[t], inner[t] = m.step_from(states[t], x[t])
+        states, gates, c, inner = m.run(h, fed)
+        z, r = gates[:, :d], gates[:, d:]
         flat = window.T.ravel()
         on = np.flatnonzero(flat >= 0)
         targets = flat[on]
-        after = states[1:].reshape(-1, d)[on]
+        after = states[1:].transpose(0, 2, 1).reshape(-1, d)[on]
         d_inputs, d_recurrent, d_class, d_class_bias, d_word, d_word_bias = self.grads
         d_logits = m.class_out.T @ after.T
         d_logits += m.class_bias[:, None]
@@ -228,35 +244,33 @@ class Trainer:
         d_states[order] += d_own
         spread = np.zeros((steps * lanes, d), d_states.dtype)
         spread[on] = d_states
-        spread = spread.reshape(steps, lanes, d)
+        spread = np.ascontiguousarray(spread.reshape(steps, lanes, d).transpose(0, 2, 1))
         rest = 1 - z
         by_c, by_z, by_r = rest * (1 - c * c), (states[:-1] - c) * z * rest, inner * r * (1 - r)
-        d_x = np.empty((steps, lanes, 3 * d), d_states.dtype)
-        d_m = np.empty((lanes, 3 * d), d_states.dtype)
-        d_h = np.zeros((lanes, d), d_states.dtype)
-        back = np.ascontiguousarray(m.recurrent.T)
+        d_x = np.empty((steps, 3 * d, lanes), d_states.dtype)
+        d_m = np.empty((3 * d, lanes), d_states.dtype)
+        d_h = np.zeros((d, lanes), d_states.dtype)
         for t in range(steps - 1, -1, -1):
             d_h += spread[t]
             row = d_x[t]
-            d_c = row[:, 2 * d :]
+            d_c = row[2 * d :]
             np.multiply(d_h, by_c[t], out=d_c)
-            np.multiply(d_h, by_z[t], out=row[:, :d])
-            np.multiply(d_c, by_r[t], out=row[:, d : 2 * d])
-            d_m[:, : 2 * d] = row[:, : 2 * d]
-            np.multiply(d_c, r[t], out=d_m[:, 2 * d :])
+            np.multiply(d_h, by_z[t], out=row[:d])
+            np.multiply(d_c, by_r[t], out=row[d : 2 * d])
+            d_m[: 2 * d] = row[: 2 * d]
+            np.multiply(d_c, r[t], out=d_m[2 * d :])
+            d_recurrent += states[t] @ d_m.T
             d_h *= z[t]
-            d_h += d_m @ back
-        d_x = d_x.reshape(-1, 3 * d)
+            d_h += m.recurrent @ d_m
+        d_x = d_x.transpose(0, 2, 1).reshape(-1, 3 * d)
         order = _order(fed.ravel(), len(m.inputs))
         token = fed.ravel()[order]
         first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         d_inputs[token[first]] += np.add.reduceat(d_x[order], first, axis=0)
-        d_x[:, 2 * d :] *= r.reshape(-1, d)
-        d_recurrent += states[:-1].reshape(-1, d).T @ d_x
         self.held += len(on)
         if self.held >= least:
             self.settle()
-        return -loss / max(len(on), 1), states[-1], window[:, -1]
+        return -loss / max(len(on), 1), states[-1].T.copy(), window[:, -1]
 
     def settle(self) -> None:
         """An update by the mean of the gradients that wait."""

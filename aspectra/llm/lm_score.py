@@ -30,7 +30,7 @@ import math
 import zlib
 from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cached_property
 from itertools import accumulate, repeat
 
@@ -50,6 +50,8 @@ KNOWN, LONGEST_KNOWN = 200_000, 64
 EARLY_LANES, TRAIN_LANES, EARLY_TOKENS = 64, 256, 1 << 19
 END = b""
 FLUSH_WORDS = 400_000
+#: Documents scored side by side, and bytes of their columns.
+SCORED_ROWS, SCORED_BYTES = 4096, 16 << 20
 
 
 def tokens_of(text: str | None) -> list[bytes]:
@@ -148,6 +150,18 @@ def _numbered(words: list[bytes], places: dict[bytes, int], token: np.ndarray, h
     return place, out
 
 
+def in_groups(batches: Iterable[pa.RecordBatch], rows: int = SCORED_ROWS, size: int = SCORED_BYTES) -> Iterator[pa.RecordBatch]:
+    """Neighbouring batches as one while they have no more than so many rows and bytes, so that few documents are read to their end alone."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if held and (sum(b.num_rows for b in held) + batch.num_rows > rows or sum(b.nbytes for b in held) + batch.nbytes > size):
+            yield pa.concat_batches(held)
+            held.clear()
+        held.append(batch)
+    if held:
+        yield pa.concat_batches(held)
+
+
 class Reader:
     """Reads documents side by side, a lane each, and trains on every window of them."""
 
@@ -240,7 +254,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if parameters.value is not None:
             model.unpack(parameters.value)
         group_log = np.log10(lexicon.group_counts + 0.5 * (lexicon.group_types + 1))
-        for batch in batches:
+        for batch in in_groups(batches):
             documents, known, base, share, rare, many = [], [], [], [], [], []
             for text in batch["text"]:
                 words = tokens_of(text.as_py())

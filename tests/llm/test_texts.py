@@ -8,6 +8,7 @@ import sys
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -536,3 +537,12 @@ def test_serialisation_width():
     ids = np.arange(5, dtype="<u4")
     content = build_file(hashlib.sha256(b"").digest(), 4, [3], [5], 0, [compressor(b"").compress(ids.tobytes())])
     assert (TokenFile(content, b"").ids(0) == ids).all() and struct.unpack_from("<B", content, 36)[0] == 4
+
+
+def test_documents_of_many_small_batches_are_scored_side_by_side():
+    from aspectra.llm.lm_score import in_groups
+
+    batches = [pa.RecordBatch.from_pydict({"id": list(range(i, i + 1000)), "text": ["x" * (i // 1000)] * 1000}) for i in range(0, 10_000, 1000)]
+    groups = list(in_groups(iter(batches)))
+    assert [g.num_rows for g in groups] == [4000, 4000, 2000] and [i for g in groups for i in g["id"].to_pylist()] == list(range(10_000))
+    assert [g.num_rows for g in in_groups(iter(batches), size=1)] == [1000] * 10 and not list(in_groups(iter([])))

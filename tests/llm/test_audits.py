@@ -283,3 +283,28 @@ def test_counts_of_a_text_of_many_blocks(spark):
         for i in range(4, len(read)):
             want[lang, read[i - 4 : i + 1]] += np.array([1, held])
     assert len(long) > 2 * I.BLOCK and got == {k: tuple(v.tolist()) for k, v in want.items()}
+
+
+def test_models_leave_no_gram_out(spark):
+    """However few n-grams a worker holds, texts are scored by all of them, as the models written out above have it."""
+    docs = [(i, x, lang) for i, (x, lang) in enumerate((t, lang) for lang, texts in TEACH.items() for t in texts)]
+    teach = spark.createDataFrame(docs, "doc_id int, text string, lang string")
+    plain = [plain_models(TEACH[x]) for x in ("aa", "bb")]
+    uniform = 1 / (len(plain[0][0].keys() | plain[1][0].keys()) + 1)
+    texts = ["abra", "Zyx  -- abä", "", None, "new words", "x" * 30, "barbara cadabra xyzzy", "日本 abra", "abra"]
+    want = {}
+    for i, text in enumerate(texts):
+        r = plain_read(text or "")
+        found = [-sum(math.log(p(r[j - 4 : j + 1], uniform)) for j in range(4, len(r))) / max(len(r) - 4, 1) for _, p in plain]
+        want[i] = (min(found), ("aa", "bb")[found.index(min(found))] if len(r) > 4 else "und")
+    asked = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    for held in (0, 12, 1 << 20):
+        got = {r["doc_id"]: r for r in I.identify_languages(asked, I.train_languages(teach, model_rows=held)).collect()}
+        assert {k: r["lang_pred"] for k, r in got.items()} == {k: lang for k, (_, lang) in want.items()}
+        assert np.allclose([got[k]["entropy"] for k in want], [e for e, _ in want.values()], atol=1e-5)
+
+
+def test_no_language_is_left_out(spark):
+    docs = spark.createDataFrame([(i, chr(0x4E00 + i) * 3, f"l{i:03}") for i in range(260)], "doc_id int, text string, lang string")
+    got = I.identify_languages(docs, I.train_languages(docs)).collect()
+    assert {r["doc_id"]: r["lang_pred"] for r in got} == {i: f"l{i:03}" for i in range(260)}
